@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, token_counts
+from pyspark.sql import functions as F
+
+from . import bpe, line_dedup, neighbours, secrets, token_counts, toxicity, url_filter
 from .common import read
 
 
+def op1_url_filter(spark, sf_dir):
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 def op2_byte_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
+
+
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return line_dedup.digests(read(spark, sf_dir, "documents"))
 
@@ -18,6 +33,10 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op7_line_dedup, op8_token_counts)}
+def op10_secret_scan(spark, sf_dir):
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_byte_bpe, op3_neighbours, op4_toxicity, op7_line_dedup, op8_token_counts, op10_secret_scan)}
 
-ORACLE_SQL = {"op7_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op3_neighbours": neighbours.SQL, "op7_line_dedup": line_dedup.SQL}
