@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, neighbours, ngram_join, secrets, substring_dedup, token_counts, toxicity, url_filter
+from . import bpe, decontamination, line_dedup, neighbours, ngram_join, secrets, substring_dedup, token_counts, toxicity, url_filter
 from .common import read
 
 
@@ -29,6 +29,10 @@ def op5_ngram_join(spark, sf_dir):
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark, sf_dir):
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return line_dedup.digests(read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_byte_bpe, op3_neighbours, op4_toxicity, op5_ngram_join, op7_line_dedup, op8_token_counts, op9_substring_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_byte_bpe, op3_neighbours, op4_toxicity, op5_ngram_join, op6_decontamination, op7_line_dedup, op8_token_counts, op9_substring_dedup, op10_secret_scan)}
 
 ORACLE_SQL = {"op3_neighbours": neighbours.SQL, "op7_line_dedup": line_dedup.SQL}
