@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-K, NUM, DEN = 5, 80, 100
+K, NUM, DEN, DEPTH_SHARE = 5, 80, 100, 10
 #: Tokens of a block in the local join (8 bytes each).
 BLOCK_TOKENS = 1 << 20
 #: Up to this many candidate documents are broadcast to find their texts; beyond it both sides are shuffled.
@@ -46,8 +46,12 @@ def least_overlap(n, num: int = NUM, den: int = DEN):
 
 
 def depth(n):
-    """How many prefix tokens two linked sets must share; n is the smaller size."""
-    return 1 + n * 3 // 100
+    """How many prefix tokens two linked sets must share; n is the smaller size.
+
+    A tenth of the tokens: lines that many documents share are then not enough
+    to make candidates of documents that differ elsewhere.
+    """
+    return 1 + n // DEPTH_SHARE
 
 
 def prefix_size(n, num: int = NUM, den: int = DEN):
@@ -95,7 +99,7 @@ def candidate_stars(signed: DataFrame, num: int, den: int) -> DataFrame:
     """(fp, n, lead): each candidate set with the smallest one for each token it is filed under."""
     tokens = signed.select(F.explode("prefix").alias("h"), "fp", "n")
     shared = tokens.groupBy("h").agg(F.count("*").alias("df"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("h", "df")
-    need = 1 + F.floor(F.ceil(F.col("n") * num / den) * 3 / 100)
+    need = 1 + F.floor(F.ceil(F.col("n") * num / den) / DEPTH_SHARE)
     own = tokens.join(shared, "h").groupBy("fp", "n").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s")).filter(F.size("s") >= need)
     filed = common.checkpointed(own.select("fp", "n", F.explode(F.slice("s", F.lit(1), (F.size("s") - need + 1).cast("int"))["h"]).alias("h")))
     lead = filed.groupBy("h").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).filter("lead <> last").select("h", "lead")
