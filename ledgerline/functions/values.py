@@ -54,7 +54,7 @@ def strict(c) -> Column:
 def parts(c) -> Column:
     """A combined value's parts: cut at slashes with a space on at least one side."""
     cut = F.split(F.coalesce(col(c).cast("string"), F.lit("")), t.COMBINED)
-    return F.filter(F.transform(cut, F.trim), lambda x: x != "")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def token(c) -> Column:

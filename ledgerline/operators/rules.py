@@ -184,8 +184,8 @@ def bridging(base: Column, target: Column, candidates: Column) -> Column:
     """
     amounts = F.transform(candidates, lambda x: x["amount"])
     k = F.size(candidates)
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.when(k.between(1, t.MAX_ADJUSTMENTS), k)) - 1)
-    members = lambda m: F.filter(F.sequence(F.lit(0), k - 1), lambda i: F.get_bit(m.cast("long"), i) == 1)
+    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.when(k.between(1, t.MAX_ADJUSTMENTS), k)).cast("int") - 1)
+    members = lambda m: F.filter(F.sequence(F.lit(0), k - 1), lambda i: F.getbit(m.cast("long"), i) == 1)
     summed = lambda m: F.aggregate(members(m), F.lit(0).cast("decimal(28,2)"), lambda a, i: (a + F.get(amounts, i)).cast("decimal(28,2)"))
     fits = F.filter(masks, lambda m: F.abs(base + summed(m) - target) <= tolerance())
     ranked = F.array_sort(F.transform(fits, lambda m: F.struct(F.bit_count(m).alias("n"), members(m).alias("at"))))

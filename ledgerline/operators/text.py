@@ -56,7 +56,7 @@ def table_heading(page) -> Column:
     after = F.slice(rows, at + 2, F.lit(5))
     stop = F.get(F.filter(F.transform(after, lambda x, i: F.when(x.rlike(t.DATA_LINE), i)), lambda x: x.isNotNull()), F.lit(0))
     block = F.concat(F.array(F.get(rows, at)), F.filter(F.slice(after, F.lit(1), F.coalesce(stop, F.size(after))), lambda x: F.trim(x) != ""))
-    return F.coalesce(F.when(at.isNotNull(), F.array_join(F.transform(block, F.rtrim), "\n")), F.lit(""))
+    return F.coalesce(F.when(at.isNotNull(), F.array_join(F.transform(block, lambda x: F.rtrim(x)), "\n")), F.lit(""))
 
 
 def row_keys(part, description) -> Column:
@@ -71,8 +71,8 @@ def _found(keys: Column, line: Column) -> Column:
 
 
 def source_lines(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, pos, line_no, line): the printed lines of each item. `items`: doc_id, pos, part_number, description."""
-    keyed = items.select("doc_id", "pos", row_keys("part_number", "description").alias("keys")).filter(F.size("keys") > 0)
+    """(doc_id, pos, line_no, line): the printed lines of each item. `items`: doc_id, pos, part_number, product_description."""
+    keyed = items.select("doc_id", "pos", row_keys("part_number", "product_description").alias("keys")).filter(F.size("keys") > 0)
     printed = lines(texts).withColumn("plain", v.squashed("line"))
     return printed.join(keyed, "doc_id").filter(_found(F.col("keys"), F.col("plain"))).select("doc_id", "pos", "line_no", "line")
 
@@ -87,7 +87,7 @@ def source_blocks(items: DataFrame, texts: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("line_no")
     printed = lines(texts).select("*", F.lead("line", 1).over(order).alias("one"), F.lead("line", 2).over(order).alias("two"))
     printed = printed.withColumn("block", F.when(ends_block("one"), F.col("line")).when(ends_block("two"), F.concat_ws("\n", "line", "one")).otherwise(F.concat_ws("\n", "line", "one", "two")))
-    keyed = items.select("doc_id", "pos", row_keys("part_number", "description").alias("keys")).filter(F.size("keys") > 0)
+    keyed = items.select("doc_id", "pos", row_keys("part_number", "product_description").alias("keys")).filter(F.size("keys") > 0)
     return printed.join(keyed, "doc_id").filter(_found(F.col("keys"), v.squashed("line"))).select("doc_id", "pos", "line_no", "block")
 
 
