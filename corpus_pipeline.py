@@ -24,11 +24,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go from all texts."""
+    common.bounded_batches(spark)
     return line_dedup.dedup(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
+    common.bounded_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
@@ -39,6 +41,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as token ids."""
+    common.bounded_batches(spark)
     ids = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

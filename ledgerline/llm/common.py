@@ -139,7 +139,19 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, counts) + np.arange(total)
 
 
+#: Rows of an Arrow batch of texts, where the session has Spark's default of ten thousand.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark) -> None:
+    """Fewer rows in an Arrow batch: texts are long, and a batch is held several times over on its way."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def read(spark, sf_dir: str, table: str):
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -117,7 +117,7 @@ def readings(token: str, model: CharModel) -> list[tuple[float, str]]:
 class Restorer:
     """Restored words of texts, with a bounded cache of finished tokens."""
 
-    CACHE = 300_000
+    CACHE = 60_000
 
     def __init__(self, model: CharModel, known=frozenset()):
         self.model, self.known, self.cache = model, known, {}
