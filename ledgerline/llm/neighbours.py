@@ -73,7 +73,7 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     for r in range(len(q_ids)):
         left = np.flatnonzero((near[r] + error[r] >= floor[r]) & ~own[r])
         if len(left):
-            score = (c[left] * q[r]).sum(axis=1)
+            score = np.cumsum(c[left] * q[r], axis=1)[:, -1]  # added up in order, as SQL does
             best = np.lexsort((c_ids[left], -score))[:k]
             yield q_ids[r], c_ids[left[best]], score[best]
 
