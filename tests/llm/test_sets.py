@@ -199,6 +199,33 @@ def test_decontamination(spark):
     assert decontamination.clean(d, b.limit(0)).count() == len(rows)
 
 
+def test_decontamination_of_long_items(spark):
+    r = random.Random(8)
+    common_words = [f"c{k}" for k in range(30)]
+    mixed = lambda n: [r.choice(common_words) if r.random() < 0.5 else f"q{r.randrange(20000)}" for _ in range(n)]
+    items = [(k, " ".join(mixed(n)) + ".") for k, n in enumerate((30, 800, 1100, 1500, 2500))]
+    rows = [(i, " ".join(mixed(r.randint(20, 400)))) for i in range(100)]
+    for k in range(1, 5):
+        whole, changed = items[k][1].split(), items[k][1].split()
+        for j in r.sample(range(len(changed)), len(changed) * 3 // 10):
+            changed[j] = f"z{r.randrange(20000)}"
+        rows += [(900 + k, " ".join(mixed(75) + whole + mixed(50))), (910 + k, " ".join(mixed(75) + changed + mixed(50))), (920 + k, " ".join(mixed(50) + whole[: len(whole) // 3] + mixed(50)))]
+    d, b = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["lcs"] for x in decontamination.contaminated(d, b).collect()}
+    assert set(got) == {(at + k, k) for at in (900, 910) for k in range(1, 5)}
+    assert all(got[900 + k, k] > 0.999 for k in range(1, 5))
+
+
+def test_weighted_lcs_in_blocks(monkeypatch):
+    r = np.random.default_rng(5)
+    for n, m in ((1, 1), (7, 0), (50, 80), (37, 200)):
+        item, region, weights = r.integers(0, 9, n), r.integers(0, 9, m), r.random(n)
+        monkeypatch.setattr(decontamination, "CELLS", 1 << 20)
+        want = decontamination.weighted_lcs(item, weights, region)
+        monkeypatch.setattr(decontamination, "CELLS", 1)
+        assert decontamination.weighted_lcs(item, weights, region).tolist() == want.tolist()
+
+
 def test_weighted_lcs():
     a = np.array([1, 2, 3, 4], np.uint64)
     assert decontamination.weighted_lcs(a, np.ones(4), np.array([9, 1, 3, 9, 4, 2], np.uint64)).tolist() == [True, False, True, True]
