@@ -6,8 +6,10 @@ more, or single letters set apart) becomes a lattice: every character may stand
 for itself or for letters it resembles, repeated letters may be dropped, and
 separators vanish. A Viterbi pass finds the cheapest readings
 under the channel and the character model; if one of the cheap readings is a
-word that the classifier knows, that reading is taken. The restored words are
-then scored by log-odds.
+word that the classifier knows, that reading is taken. In a run of single letters
+set apart, every separator may also end a word: the words of the cheapest reading
+count, and every known word of a reading that is nearly as cheap. The restored
+words are then scored by log-odds.
 
 The classifier is naive Bayes over distinct restored words. It is fitted on at
 most SAMPLE labelled rows (those with the smallest hashes of their ids, fold 0 of
@@ -34,12 +36,14 @@ SAMPLE, MIN_G2, MIN_DOCS, MAX_WORDS = 20_000, 30.0, 5, 2_000
 FOLDS = 5
 #: Readings kept for each state of a lattice, and how much costlier than the cheapest a known word may be.
 PATHS, MARGIN = 3, 8.0
-LONGEST = 40  # a longer token is a path or a blob, not a disguised word
+#: Characters of a run that are decoded at once, at least; longer runs are decoded in overlapping pieces.
+PIECE = 512
 
 # Letters that a character may stand for (fixed values), and what that costs in nats.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
-SUBSTITUTE, KEEP_ODD, DROP_REPEAT, KEEP_REPEAT, SKIP = 1.0, 6.0, 0.5, 1.5, 0.1
+SUBSTITUTE, KEEP_ODD, DROP_REPEAT, KEEP_REPEAT, SKIP, BOUNDARY = 1.0, 6.0, 0.5, 1.5, 0.1, 1.5
 
+SEPARATORS, PRIME = ".-_* ", (1 << 61) - 1
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 EDGE, OUTSIDE = len(ALPHABET), len(ALPHABET) + 1
 SIZE = 64
@@ -53,7 +57,8 @@ for _c in " \t\n\x0b\x0c\r":
 
 STRIP = re.compile(r"^[^\w@$!|+(€£#*]+|[^\w]+$")
 DISGUISED = re.compile(r"(?=.*[^\W\d_])(?:.*[\d@$!|+(€£#*].*|.*([^\W\d_])\1\1.*|[^\W\d_](?:[._\-*][^\W\d_]){2,})$")
-APART = re.compile(r"(?<!\S)[\w@$!|](?:[ .\-_*]{1,2}[\w@$!|]){2,30}(?!\S)")
+_UNIT = r"(?:[^\W_]|[@$!|])(?![^\s.\-_*])"
+APART = re.compile(rf"(?<!\S){_UNIT}(?:(?=[ .\-_*])_*+(?:[ .\-*]_*+){{0,3}}+{_UNIT}){{2,}}(?!\S)")
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
@@ -86,32 +91,116 @@ class CharModel:
         self.cost = -np.log(three).astype(np.float32)
 
 
+def choices(token: str, i: int) -> list[tuple[str, float]]:
+    """What the token's character may be read as, and its cost."""
+    c = token[i]
+    out = [(x, SUBSTITUTE) for x in LOOKS_LIKE.get(c, "")]
+    if c.isalpha():
+        out.append((c, KEEP_REPEAT if i > 1 and c == token[i - 1] == token[i - 2] else 0.0))
+    elif c not in SEPARATORS:
+        out.append((c, KEEP_ODD))
+    return out
+
+
 def readings(token: str, model: CharModel) -> list[tuple[float, str]]:
     """The cheapest readings of a token, cheapest first.
 
     Viterbi over states (last two letters read, last character that was read as
-    one); each state keeps its PATHS cheapest readings.
+    one); each state keeps its PATHS cheapest readings, as (cost, hash of the
+    letters, linked letters), so that time grows with the token's length only.
     """
-    states = {(EDGE, EDGE, ""): [(0.0, "")]}
+    states = {(EDGE, EDGE, ""): [(0.0, 0, None)]}
     for i, c in enumerate(token):
-        separator = c in ".-_* "
+        separator = c in SEPARATORS
         repeat = i > 0 and c == token[i - 1]
-        choices = [(x, SUBSTITUTE) for x in LOOKS_LIKE.get(c, "")]
-        if c.isalpha():
-            choices.append((c, KEEP_REPEAT if repeat and i > 1 and token[i - 2] == c else 0.0))
-        elif not separator:
-            choices.append((c, KEEP_ODD))
-        nxt: dict[tuple[int, int, str], list[tuple[float, str]]] = {}
+        read = choices(token, i)
+        nxt: dict[tuple[int, int, str], list[tuple]] = {}
         for (a, b, last), paths in states.items():
-            for x, w in choices:
+            for x, w in read:
                 code = int(_CODE[ord(x)])
                 step = w + float(model.cost[a, b, code])
-                nxt.setdefault((b, code, c), []).extend((cost + step, text + x) for cost, text in paths)
+                nxt.setdefault((b, code, c), []).extend((cost + step, (h * 1_000_003 + ord(x)) % PRIME, (node, x)) for cost, h, node in paths)
             if separator or repeat and last == c:
                 step = SKIP if separator else DROP_REPEAT
-                nxt.setdefault((a, b, last), []).extend((cost + step, text) for cost, text in paths)
-        states = {state: heapq.nsmallest(PATHS, set(paths)) for state, paths in nxt.items()}
-    return sorted({(cost + float(model.cost[a, b, EDGE]), text) for (a, b, _), paths in states.items() for cost, text in paths})
+                nxt.setdefault((a, b, last), []).extend((cost + step, h, node) for cost, h, node in paths)
+        states = {state: heapq.nsmallest(PATHS, {path[:2]: path for path in paths}.values()) for state, paths in nxt.items()}
+    return sorted({(cost + float(model.cost[a, b, EDGE]), spelled(node)) for (a, b, _), paths in states.items() for cost, _, node in paths})
+
+
+def spelled(node) -> str:
+    out = []
+    while node is not None:
+        node, x = node
+        out.append(x)
+    return "".join(reversed(out))
+
+
+def run_words(run: str, model: CharModel, known: frozenset[str], starts: frozenset[str], first: bool = True, last: bool = True) -> set[str]:
+    """Words of the cheapest reading of letters set apart, and known words of readings that cost at most MARGIN more.
+
+    `starts` are all beginnings of known words. Words at an end of `run` that is no end of the whole run (`first`, `last`) don't count.
+    """
+    fresh = (EDGE, EDGE, "")
+    ahead = [{fresh: 0.0}]  # costs to each state
+    came: list[dict] = []  # the cheapest arc into it
+    arcs: list[dict] = []  # state: (letter, state after it, cost)
+    for i, c in enumerate(run):
+        separator = c in SEPARATORS
+        repeat = i > 0 and c == run[i - 1]
+        read = choices(run, i)
+        here, nxt, back = {}, {}, {}
+        for state, cost in ahead[-1].items():
+            a, b, before = state
+            out = [(x, (b, code, c), w + float(model.cost[a, b, code])) for x, w in read for code in (int(_CODE[ord(x)]),)]
+            if separator or repeat and before == c:
+                out.append(("", state, SKIP if separator else DROP_REPEAT))
+            if separator and state != fresh:
+                out.append((" ", fresh, BOUNDARY + float(model.cost[a, b, EDGE])))
+            here[state] = out
+            for x, to, step in out:
+                if cost + step < nxt.get(to, math.inf):
+                    nxt[to], back[to] = cost + step, (state, x)
+        ahead.append(nxt)
+        came.append(back)
+        arcs.append(here)
+    n = len(run)
+    if not ahead[-1]:
+        return set()
+    behind = [{s: 0.0 if s == fresh else float(model.cost[s[0], s[1], EDGE]) for s in ahead[-1]}]  # costs from each state to the end
+    for here in reversed(arcs):
+        behind.append({state: min((step + behind[-1][to] for _, to, step in out), default=math.inf) for state, out in here.items()})
+    behind.reverse()
+    limit = behind[0][fresh] + MARGIN
+    state = min(ahead[-1], key=lambda s: ahead[-1][s] + behind[-1][s])
+    text = []
+    for back in reversed(came):
+        state, x = back[state]
+        text.append(x)
+    words = "".join(reversed(text)).split(" ")
+    found = set(words[0 if first else 1 : len(words) if last else -1])
+    for i in range(n if starts else 0):
+        if fresh not in ahead[i] or not (i or first):
+            continue
+        at = {(fresh, ""): ahead[i][fresh]}
+        for j in range(i, n):
+            nxt = {}
+            for (state, word), cost in at.items():
+                for x, to, step in arcs[j][state]:
+                    total = cost + step
+                    if total + behind[j + 1][to] > limit:
+                        continue
+                    if x == " ":
+                        if word in known:
+                            found.add(word)
+                    elif word + x in starts:
+                        nxt[to, word + x] = min(total, nxt.get((to, word + x), math.inf))
+            at = nxt
+            if not at:
+                break
+        else:
+            if last:
+                found |= {word for (_, word), _ in at.items() if word in known}
+    return found - {""}
 
 
 class Restorer:
@@ -121,13 +210,14 @@ class Restorer:
 
     def __init__(self, model: CharModel, known=frozenset()):
         self.model, self.known, self.cache = model, known, {}
+        self.starts = frozenset(w[:i] for w in known for i in range(len(w) + 1))
+        self.overlap = max(PIECE // 2, 8 * max(map(len, known), default=0))
 
     def word(self, token: str) -> str:
         found = self.cache.get(token)
         if found is None:
             plain = STRIP.sub("", token) if not token.isalpha() else token
-            disguised = len(plain) <= LONGEST and DISGUISED.match(plain) is not None
-            found = self.restored(plain) if disguised else plain
+            found = self.restored(plain) if DISGUISED.match(plain) else plain
             if len(self.cache) >= self.CACHE:
                 self.cache.clear()
             self.cache[token] = found
@@ -144,11 +234,21 @@ class Restorer:
                 return text
         return ends[0][1]
 
+    def run(self, run: str) -> set[str]:
+        """Words of single letters set apart, in pieces of which each begins `overlap` before the last one's end."""
+        out, a = set(), 0
+        while True:
+            b = a + 2 * self.overlap
+            out |= run_words(run[a:b], self.model, self.known, self.starts, a == 0, b >= len(run))
+            if b >= len(run):
+                return out
+            a = b - self.overlap
+
     def words(self, text: str | None) -> set[str]:
         low = (text or "").lower()
         out = set(map(self.word, set(low.split())))
         for m in APART.finditer(low):
-            out.add(self.restored(re.sub(r"\s+", " ", m.group())))
+            out |= self.run(m.group())
         out.discard("")
         return out
 

@@ -109,6 +109,14 @@ def test_toxicity_restores_disguised_words(spark):
     assert {9004, 9005, 9006} <= kept and not {9001, 9002, 9003} & kept
 
 
+def test_toxicity_restores_spaced_runs_and_long_tokens(spark):
+    docs, labels = toxic_tables(spark)
+    rows = ["a v u r g o here", "so v u r g o z e l l i c k then", "m i r a n t o s e v u r g o m i n t a r e s o n i t u r a", "a plain v" + "u" * 70 + "rgo mate", "plain " + "m i r a t e n o " * 200 + "z e l l i c k" + " r a n o s e" * 200, "a m i r a t e n o here", "m i r a n o t e " * 300, "a" + "_" * 60 + "%", "x1" * 5000, None]
+    more = spark.createDataFrame([(9100 + i, x) for i, x in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs.unionByName(more), labels).collect()}
+    assert [got[9100 + i] for i in range(len(rows))] == [1, 1, 1, 1, 1, 0, 0, 0, 0, 0]
+
+
 def test_toxicity_without_labels_or_documents(spark):
     docs, labels = toxic_tables(spark, 20)
     assert toxicity.score(docs, labels.limit(0)).count() == 26
