@@ -4,19 +4,22 @@ Three fixed kinds are found in every text: assignments, access keys and long hex
 runs. The method adds spans of kind `guess`: a value in a credential context (an
 assignment, a longer list of credential words, or user:value@ in a URL) is cut
 into words, dates, sequences, repeats, keyboard walks and brute-force characters
-so that the product of the segments' guesses is least; values that still need
+so that the product of the segments' guesses is least; words are those that guessers try
+first and then those of the public tokenizers' vocabularies, which are ranked by frequency; values that still need
 10^GUESS_LOG10 guesses or more are reported. Offsets are in code points, ends
 exclusive. Null and empty texts have no spans.
 """
 
 from __future__ import annotations
 
+import base64
 import functools
 import hashlib
 import math
 import re
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -39,6 +42,8 @@ CONTEXT_HINTS = (*ASSIGN_HINTS, "pwd", "pass", "credential", "private", "access"
 COMMON_WORDS = (
     "password", "admin", "welcome", "login", "letmein", "master", "monkey", "dragon", "secret", "token", "test", "guest", "root", "user", "hello", "love", "sunshine", "princess", "football", "baseball", "shadow", "superman", "batman", "trustno", "iloveyou", "access", "default", "changeme", "example", "placeholder", "dummy", "sample", "temp", "qwerty", "summer", "winter", "spring", "autumn", "demo", "server", "database", "system", "private", "public", "api", "key", "pass", "word", "null", "none", "true", "false", "your", "here", "insert", "replace", "todo", "abc", "foo", "bar", "the", "and", "for",
 )
+#: Vocabularies whose pieces that begin a word follow, by rank.
+VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4@301$57!", "aaeoissti")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
@@ -56,8 +61,23 @@ def _neighbours() -> frozenset[tuple[str, str]]:
 
 
 NEIGHBOURS = _neighbours()
-WORD_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-LONGEST_WORD = max(map(len, COMMON_WORDS))
+
+
+@functools.cache
+def word_ranks() -> tuple[dict[str, int], int]:
+    """Ranks of all words of three letters or more, the least of any list, and the longest word's length."""
+    out = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
+    for name in VOCABULARIES:
+        rank, seen = len(COMMON_WORDS), set()
+        with open(public_tokenizers.path(name), "rb") as lines:
+            for line in lines:
+                word = base64.b64decode(line.split()[0]).decode(errors="replace")
+                low = word[1:].lower()
+                if word[0] == " " and len(low) >= 3 and low.isalpha() and low not in seen:
+                    seen.add(low)
+                    rank += 1
+                    out[low] = min(rank, out.get(low, rank))
+    return out, max(map(len, out))
 
 
 def _alphabet(value: str) -> int:
@@ -71,12 +91,13 @@ def _segments(value: str) -> Iterator[tuple[int, int, float]]:
     low = value.lower()
     plain = low.translate(LEET)
     n = len(value)
+    ranks, longest = word_ranks()
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = WORD_RANK.get(low[i:j]) or WORD_RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
                 case = 0 if value[i:j] == low[i:j] else math.log10(2) if value[i:j] in (low[i:j].upper(), low[i:j].capitalize()) else (j - i) * math.log10(2)
-                yield i, j, math.log10(rank + 1) + case + (0 if low[i:j] in WORD_RANK else math.log10(4))
+                yield i, j, math.log10(rank + 1) + case + (0 if low[i:j] in ranks else math.log10(4))
         m = DATE.match(low, i)
         if m:
             yield i, m.end(), math.log10(366 * 119) if m.end() - i > 4 else math.log10(119)

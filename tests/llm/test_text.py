@@ -143,6 +143,15 @@ def test_guess_costs():
     assert g("x7" * 100) < 40
 
 
+def test_guess_costs_of_ordinary_words():
+    g = secrets.guess_log10
+    for value in ("international_2024", "Development_1", "administrator1", "gouvernement2"):
+        assert g(value) < secrets.GUESS_LOG10, value
+    for value in ("QwXzPlKmNbVt", "xvqzkwjpgtrb", "tR7$kq92!xWm", "k9Zx_2024_vLq"):
+        assert g(value) >= secrets.GUESS_LOG10, value
+    assert not secrets.guessed_spans("api_key: international_2024", "api_key: international_2024")
+
+
 def test_words_and_hashes():
     data, offsets = common.buffers(pa.array(["a b", None, "", " a\tb ", "ab"], pa.string()))
     starts, ends, bounds = common.scan_words(data, offsets)
