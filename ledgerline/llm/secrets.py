@@ -2,7 +2,7 @@
 
 Three fixed kinds are found in every text: assignments, access keys and long hex
 runs. The method adds spans of kind `guess`: a value in a credential context (an
-assignment, a longer list of credential words, or user:value@ in a URL) is cut
+assignment, a longer list of credential words, or user:value@ in a URL, with any user or none) is cut
 into words, dates, sequences, repeats, keyboard walks and brute-force characters
 so that the product of the segments' guesses is least; words are those that guessers try
 first and then those of the public tokenizers' vocabularies, which are ranked by frequency; values that still need
@@ -34,7 +34,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as runs of which short ones are dropped
 CONTEXT = re.compile(r"""(?:pwd|pass(?:word|wd|phrase|code)?|secret|token|api[_-]?key|credentials?|private[_-]?key|access[_-]?key|client[_-]?secret|bearer|authorization)["']?\x20*(?:[:=]\x20*|\x20)["']?(?:bearer\x20+)?([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII)
-IN_URL = re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{6,})@")
+IN_URL = re.compile(r"://[^\s/:@]*+:([^\s/@]{6,})@")
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 CONTEXT_HINTS = (*ASSIGN_HINTS, "pwd", "pass", "credential", "private", "access", "bearer", "authorization", "api-key")
 
@@ -163,7 +163,7 @@ def guessed_spans(text: str, low: str) -> list[tuple[int, int, int]]:
             found.add((a, a + len(text[a:b].rstrip(".,:!?)"))))
     if "://" in text:
         found |= {m.span(1) for m in IN_URL.finditer(text)}
-    return sorted((a, 3, b) for a, b in found if b - a >= MIN_VALUE and any(c.isdigit() or not c.isalnum() for c in text[a:b]) and guess_log10(text[a:b]) >= GUESS_LOG10)
+    return sorted((a, 3, b) for a, b in found if b - a >= MIN_VALUE and guess_log10(text[a:b]) >= GUESS_LOG10)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -137,6 +137,16 @@ def test_secrets(spark):
     assert "guess" not in got[10]["spans"] and "guess" not in got[1]["spans"]
 
 
+def test_secrets_of_letters_only_and_any_user_in_urls():
+    found = lambda text: [text[a:b] for a, _, b in secrets.guessed_spans(text, text.lower())]
+    assert found("pwd=QwXzPlKmNbVt x") == ["QwXzPlKmNbVt"]
+    assert found("Authorization: Bearer AbCdXqWzKjVp") == ["AbCdXqWzKjVp"]
+    assert found("redis://:tR7$kq92!xWm@host") == ["tR7$kq92!xWm"]
+    assert found(f"db://{'u' * 80}:QwXzPlKmNbVt@host") == ["QwXzPlKmNbVt"]
+    for text in ("pwd=international", "the secret agreement, the token password", "db://user:password@host", "db://@host:123456", "passphrase: development"):
+        assert found(text) == []
+
+
 def test_guess_costs():
     g = secrets.guess_log10
     assert g("password1") < 4 < g("xK9#mQ2$vL") and g("qwertyuiop") < 8 and g("aaaaaaaaaa") < 8 and g("2024-01-31") < 8
