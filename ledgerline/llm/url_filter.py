@@ -11,8 +11,8 @@ positive, else allow.
 
 A null url, or one without ://, has an empty host and path, fits no rule and is
 allowed. Rows are judged one by one, so repeated rows repeat; extra columns are
-ignored. Only JVM expressions, joins and aggregates are used; the number of
-rounds is fixed, and the edges are checkpointed once.
+ignored. Only JVM expressions, joins and aggregates are used; the edges are checkpointed
+once, and the scores every few rounds, until no host's score changes any more.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from . import common
 
 #: (host, path, verdict), as the rules are given.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-ROUNDS, DAMPING, THRESHOLD = 4, 0.85, 1.0
+DAMPING, THRESHOLD = 0.85, 1.0
+#: Scores have converged when none changes by more than this share of itself in a round; that is asked every CHECKED rounds.
+TOLERANCE, CHECKED = 1e-6, 4
 #: Host tables up to this many rows are broadcast (hosts are bounded by it times 300 bytes); beyond it both sides are shuffled.
 BROADCAST_HOSTS = 100_000
 
@@ -75,19 +77,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.join(totals, "src").select("src", "dst", (F.col("n") / F.col("t")).alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank: (host, score). `edges`: (src, dst, w); `seeds`: (host, seed), seeds summing to 1.
 
     A host's rank moves along its edges; what has no edge to go on goes back to
     no one, which only scales the scores. Each round is one join and one
-    aggregate whose partial sums are made before the shuffle.
+    aggregate whose partial sums are made before the shuffle. Without `rounds`, they
+    go on until no score changes by more than `tolerance` of itself, so that every
+    host that a seed reaches has one, and the whole changes by no more than that share.
     """
-    score = seeds.select("host", F.col("seed").alias("score"))
-    start = seeds.select("host", ((1 - damping) * F.col("seed")).alias("score"))
-    for _ in range(rounds):
-        moved = edges.join(score.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (damping * F.col("w") * F.col("score")).alias("score"))
-        score = moved.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
-    return score
+    score = seeds.select("host", F.col("seed").alias("score"), F.lit(0.0).alias("before"))
+    start = seeds.select("host", ((1 - damping) * F.col("seed")).alias("score"), F.lit(0.0).alias("before"))
+    done = 0
+    while rounds is None or done < rounds:
+        moved = edges.join(score.select(F.col("host").alias("src"), "score"), "src").select(F.col("dst").alias("host"), (damping * F.col("w") * F.col("score")).alias("score"), F.lit(0.0).alias("before"))
+        last = score.select("host", F.lit(0.0).alias("score"), F.col("score").alias("before"))
+        score = moved.unionByName(start).unionByName(last).groupBy("host").agg(F.sum("score").alias("score"), F.sum("before").alias("before"))
+        done += 1
+        if done % CHECKED == 0:
+            score = common.checkpointed(score)
+            moving = F.abs(F.col("score") - F.col("before")) > tolerance * F.col("score")
+            if rounds is None and score.filter(moving).isEmpty():
+                break
+    return score.select("host", "score")
 
 
 def _seeds(hosts: DataFrame, rules, verdict: str) -> DataFrame:
@@ -98,7 +110,7 @@ def _seeds(hosts: DataFrame, rules, verdict: str) -> DataFrame:
     return own.crossJoin(F.broadcast(total)).select("host", (F.col("pages") / F.col("t")).alias("seed"))
 
 
-def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+def host_scores(pages: DataFrame, rules=RULES, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust) of all hosts that have any."""
     edges = common.checkpointed(host_edges(pages))
     hosts = common.checkpointed(pages.select(host_of(F.col("url")).alias("host")).filter(F.col("host") != "").groupBy("host").agg(F.count("*").alias("pages")))

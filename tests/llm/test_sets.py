@@ -259,3 +259,18 @@ def test_pagerank_by_hand(spark):
     one = {"a": 0.5, "b": 0.5}
     two = {"a": 0.5 + 0.5 * 0.5 * one["b"], "b": 0.5 * one["a"], "c": 0.5 * 0.5 * one["b"]}
     assert got == two
+
+
+def test_scores_go_on_until_they_settle(spark):
+    link = lambda *to: "".join(f'<a href="http://{h}/x">t</a>' for h in to)
+    rows = [(0, "http://bad.net/", "")] + [(k, f"http://fan{k}.test/", link(f"fan{k - 1}.test" if k > 1 else "bad.net")) for k in range(1, 13)]
+    rows += [(100, "http://good.org/", link("ring0.test"))] + [(101 + k, f"http://ring{k}.test/", link(f"ring{(k + 1) % 7}.test")) for k in range(7)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["host"]: r for r in url_filter.judge(d).collect()}
+    assert all(got[f"fan{k}.test"]["verdict"] == "block" for k in range(1, 13))
+    for k in range(13):
+        score = 0.15 * 0.85**k
+        assert abs(got[f"fan{k}.test" if k else "bad.net"]["distrust"] - score) < 1e-6 * score
+    for k in range(7):
+        score = 0.15 * 0.85 ** (k + 1) / (1 - 0.85**7)
+        assert got[f"ring{k}.test"]["verdict"] == "allow" and abs(got[f"ring{k}.test"]["trust"] - score) < 1e-5 * score
