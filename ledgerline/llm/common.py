@@ -1,7 +1,7 @@
 """Shared vectorised text scanning for the training-data operators.
 
-Everything works on Arrow buffers in slices of bounded byte size, so a worker's
-memory depends on the longest document, never on the number of rows.
+Scans work on Arrow buffers in slices of bounded byte size, so what they hold
+depends on the longest document, never on the number of rows.
 """
 
 from __future__ import annotations
@@ -139,6 +139,18 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, counts) + np.arange(total)
 
 
+def fresh(df, *names: str) -> list[str]:
+    """Column names that begin like `names` and are not in `df`, in no case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows of an Arrow batch of texts, where the session has Spark's default of ten thousand.
 BATCH_ROWS = 1000
 
@@ -158,12 +170,19 @@ def read(spark, sf_dir: str, table: str):
 def checkpointed(df, eager: bool = True):
     """`df` with its lineage cut by a reliable checkpoint.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where
-    that is unset, as in tests, a folder in the warehouse is used.
+    The folder is the one the cluster names in spark.checkpoint.dir. Where that is
+    unset, as in tests, a folder in the warehouse is used, but only by a local master.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(place)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
+
+
+def shared_folder(spark) -> str:
+    """Where driver and executors both write: spark.checkpoint.dir, or on a local master a folder in the warehouse."""
+    sc = spark.sparkContext
+    place = sc.getConf().get("spark.checkpoint.dir")
+    if not place and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return (place or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
