@@ -174,6 +174,38 @@ def test_neighbours(spark):
     assert neighbours.search(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_tiles_lose_no_neighbour_of_wide_vectors():
+    r = np.random.default_rng(9)
+    for d in (64, 1536, 4096):
+        v = (100 + r.integers(-3, 4, (200, d))).astype(np.float64)
+        ids, scores = np.arange(200), v @ v.T
+        found = {int(q): (c.tolist(), s.tolist()) for q, c, s in neighbours.tile(ids[:40], v[:40], ids, v, 20)}
+        for q in range(40):
+            want = sorted((c for c in range(200) if c != q), key=lambda c: (-scores[q, c], c))[:20]
+            assert found[q] == (want, [scores[q, c] for c in want])
+
+
+def test_tiles_of_extreme_values():
+    v = np.array([[1e200, 1.0], [1e-320, 0.0], [-1e200, 2.0], [3.0, 4.0], [1e160, 1e160]])
+    found = {int(q): c.tolist() for q, c, _ in neighbours.tile(np.arange(5), v, np.arange(5), v, 2)}
+    assert found[3] == [0, 4] and found[1] == [0, 4]
+
+
+def test_neighbours_over_many_tiles(spark, monkeypatch):
+    for name, rows in (("QUERY_ROWS", 7), ("CANDIDATE_ROWS", 11), ("ROWS", 3), ("TASKS", 5)):
+        monkeypatch.setattr(neighbours, name, rows)
+    v = np.random.default_rng(10).integers(-2, 3, (120, 6)).astype(np.float64)  # many ties
+    v[:, 0] = 1
+    d = spark.createDataFrame([(i, x.tolist(), "t") for i, x in enumerate(v)], "vec_id long, embedding array<double>, rank string")
+    got = {}
+    for row in neighbours.search(d, d.filter("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(row["query_id"], {})[row["rank"]] = (row["vec_id"], row["score"])
+    scores = v @ v.T
+    for q in range(0, 120, 20):
+        want = sorted((c for c in range(120) if c != q), key=lambda c: (-scores[q, c], c))[:20]
+        assert [got[q][k + 1] for k in range(20)] == [(c, scores[q, c]) for c in want]
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     common_words = [f"c{k}" for k in range(30)]
