@@ -6,8 +6,13 @@ assignment, a longer list of credential words, or user:value@ in a URL, with any
 into words, dates, sequences, repeats, keyboard walks and brute-force characters
 so that the product of the segments' guesses is least; words are those that guessers try
 first and then those of the public tokenizers' vocabularies, which are ranked by frequency; values that still need
-10^GUESS_LOG10 guesses or more are reported. Offsets are in code points, ends
-exclusive. Null and empty texts have no spans.
+10^GUESS_LOG10 guesses or more are reported. Values of any length are segmented
+whole, from left to right, and no further than until every segmentation is known
+to cost the limit. Offsets are in code points, ends exclusive.
+
+Null and empty texts have no spans; an empty table gives no rows. Rows are scanned
+one by one, so repeated rows repeat; extra columns are ignored. Spans that start
+together go by kind, then by end.
 """
 
 from __future__ import annotations
@@ -27,8 +32,10 @@ KINDS = ("assign", "access", "hex", "guess")
 #: Values that take at least 10 to this power of guesses are reported.
 GUESS_LOG10 = 8.0
 MIN_VALUE, MIN_HEX, MIN_ACCESS = 6, 24, 20
-#: Longest value that is segmented whole; a longer one is segmented in pieces of this length, whose costs add up.
-PIECE = 64
+#: Longest block that counts as repeated. Longer ones cost more than the limit by themselves (16 letters cost 10^18).
+BLOCK = 16
+#: Longest keyboard walk that is one segment; longer ones are several.
+WALK = 32
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -86,59 +93,79 @@ def _alphabet(value: str) -> int:
     return size + (33 if any(not c.isalnum() for c in value) else 0) or 10
 
 
-def _segments(value: str) -> Iterator[tuple[int, int, float]]:
-    """(start, end, log10 guesses) of every segment that is cheaper than brute force."""
+def _reaches(n: int, joined) -> list[int]:
+    """For each place the end of the longest stretch from it whose neighbours are `joined` (i with i + 1)."""
+    out = [n] * n
+    for i in range(n - 2, -1, -1):
+        out[i] = out[i + 1] if joined(i) else i + 1
+    return out
+
+
+def _segments(value: str) -> Iterator[list[tuple[int, float]]]:
+    """For each place, the (end, log10 guesses) of the segments from it that may be cheaper than brute force."""
     low = value.lower()
+    if len(low) != len(value):  # a letter whose lower case is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
     n = len(value)
     ranks, longest = word_ranks()
+    alike = _reaches(n, lambda i: low[i] == low[i + 1])
+    walks = _reaches(n, lambda i: (low[i], low[i + 1]) in NEIGHBOURS)
+    rows = [_reaches(n, lambda i, step=step: ord(low[i + 1]) - ord(low[i]) == step and low[i + 1].isalnum()) for step in (1, -1)]
     for i in range(n):
+        out = []
         for j in range(i + 3, min(n, i + longest) + 1):
             rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
                 case = 0 if value[i:j] == low[i:j] else math.log10(2) if value[i:j] in (low[i:j].upper(), low[i:j].capitalize()) else (j - i) * math.log10(2)
-                yield i, j, math.log10(rank + 1) + case + (0 if low[i:j] in ranks else math.log10(4))
+                out.append((j, math.log10(rank + 1) + case + (0 if low[i:j] in ranks else math.log10(4))))
         m = DATE.match(low, i)
         if m:
-            yield i, m.end(), math.log10(366 * 119) if m.end() - i > 4 else math.log10(119)
-        j = i + 1
-        while j < n and low[j] == low[i]:
-            j += 1
-        if j - i >= 3:
-            yield i, j, math.log10(26 * (j - i))
-        for size in range(2, min(16, (n - i) // 2) + 1):
-            block = low[i : i + size]
-            j = i + size
-            while low.startswith(block, j):
-                j += size
-            if j > i + size:
-                yield i, j, size * math.log10(26) * 0.8 + math.log10((j - i) // size)
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in NEIGHBOURS:
-            j += 1
-        for k in range(i + 4, j + 1):
-            yield i, k, math.log10(47) + (k - i) * math.log10(1.6)
-        for step in (1, -1):
-            j = i + 1
-            while j < n and ord(low[j]) - ord(low[j - 1]) == step and low[j].isalnum():
-                j += 1
-            if j - i >= 3:
-                yield i, j, math.log10(26 * 2 * (j - i))
+            out.append((m.end(), math.log10(366 * 119) if m.end() - i > 4 else math.log10(119)))
+        if alike[i] - i >= 3:
+            out.append((alike[i], math.log10(26 * (alike[i] - i))))
+        for size in range(2, min(BLOCK, (n - i) // 2) + 1):
+            if low[i : i + size] == low[i + size : i + 2 * size] and (i < size or low[i - size : i] != low[i : i + size]):
+                block, j = low[i : i + size], i + 2 * size
+                while low.startswith(block, j):
+                    j += size
+                out.append((j, size * math.log10(26) * 0.8 + math.log10((j - i) // size)))
+        for k in range(i + 4, min(walks[i], i + WALK) + 1):
+            out.append((k, math.log10(47) + (k - i) * math.log10(1.6)))
+        for reach in rows:
+            if reach[i] - i >= 3:
+                out.append((reach[i], math.log10(26 * 2 * (reach[i] - i))))
+        yield out
+
+
+def guess_log10(value: str, enough: float = math.inf) -> float:
+    """log10 of the guesses of the cheapest segmentation; if that is `enough` or more, any number from `enough` on.
+
+    Every segmentation has an end at a place or a segment over it, so once all
+    of these cost `enough`, so does the whole.
+    """
+    brute, n = math.log10(_alphabet(value)), len(value)
+    best = [0.0] + [math.inf] * n
+    over: dict[int, float] = {}  # ends of segments over this place, and the costs up to them
+    for i, segments in enumerate(_segments(value)):
+        best[i] = min(best[i], over.pop(i, math.inf))
+        least = min([best[i], *over.values()])
+        if least >= enough:
+            return least
+        best[i + 1] = min(best[i + 1], best[i] + brute)
+        for j, cost in segments:
+            over[j] = min(over.get(j, math.inf), best[i] + cost + math.log10(1.5))
+    return min(best[n], over.get(n, math.inf))
+
+
+def hard(value: str) -> bool:
+    """Whether the value takes 10^GUESS_LOG10 guesses or more."""
+    return _hard(value) if len(value) <= 128 else guess_log10(value, GUESS_LOG10) >= GUESS_LOG10
 
 
 @functools.lru_cache(1 << 14)
-def guess_log10(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation."""
-    if len(value) > PIECE:
-        return sum(guess_log10(value[i : i + PIECE]) for i in range(0, len(value), PIECE))
-    brute = math.log10(_alphabet(value))
-    ending: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in _segments(value):
-        ending.setdefault(j, []).append((i, cost))
-    best = [0.0] * (len(value) + 1)
-    for j in range(1, len(value) + 1):
-        best[j] = min([best[j - 1] + brute, *(best[i] + cost + math.log10(1.5) for i, cost in ending.get(j, ()))])
-    return best[-1]
+def _hard(value: str) -> bool:
+    return guess_log10(value, GUESS_LOG10) >= GUESS_LOG10
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
@@ -163,7 +190,7 @@ def guessed_spans(text: str, low: str) -> list[tuple[int, int, int]]:
             found.add((a, a + len(text[a:b].rstrip(".,:!?)"))))
     if "://" in text:
         found |= {m.span(1) for m in IN_URL.finditer(text)}
-    return sorted((a, 3, b) for a, b in found if b - a >= MIN_VALUE and guess_log10(text[a:b]) >= GUESS_LOG10)
+    return sorted((a, 3, b) for a, b in found if b - a >= MIN_VALUE and hard(text[a:b]))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
