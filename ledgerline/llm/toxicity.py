@@ -4,24 +4,26 @@ A character trigram model is counted over all texts. A token that looks
 disguised (digits or signs among its letters, letters repeated three times or
 more, or single letters set apart) becomes a lattice: every character may stand
 for itself or for letters it resembles, repeated letters may be dropped, and
-separators vanish. A Viterbi pass finds the cheapest readings
-under the channel and the character model; if one of the cheap readings is a
-word that the classifier knows, that reading is taken. In a run of single letters
+separators vanish. A Viterbi pass finds the cheapest reading
+under the channel and the character model; if a word that the classifier knows can be
+read for at most MARGIN more, the cheapest such word is taken: a second pass follows
+the beginnings of known words only, and so misses none. In a run of single letters
 set apart, every separator may also end a word: the words of the cheapest reading
 count, and every known word of a reading that is nearly as cheap. The restored
 words are then scored by log-odds.
 
 The classifier is naive Bayes over distinct restored words. It is fitted on at
 most SAMPLE labelled rows (those with the smallest hashes of their ids, fold 0 of
-five left out), without near copies among them, keeps words whose G2 statistic is at least MIN_G2, and at most
-MAX_WORDS of them. Only the text enters a score. An empty or null text scores
+five left out), without near copies among them, keeps words whose G2 statistic is at least MIN_G2. Only the text enters a score. An empty or null text scores
 the prior. Null labels and labels without a document are ignored; of repeated
-labels for an id the largest counts.
+labels for an id the largest counts. Rows are scored one by one, so repeated rows
+repeat, and rows that repeat an id each enter the fit with their label. An empty
+table gives no rows; without labels of both kinds all texts score the same, below
+a half. Extra columns are ignored by `score` and pass through `clean`.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 
@@ -32,10 +34,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, MIN_G2, MIN_DOCS, MAX_WORDS = 20_000, 30.0, 5, 2_000
+SAMPLE, MIN_G2, MIN_DOCS = 20_000, 30.0, 5
 FOLDS = 5
-#: Readings kept for each state of a lattice, and how much costlier than the cheapest a known word may be.
-PATHS, MARGIN = 3, 8.0
+#: How much costlier than the cheapest reading a known word may be, in nats.
+MARGIN = 8.0
 #: Characters of a run that are decoded at once, at least; longer runs are decoded in overlapping pieces.
 PIECE = 512
 
@@ -43,7 +45,7 @@ PIECE = 512
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
 SUBSTITUTE, KEEP_ODD, DROP_REPEAT, KEEP_REPEAT, SKIP, BOUNDARY = 1.0, 6.0, 0.5, 1.5, 0.1, 1.5
 
-SEPARATORS, PRIME = ".-_* ", (1 << 61) - 1
+SEPARATORS = ".-_* "
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 EDGE, OUTSIDE = len(ALPHABET), len(ALPHABET) + 1
 SIZE = 64
@@ -58,7 +60,7 @@ for _c in " \t\n\x0b\x0c\r":
 STRIP = re.compile(r"^[^\w@$!|+(€£#*]+|[^\w]+$")
 DISGUISED = re.compile(r"(?=.*[^\W\d_])(?:.*[\d@$!|+(€£#*].*|.*([^\W\d_])\1\1.*|[^\W\d_](?:[._\-*][^\W\d_]){2,})$")
 _UNIT = r"(?:[^\W_]|[@$!|])(?![^\s.\-_*])"
-APART = re.compile(rf"(?<!\S){_UNIT}(?:(?=[ .\-_*])_*+(?:[ .\-*]_*+){{0,3}}+{_UNIT}){{2,}}(?!\S)")
+APART = re.compile(rf"(?<!\S){_UNIT}(?:[ .\-_*]++{_UNIT}){{2,}}(?!\S)")
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
@@ -102,29 +104,27 @@ def choices(token: str, i: int) -> list[tuple[str, float]]:
     return out
 
 
-def readings(token: str, model: CharModel) -> list[tuple[float, str]]:
-    """The cheapest readings of a token, cheapest first.
+def cheapest(token: str, model: CharModel) -> tuple[float, str] | None:
+    """Cost and text of the cheapest reading; of equal ones the first in the alphabet.
 
     Viterbi over states (last two letters read, last character that was read as
-    one); each state keeps its PATHS cheapest readings, as (cost, hash of the
-    letters, linked letters), so that time grows with the token's length only.
+    one), each with its cheapest way there as linked letters.
     """
-    states = {(EDGE, EDGE, ""): [(0.0, 0, None)]}
+    states: dict[tuple[int, int, str], tuple] = {(EDGE, EDGE, ""): (0.0, None)}
     for i, c in enumerate(token):
         separator = c in SEPARATORS
         repeat = i > 0 and c == token[i - 1]
         read = choices(token, i)
-        nxt: dict[tuple[int, int, str], list[tuple]] = {}
-        for (a, b, last), paths in states.items():
-            for x, w in read:
-                code = int(_CODE[ord(x)])
-                step = w + float(model.cost[a, b, code])
-                nxt.setdefault((b, code, c), []).extend((cost + step, (h * 1_000_003 + ord(x)) % PRIME, (node, x)) for cost, h, node in paths)
+        nxt: dict[tuple[int, int, str], tuple] = {}
+        for (a, b, last), (cost, node) in states.items():
+            ways = [((b, code, c), cost + w + float(model.cost[a, b, code]), (node, x)) for x, w in read for code in (int(_CODE[ord(x)]),)]
             if separator or repeat and last == c:
-                step = SKIP if separator else DROP_REPEAT
-                nxt.setdefault((a, b, last), []).extend((cost + step, h, node) for cost, h, node in paths)
-        states = {state: heapq.nsmallest(PATHS, {path[:2]: path for path in paths}.values()) for state, paths in nxt.items()}
-    return sorted({(cost + float(model.cost[a, b, EDGE]), spelled(node)) for (a, b, _), paths in states.items() for cost, _, node in paths})
+                ways.append(((a, b, last), cost + (SKIP if separator else DROP_REPEAT), node))
+            for to, total, way in ways:
+                if to not in nxt or total < nxt[to][0]:
+                    nxt[to] = (total, way)
+        states = nxt
+    return min(((cost + float(model.cost[a, b, EDGE]), spelled(node)) for (a, b, _), (cost, node) in states.items()), default=None)
 
 
 def spelled(node) -> str:
@@ -135,6 +135,34 @@ def spelled(node) -> str:
     return "".join(reversed(out))
 
 
+def known_word(token: str, model: CharModel, known: frozenset[str], starts: frozenset[str], limit: float) -> str | None:
+    """The known word that the token can be read as at the least cost, if that is at most `limit`.
+
+    States are (beginning of known words, last character read as a letter); all others are left at once.
+    """
+    edge = lambda word, k: int(_CODE[ord(word[-k])]) if len(word) >= k else EDGE
+    states = {("", ""): 0.0} if starts else {}
+    for i, c in enumerate(token):
+        separator = c in SEPARATORS
+        repeat = i > 0 and c == token[i - 1]
+        read = choices(token, i)
+        nxt: dict[tuple[str, str], float] = {}
+        for (word, last), cost in states.items():
+            if separator or repeat and last == c:
+                total = cost + (SKIP if separator else DROP_REPEAT)
+                if total <= limit and total < nxt.get((word, last), math.inf):
+                    nxt[word, last] = total
+            for x, w in read:
+                if word + x in starts:
+                    total = cost + w + float(model.cost[edge(word, 2), edge(word, 1), int(_CODE[ord(x)])])
+                    if total <= limit and total < nxt.get((word + x, c), math.inf):
+                        nxt[word + x, c] = total
+        states = nxt
+    ends = ((cost + float(model.cost[edge(word, 2), edge(word, 1), EDGE]), word) for (word, _), cost in states.items() if word in known)
+    found = min(ends, default=(math.inf, ""))
+    return found[1] if found[0] <= limit else None
+
+
 def run_words(run: str, model: CharModel, known: frozenset[str], starts: frozenset[str], first: bool = True, last: bool = True) -> set[str]:
     """Words of the cheapest reading of letters set apart, and known words of readings that cost at most MARGIN more.
 
@@ -226,13 +254,10 @@ class Restorer:
     def restored(self, token: str) -> str:
         if token in self.known:
             return token
-        ends = readings(token, self.model)
-        if not ends:
+        best = cheapest(token, self.model)
+        if best is None:
             return token
-        for cost, text in ends:
-            if cost <= ends[0][0] + MARGIN and text in self.known:
-                return text
-        return ends[0][1]
+        return known_word(token, self.model, self.known, self.starts, best[0] + MARGIN) or best[1]
 
     def run(self, run: str) -> set[str]:
         """Words of single letters set apart, in pieces of which each begins `overlap` before the last one's end."""
@@ -287,12 +312,14 @@ def one_of_each_family(rows: DataFrame, hashes: int = 4) -> DataFrame:
     rows = common.checkpointed(rows)
     keys = rows.select("doc_id", "text").mapInArrow(signed, "doc_id long, key long, i int")
     first = keys.groupBy("i", "key").agg(F.min("doc_id").alias("first"))
+    if rows.count() <= SAMPLE:
+        first = F.broadcast(first)  # at most `hashes` short rows for each
     later = keys.join(first, ["i", "key"]).filter(F.col("doc_id") > F.col("first")).select("doc_id").distinct()
     return rows.join(later, "doc_id", "left_anti").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, model: CharModel, sample: int = SAMPLE) -> tuple[float, dict[str, float]]:
-    """The prior's log-odds and the words' weights."""
+    """The prior's log-odds and the words' weights. The sample bounds how many words there are."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
     picked = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # bounded by `sample`
     rows = one_of_each_family(docs.select("doc_id", "text").join(picked, "doc_id"))
@@ -320,7 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel, sample: int = SAMP
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) + F.when(rows_of - seen > 0, (rows_of - seen) * F.log((rows_of - seen) / rest)).otherwise(0.0)
 
     g2 = 2 * (part(F.col("clean"), F.lit(float(n0))) + part(F.col("toxic"), F.lit(float(n1))))
-    best = table.filter(F.col("word") != "").withColumn("g2", g2).filter(F.col("g2") >= MIN_G2).orderBy(F.desc("g2"), "word").limit(MAX_WORDS).collect()
+    best = table.filter(F.col("word") != "").withColumn("g2", g2).filter(F.col("g2") >= MIN_G2).collect()
     weight = lambda r: math.log((r["toxic"] + 0.5) / (n1 + 1)) - math.log((r["clean"] + 0.5) / (n0 + 1))
     return math.log(n1 / n0), {r["word"]: max(-6.0, min(6.0, weight(r))) for r in best}
 

@@ -1,8 +1,11 @@
 """Tokenizers, toxicity and secrets against their libraries and brute force."""
 
 import base64
+import functools
 import hashlib
+import math
 import random
+import re
 import struct
 
 import numpy as np
@@ -162,6 +165,117 @@ def test_guess_costs_of_ordinary_words():
     assert not secrets.guessed_spans("api_key: international_2024", "api_key: international_2024")
 
 
+def test_guess_costs_are_the_least_of_all_segmentations():
+    r = random.Random(11)
+    pieces = ["password", "Admin", "2024-01-31", "qwerty", "aaaa", "abc", "zx", "9!", "ababab", "P@ss", "K", "54321", "é"]
+    for _ in range(120):
+        value = "".join(r.choice(pieces) for _ in range(r.randint(1, 4)))[:18]
+        segments, brute = list(secrets._segments(value)), math.log10(secrets._alphabet(value))
+
+        def least(i, value=value, segments=segments, brute=brute):
+            if i == len(value):
+                return 0.0
+            return min([brute + least(i + 1), *(cost + math.log10(1.5) + least(j) for j, cost in segments[i])])
+
+        want = functools.cache(least)(0)
+        assert abs(secrets.guess_log10(value) - want) < 1e-9
+        assert (secrets.guess_log10(value, 8.0) >= 8.0) == (want >= 8.0 - 1e-12)
+
+
+def test_guess_costs_of_long_values():
+    assert secrets.guess_log10("a" * 200_000) < 8 and not secrets.hard("ab" * 50_000)
+    assert abs(secrets.guess_log10("a" * 64) - secrets.guess_log10("a" * 65)) < 0.1
+    long = "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=300_000))
+    assert secrets.hard(long)
+    text = f"x token={long} y"
+    assert secrets.guessed_spans(text, text.lower()) == [(8, 3, 8 + len(long))]
+
+
+def brute_base_spans(text):
+    """The contract's expressions one by one; failing matches are dropped after matching."""
+    out = []
+    for kind, (pattern, flags, fits) in enumerate((
+        (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m.group(2)) >= 6),
+        (r"AKIA[A-Z0-9]+", 0, lambda m: len(m.group()) >= 20),
+        (r"[0-9a-f]+", 0, lambda m: len(m.group()) >= 24),
+    )):
+        out += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text, flags) if fits(m)]
+    return sorted(out)
+
+
+def test_base_spans_against_the_plain_expressions(spark):
+    r = random.Random(12)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "ff", "x", "é", "😀", "\n", "abc/+_.=-9", "kelvin \u212a", "ſ", "tokentoken"]
+    rows = [None, "", *("".join(r.choice(bits) for _ in range(r.randint(1, 25))) for _ in range(400)), "z" * 200_000 + " secret: abcdef9 "]
+    rows += rows[5:8]
+    d = spark.createDataFrame([(i, x, "n") for i, x in enumerate(rows)], "doc_id long, text string, spans string")
+    got = {x["doc_id"]: x for x in secrets.scan(d).collect()}
+    assert len(got) == len(rows)
+    hits = 0
+    for i, text in enumerate(rows):
+        want = brute_base_spans(text or "")
+        hits += len(want)
+        assert [got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]] == [sum(x[1] == k for x in want) for k in range(3)]
+        told = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        spans = [x for x in got[i]["spans"].split(",") if x]
+        assert [x for x in spans if not x.startswith("guess")] == [x for x in told.split(",") if x]
+    assert hits > 60
+    assert secrets.scan(d.limit(0)).count() == 0
+
+
+def small_model(seed=2):
+    r = random.Random(seed)
+    text = " ".join("".join(r.choice("aeioumnrst") for _ in range(r.randint(2, 7))) for _ in range(500))
+    c = toxicity._CODE[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int64)
+    grams, counts = np.unique((c[:-2] * toxicity.SIZE + c[1:-1]) * toxicity.SIZE + c[2:], return_counts=True)
+    return toxicity.CharModel(grams, counts)
+
+
+def brute_readings(token, model):
+    """Every reading of a token with its cost, one path after another."""
+    out = []
+
+    def follow(i, a, b, last, cost, text):
+        if i == len(token):
+            out.append((cost + float(model.cost[a, b, toxicity.EDGE]), text))
+            return
+        c = token[i]
+        for x, w in toxicity.choices(token, i):
+            code = int(toxicity._CODE[ord(x)])
+            follow(i + 1, b, code, c, cost + w + float(model.cost[a, b, code]), text + x)
+        if c in toxicity.SEPARATORS:
+            follow(i + 1, a, b, last, cost + toxicity.SKIP, text)
+        elif i and c == token[i - 1] and last == c:
+            follow(i + 1, a, b, last, cost + toxicity.DROP_REPEAT, text)
+
+    follow(0, toxicity.EDGE, toxicity.EDGE, "", 0.0, "")
+    return out
+
+
+def test_viterbi_against_all_readings():
+    model, r = small_model(), random.Random(13)
+    for _ in range(80):
+        token = "".join(r.choice("aeimnrstt1035@$!.-*") for _ in range(r.randint(2, 8)))
+        every = brute_readings(token, model)
+        cost, text = toxicity.cheapest(token, model)
+        assert abs(cost - min(x for x, _ in every)) < 1e-6 and any(t == text and abs(x - cost) < 1e-6 for x, t in every)
+        known = frozenset(t for _, t in r.sample(every, min(4, len(every)))) - {""}
+        starts = frozenset(w[:i] for w in known for i in range(len(w) + 1))
+        limit = cost + toxicity.MARGIN
+        want = min((x, t) for x, t in every if t in known) if known else (math.inf, None)
+        assert toxicity.known_word(token, model, known, starts, limit) == (want[1] if want[0] <= limit else None)
+
+
+def test_toxicity_of_wide_gaps_repeats_and_ties(spark):
+    docs, labels = toxic_tables(spark)
+    rows = ["so v     u     r     g     o then", "vurg0" + "o" * 40 + " and", "plain ties mate", "plain ties mate"]
+    more = spark.createDataFrame([(9200 + min(i, 2), x) for i, x in enumerate(rows)], "doc_id long, text string")
+    out = toxicity.score(docs.unionByName(more).withColumn("score", docs.doc_id), labels.withColumn("quality", labels.toxic)).filter("doc_id >= 9200").collect()
+    assert sorted((r["doc_id"], r["predicted"]) for r in out) == [(9200, 1), (9201, 1), (9202, 0), (9202, 0)]
+    assert len({r["score"] for r in out if r["doc_id"] == 9202}) == 1
+
+
 def test_words_and_hashes():
     data, offsets = common.buffers(pa.array(["a b", None, "", " a\tb ", "ab"], pa.string()))
     starts, ends, bounds = common.scan_words(data, offsets)
