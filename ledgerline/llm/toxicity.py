@@ -104,6 +104,11 @@ def choices(token: str, i: int) -> list[tuple[str, float]]:
     return out
 
 
+def repeats(c: str, before: str, code: int, read: list[tuple[str, float]]) -> bool:
+    """Whether a character only prolongs the letter (`code`) that the one before it was read as: it is the same, or may be read so."""
+    return c == before or any(int(_CODE[ord(x)]) == code for x, _ in read)
+
+
 def cheapest(token: str, model: CharModel) -> tuple[float, str] | None:
     """Cost and text of the cheapest reading; of equal ones the first in the alphabet.
 
@@ -112,14 +117,15 @@ def cheapest(token: str, model: CharModel) -> tuple[float, str] | None:
     """
     states: dict[tuple[int, int, str], tuple] = {(EDGE, EDGE, ""): (0.0, None)}
     for i, c in enumerate(token):
-        separator = c in SEPARATORS
-        repeat = i > 0 and c == token[i - 1]
+        separator, before = c in SEPARATORS, token[i - 1] if i else None
         read = choices(token, i)
         nxt: dict[tuple[int, int, str], tuple] = {}
         for (a, b, last), (cost, node) in states.items():
             ways = [((b, code, c), cost + w + float(model.cost[a, b, code]), (node, x)) for x, w in read for code in (int(_CODE[ord(x)]),)]
-            if separator or repeat and last == c:
-                ways.append(((a, b, last), cost + (SKIP if separator else DROP_REPEAT), node))
+            if separator:
+                ways.append(((a, b, last), cost + SKIP, node))
+            elif last == before and repeats(c, before, b, read):
+                ways.append(((a, b, c), cost + DROP_REPEAT, node))
             for to, total, way in ways:
                 if to not in nxt or total < nxt[to][0]:
                     nxt[to] = (total, way)
@@ -143,15 +149,14 @@ def known_word(token: str, model: CharModel, known: frozenset[str], starts: froz
     edge = lambda word, k: int(_CODE[ord(word[-k])]) if len(word) >= k else EDGE
     states = {("", ""): 0.0} if starts else {}
     for i, c in enumerate(token):
-        separator = c in SEPARATORS
-        repeat = i > 0 and c == token[i - 1]
+        separator, before = c in SEPARATORS, token[i - 1] if i else None
         read = choices(token, i)
         nxt: dict[tuple[str, str], float] = {}
         for (word, last), cost in states.items():
-            if separator or repeat and last == c:
-                total = cost + (SKIP if separator else DROP_REPEAT)
-                if total <= limit and total < nxt.get((word, last), math.inf):
-                    nxt[word, last] = total
+            if separator or last == before and repeats(c, before, edge(word, 1), read):
+                total, to = cost + (SKIP if separator else DROP_REPEAT), (word, last if separator else c)
+                if total <= limit and total < nxt.get(to, math.inf):
+                    nxt[to] = total
             for x, w in read:
                 if word + x in starts:
                     total = cost + w + float(model.cost[edge(word, 2), edge(word, 1), int(_CODE[ord(x)])])
@@ -173,15 +178,16 @@ def run_words(run: str, model: CharModel, known: frozenset[str], starts: frozens
     came: list[dict] = []  # the cheapest arc into it
     arcs: list[dict] = []  # state: (letter, state after it, cost)
     for i, c in enumerate(run):
-        separator = c in SEPARATORS
-        repeat = i > 0 and c == run[i - 1]
+        separator, before = c in SEPARATORS, run[i - 1] if i else None
         read = choices(run, i)
         here, nxt, back = {}, {}, {}
         for state, cost in ahead[-1].items():
-            a, b, before = state
+            a, b, letter = state
             out = [(x, (b, code, c), w + float(model.cost[a, b, code])) for x, w in read for code in (int(_CODE[ord(x)]),)]
-            if separator or repeat and before == c:
-                out.append(("", state, SKIP if separator else DROP_REPEAT))
+            if separator:
+                out.append(("", state, SKIP))
+            elif letter == before and repeats(c, before, b, read):
+                out.append(("", (a, b, c), DROP_REPEAT))
             if separator and state != fresh:
                 out.append((" ", fresh, BOUNDARY + float(model.cost[a, b, EDGE])))
             here[state] = out

@@ -246,8 +246,8 @@ def brute_readings(token, model):
             follow(i + 1, b, code, c, cost + w + float(model.cost[a, b, code]), text + x)
         if c in toxicity.SEPARATORS:
             follow(i + 1, a, b, last, cost + toxicity.SKIP, text)
-        elif i and c == token[i - 1] and last == c:
-            follow(i + 1, a, b, last, cost + toxicity.DROP_REPEAT, text)
+        elif i and last == token[i - 1] and (c == last or any(int(toxicity._CODE[ord(x)]) == b for x, _ in toxicity.choices(token, i))):
+            follow(i + 1, a, b, c, cost + toxicity.DROP_REPEAT, text)
 
     follow(0, toxicity.EDGE, toxicity.EDGE, "", 0.0, "")
     return out
