@@ -248,6 +248,42 @@ def test_decontamination_of_long_items(spark):
     assert all(got[900 + k, k] > 0.999 for k in range(1, 5))
 
 
+def variants(r, item, mixed):
+    """Exact, word-swapped and sentence-shuffled copies of an item, with other words around."""
+    own = item.split()
+    swapped = [f"z{r.randrange(9999)}" if r.random() < 0.25 else x for x in own]
+    cut = len(own) // 3
+    turned = own[cut:] + own[:cut]
+    dropped = [x for x in own if r.random() > 0.2]
+    return [" ".join(mixed(40) + x + mixed(40)) for x in (own, swapped, turned, dropped)]
+
+
+def test_retrieval_finds_what_an_exhaustive_search_finds(spark, monkeypatch):
+    r = random.Random(14)
+    common_words = [f"c{k}" for k in range(40)]
+    mixed = lambda n: [r.choice(common_words) if r.random() < 0.5 else f"q{r.randrange(3000)}" for _ in range(n)]
+    items = [(k, " ".join(mixed(r.choice((8, 20, 45, 90, 200)))) + ".") for k in range(40)]
+    rows = [" ".join(mixed(r.randint(20, 300))) for _ in range(150)] + [x for _, item in items for x in variants(r, item, mixed)]
+    d, b = docs_of(spark, list(enumerate(rows))), spark.createDataFrame(items, "item_id long, text string")
+    found = {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(d, b).collect()}
+    monkeypatch.setattr(decontamination, "MIN_COSINE", -2.0)  # every passage is compared with every item
+    every = {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(d, b).collect()}
+    assert len(every) > 80 and found <= every and len(found) >= 0.95 * len(every)
+    assert all((150 + 4 * k, k) in found for k in range(40))
+
+
+def test_decontamination_of_short_items_and_odd_tables(spark):
+    items = [(1, "What is it?"), (2, "yes"), (3, "  "), (4, "what IS it"), (5, None), (None, "so long and thanks for fish")]
+    rows = [(1, "a\n what is it \nb"), (2, "what is it now"), (3, "Yes."), (4, "yes it is"), (5, ""), (6, None), (None, "x y\nYES"), (1, "other"), (3, "Yes."), (7, "and so long and thanks for fish he said " * 3)]
+    d = spark.createDataFrame([(*x, i, i, i) for i, x in enumerate(rows)], "doc_id long, text string, __doc int, __gone int, item_id int").repartition(3)
+    b = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")
+    got = sorted((str(x["doc_id"]), str(x["item_id"])) for x in decontamination.contaminated(d, b).collect())
+    assert got == [("1", "1"), ("1", "4"), ("3", "2"), ("3", "2"), ("7", "None"), ("None", "2")]
+    kept = decontamination.clean(d, b)
+    assert kept.columns == d.columns and sorted(x["__doc"] for x in kept.collect()) == [1, 3, 4, 5, 7]
+    assert decontamination.clean(d.limit(0), b).count() == 0 and decontamination.contaminated(d.limit(0), b).count() == 0
+
+
 def test_weighted_lcs_in_blocks(monkeypatch):
     r = np.random.default_rng(5)
     for n, m in ((1, 1), (7, 0), (50, 80), (37, 200)):
