@@ -11,7 +11,8 @@ of the ids, which must give the text back exactly; a text for which they do not
 (a hash collision) is encoded slice by slice instead.
 
 Null and empty texts have no tokens. Rows are independent, so repeated rows and
-ids give repeated results, and extra columns are ignored.
+ids give repeated results; an empty table gives no rows. Extra columns are ignored by
+`digests` and pass through `encode` and `decode`, but for one of the new column's name.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow as pa
 import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -372,7 +374,7 @@ def encode_slices(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.nd
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`docs` with a column of token ids."""
+    """`docs` with a column of token ids, last; a column that has its name already is replaced."""
     schema = docs.drop(ids).schema
     names = schema.names
 
@@ -387,11 +389,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     from pyspark.sql import types as T
 
-    return docs.drop(ids).mapInArrow(run, T.StructType([*schema, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return common.map_batches(docs.drop(ids), run, T.StructType([*schema, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """`encoded` with a column of the texts its ids stand for; null ids give an empty text."""
+    """`encoded` with a column of the texts its ids stand for, last; null ids give an empty text, and a column that has its name already is replaced."""
     from pyspark.sql import types as T
 
     rest = encoded.drop(text)
@@ -403,7 +405,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text")
             out = [merge.decode(np.array(x or (), np.int64)).tobytes().decode("utf-8", "replace") for x in batch.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, text])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema, T.StructField(text, T.StringType())]))
+    return common.map_batches(rest, run, T.StructType([*rest.schema, T.StructField(text, T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -423,4 +425,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 of_bytes += [hashlib.sha256(decoded[x:y]).hexdigest() for x, y in zip(sizes, sizes[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

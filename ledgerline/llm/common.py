@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space and 0x09-0x0D.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -151,6 +152,16 @@ def fresh(df, *names: str) -> list[str]:
     return out
 
 
+def column(name: str):
+    """A top-level column, whatever its name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_batches(df, run, schema):
+    """mapInArrow for tables whose columns may have any names; `run` finds columns by their places."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 #: Rows of an Arrow batch of texts, where the session has Spark's default of ten thousand.
 BATCH_ROWS = 1000
 

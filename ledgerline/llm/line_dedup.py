@@ -12,7 +12,8 @@ loses any; texts are never shuffled with their lines.
 
 Null and empty texts are one empty line, which has no key and stays. A document
 is a doc_id; null ids count as one document. Rows that repeat an id each keep
-their own bitmap (found by the id and the text's hash). Extra columns pass through.
+their own bitmap (found by the id and the text's hash). An empty table gives no rows. Extra
+columns pass through `dedup`, whatever their names; `digests` ignores them.
 """
 
 from __future__ import annotations
@@ -150,7 +151,7 @@ def _bitmaps(batches):
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """(__doc, __text hash, __dropped, __keep): a zlib-compressed bitmap of the kept lines of each row that loses any."""
-    lines = docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(_line_rows, _LINES)
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").mapInArrow(_line_rows, _LINES)
     order = ["__hi", "__lo", "__doc", "__text", "__pos"]
     found = common.checkpointed(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), _FOUND))
     cut = found.filter(F.col("__state") != DROP)
@@ -160,14 +161,15 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     return lost.groupBy("__doc", "__text").agg(F.max("__n").alias("__n"), F.collect_set("__pos").alias("__at")).mapInArrow(_bitmaps, "__doc long, __text long, __dropped long, __keep binary")
 
 
-def with_bitmaps(docs: DataFrame, min_docs: int = 10) -> DataFrame:
-    """`docs` with columns __dropped and __keep, null where no line goes."""
-    maps = common.checkpointed(keep_bitmaps(docs, min_docs))
-    size = maps.select(F.sum(F.length("__keep") + F.lit(48))).first()[0] or 0
+def with_bitmaps(docs: DataFrame, min_docs: int = 10) -> tuple[DataFrame, str, str]:
+    """`docs` with columns of dropped lines and bitmaps, null where no line goes, and the names of these two."""
+    doc, text, dropped, keep, own = common.fresh(docs, "doc", "text", "dropped", "keep", "hash")
+    maps = common.checkpointed(keep_bitmaps(docs, min_docs)).toDF(doc, text, dropped, keep)
+    size = maps.select(F.sum(F.length(keep) + F.lit(48))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         maps = F.broadcast(maps)
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    return hashed.join(maps, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__text")), "left").drop("__doc", "__text", "__hash")
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    return hashed.join(maps, hashed["doc_id"].eqNullSafe(maps[doc]) & (hashed[own] == maps[text]), "left").drop(doc, text, own), dropped, keep
 
 
 def kept_text(text: str | None, keep: bytes | None) -> tuple[int, bytes]:
@@ -190,23 +192,23 @@ def digests(docs: DataFrame, min_docs: int = 10) -> DataFrame:
                 names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    own = with_bitmaps(docs.select("doc_id", "text"), min_docs).select("doc_id", "text", "__dropped", "__keep")
-    return own.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    own, dropped, keep = with_bitmaps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_docs)
+    return own.select("doc_id", "text", dropped, keep).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """`docs` with frequent lines gone from `text`; n_chars, where there is one, follows."""
     columns = docs.columns
-    marked = with_bitmaps(docs, min_docs)
-    names = [*columns, "__dropped", "__keep"]
+    marked, _, keep = with_bitmaps(docs, min_docs)
+    at = columns.index("text")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(names.index("text"))
-            out = [t if k is None else kept_text(t, k)[1].decode() for t, k in zip(texts.to_pylist(), batch.column(names.index("__keep")).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(columns)], names=columns)
+            texts = batch.column(at)
+            out = [t if k is None else kept_text(t, k)[1].decode() for t, k in zip(texts.to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(columns))], names=columns)
 
-    out = marked.select(*names).mapInArrow(run, docs.schema)
+    out = common.map_batches(marked.select(*map(common.column, columns), keep), run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Values that take at least 10 to this power of guesses are reported.
@@ -213,4 +214,4 @@ def scan(docs: DataFrame) -> DataFrame:
                 spans.append(joined(sorted(base + guessed_spans(text, low))))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

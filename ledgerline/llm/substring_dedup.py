@@ -394,7 +394,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = common.checkpointed(repeated(docs, length))
     columns = docs.columns
     doc, text, marks = common.fresh(docs, "doc", "hash", "spans")
-    own = docs.select(*(F.col(f"`{c}`") for c in columns), *_key(doc, text))
+    own = docs.select(*map(common.column, columns), *_key(doc, text))
     at = columns.index("text")
 
     def run(batches):
@@ -402,4 +402,5 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out = [t if m is None else b" ".join(kept_words(t, m, length)[1]).decode() for t, m in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, batch.column(at).type) if i == at else batch.column(i) for i in range(len(columns))], names=columns)
 
-    return _beside(own, spans.withColumnRenamed("spans", marks), F.length(marks), doc, text).select(*(F.col(f"`{c}`") for c in columns), marks).mapInArrow(run, docs.schema)
+    found = _beside(own, spans.withColumnRenamed("spans", marks), F.length(marks), doc, text)
+    return common.map_batches(found.select(*map(common.column, columns), marks), run, docs.schema)

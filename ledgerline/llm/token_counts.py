@@ -6,7 +6,11 @@ are proven whole: a pre-token equal to one of them counts one, without merging.
 Only the other distinct pre-tokens are merged. Strings of special tokens inside
 a text are single tokens that also cut the text, as the library has it by default.
 
-Null and empty texts count 0 tokens and 0 bytes.
+The tokens found must give the bytes back; a slice of texts for which they do not (a
+collision of hashes) is merged pre-token by pre-token instead.
+
+Null and empty texts count 0 tokens and 0 bytes. Rows are counted one by one, so
+repeated rows and ids repeat; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import bpe, common
 
@@ -84,8 +89,13 @@ class Counter:
         starts = bpe.token_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         hashes, first, inverse = np.unique(common.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        _, counts, _ = self.merge.distinct(data, starts[first], ends[first], hashes)
-        sums = np.concatenate([[0], np.cumsum(counts[inverse])])
+        begin, counts, flat = self.merge.distinct(data, starts[first], ends[first], hashes)
+        counts = counts[inverse]
+        decoded = self.merge.decode(flat[common.ranges(begin[inverse], counts)])
+        if len(decoded) != len(data) or not np.array_equal(decoded, data):
+            whole = data.tobytes()
+            counts = np.array([len(self.merge.merge(whole[a:b])) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        sums = np.concatenate([[0], np.cumsum(counts)])
         return np.diff(sums[np.searchsorted(starts, offsets)])
 
     def _with_special(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
@@ -125,4 +135,4 @@ def counts(docs: DataFrame, limit: int = 1024, path: str | None = None) -> DataF
             n = np.concatenate(tokens)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(n, pa.int64()), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -380,18 +380,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = np.array([of(x.as_py()) for x in batch.column(2)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """`docs` without the rows whose score is `threshold` or more."""
     model = char_model(docs)
     prior, weights = fit(docs, labels, model)
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
         of = score_batches(prior, weights, model)
         for batch in batches:
-            yield batch.filter(pa.array([of(x.as_py()) < threshold for x in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([of(x.as_py()) < threshold for x in batch.column(at)], pa.bool_())).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_batches(docs, run, docs.schema)
