@@ -1,10 +1,11 @@
-"""Validation rules. Every finding is a row: a rule, a status, and what it compares.
+"""Validation rules. Every finding is a row: a rule, a status, what it says, and what it compares.
 
 A status is PASS, WARNING, ERROR or NOT_CHECKED. Conditions are ordered: what
 cannot be checked comes first, so a null never falls through to an error. The
 rules of one item are array expressions over its row and its header, exploded
 together, so all item rules cost one projection; the rules of a document need one
-aggregate by document.
+aggregate by document. Only the rules and the fields of findings that are asked for
+are built, so a question about one rule costs no more than that rule.
 
 Items: doc_id, pos, description, part_number, model_or_type, order_number, hsn,
 quantity, unit, unit_price, line_amount, tariff_qty, tariff_unit,
@@ -15,13 +16,16 @@ as null; which of them the shipment's sheet has decides what is checked.
 
 from __future__ import annotations
 
+from collections.abc import Collection, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..functions import values as v
 
-CHECK = "struct<seq:int,rule:string,status:string,item:int,field:string,expected:string,actual:string,difference:decimal(38,6)>"
+FIELDS = ("seq", "rule", "status", "message", "item", "field", "expected", "actual", "difference")
 ITEM_COLUMNS = ("ser_no", "description", "part_number", "model_or_type", "order_number", "hsn", "quantity", "unit", "unit_price", "line_amount", "tariff_qty", "tariff_unit", "country_of_origin", "state_code", "total_packages", "igst_rate", "igst_amount")
 AMOUNT = "decimal(38,6)"
 
@@ -35,128 +39,182 @@ def text(c) -> Column:
     return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def check(seq: int, rule: str, status: Column, item=None, field=None, expected=None, actual=None, difference=None) -> Column:
-    """A finding; null where the status is."""
-    none = F.lit(None)
-    made = F.struct(
-        F.lit(seq).alias("seq"), F.lit(rule).alias("rule"), status.alias("status"), (none if item is None else item).cast("int").alias("item"),
-        (none if field is None else F.lit(field)).cast("string").alias("field"), (none if expected is None else expected).cast("string").alias("expected"),
-        (none if actual is None else actual).cast("string").alias("actual"), (none if difference is None else difference).cast(AMOUNT).alias("difference"),
-    )
-    return F.when(status.isNotNull(), made)
+def say(*parts) -> Column:
+    """A message of texts and columns; a null column leaves a gap."""
+    return F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("")) for x in parts])
+
+
+@dataclass
+class Check:
+    """One rule's finding as columns; there is none where `status` is null. `says` has the message of each status that has one."""
+
+    seq: int
+    rule: str
+    status: Column
+    item: Column | None = None
+    field: str | None = None
+    expected: Column | None = None
+    actual: Column | None = None
+    difference: Column | None = None
+    says: dict[str, Column] | None = None
+
+    def column(self, fields: Sequence[str] = FIELDS) -> Column:
+        return F.when(self.status.isNotNull(), F.struct(*[self._field(f).alias(f) for f in fields]))
+
+    def _field(self, name: str) -> Column:
+        if name == "message":
+            out = F.lit("")
+            for status, words in (self.says or {}).items():
+                out = F.when(self.status == status, words).otherwise(out)
+            return out
+        value = getattr(self, name)
+        types = {"seq": "int", "item": "int", "difference": AMOUNT}
+        return (value if isinstance(value, Column) else F.lit(value)).cast(types.get(name, "string"))
 
 
 def _has(shipment: str, concept: str) -> str | None:
     return t.CONCEPTS[shipment].get(concept)
 
 
-def required(shipment: str) -> list[Column]:
+def required(shipment: str) -> list[Check]:
     out = []
     for concept in t.REQUIRED_CONCEPTS:
         given = F.col(concept).isNotNull() & (F.col(concept).cast("string") != "")
-        out.append(check(1, "REQUIRED_FIELD_MISSING", F.when(given, "PASS").otherwise("ERROR"), F.col("pos"), _has(shipment, concept)))
+        name = _has(shipment, concept)
+        out.append(Check(1, "REQUIRED_FIELD_MISSING", F.when(given, "PASS").otherwise("ERROR"), F.col("pos"), name, says={"ERROR": F.lit(f"{name} ({concept}) has no value")}))
     return out
 
 
-def quantity_times_price(shipment: str) -> Column:
+def quantity_times_price(shipment: str) -> list[Check]:
     q, p, a = v.strict("quantity"), v.strict("unit_price"), v.strict("line_amount")
     expected = F.bround(q * p, 2)
     gap = F.abs(expected - a)
     status = F.when(q.isNull() | p.isNull() | a.isNull(), "NOT_CHECKED").when((a == 0) & (expected > 0), "WARNING").when(gap <= tolerance(), "PASS").otherwise("ERROR")
     known = status != "NOT_CHECKED"
-    return check(2, "QTY_X_UNIT_PRICE", status, F.col("pos"), _has(shipment, "line_amount"), F.when(known, text(expected)), F.when(known, text(a)), F.when(known, gap))
+    product = (text(q), " x ", text(p), " = ", text(expected))
+    says = {"NOT_CHECKED": F.lit("quantity, unit price or line amount is not given"), "WARNING": say(*product, ", but the line amount is 0: free of cost?"), "ERROR": say(*product, ", but the line amount is ", text(a), ", ", text(gap), " away")}
+    return [Check(2, "QTY_X_UNIT_PRICE", status, F.col("pos"), _has(shipment, "line_amount"), F.when(known, text(expected)), F.when(known, text(a)), F.when(known, gap), says)]
 
 
-def tax(shipment: str) -> Column | None:
+def tax(shipment: str) -> list[Check]:
     if shipment != "export":
-        return None
+        return []
     taxable, amount = v.strict("line_amount"), v.strict("igst_amount")
     rate = F.regexp_replace(F.col("igst_rate").cast("string"), r"[^\d.]", "").try_cast(v.DECIMAL)
     expected = F.bround(taxable * rate / 100, 2)
     gap = F.abs(expected - amount)
     status = F.when(taxable.isNull() | rate.isNull() | amount.isNull(), "NOT_CHECKED").when(gap <= tolerance(), "PASS").otherwise("ERROR")
     known = status != "NOT_CHECKED"
-    return check(4, "TAX_RECONCILIATION", status, F.col("pos"), _has(shipment, "igst_amount"), F.when(known, text(expected)), F.when(known, text(amount)), F.when(known, gap))
+    says = {"NOT_CHECKED": F.lit("taxable value, tax rate or tax amount is not given"), "ERROR": say(text(rate), " % of ", text(taxable), " = ", text(expected), ", but the tax amount is ", text(amount), ", ", text(gap), " away")}
+    return [Check(4, "TAX_RECONCILIATION", status, F.col("pos"), _has(shipment, "igst_amount"), F.when(known, text(expected)), F.when(known, text(amount)), F.when(known, gap), says)]
 
 
-def origin(shipment: str) -> Column:
+def origin(shipment: str) -> list[Check]:
     head, own = v.token("h_country_of_origin"), v.token("country_of_origin")
     status = F.when(head == "", None).when(own == "", "NOT_CHECKED").when(own == head, "PASS").otherwise("WARNING")
-    return check(5, "COUNTRY_OF_ORIGIN_CONSISTENCY", status, F.col("pos"), _has(shipment, "country_of_origin"), F.when(own != "", head), F.when(own != "", own))
+    says = {"NOT_CHECKED": F.lit("the item names no country of origin"), "WARNING": say("the item comes from ", own, ", the header says ", head)}
+    return [Check(5, "COUNTRY_OF_ORIGIN_CONSISTENCY", status, F.col("pos"), _has(shipment, "country_of_origin"), F.when(own != "", head), F.when(own != "", own), says=says)]
 
 
-def tariff_quantity(shipment: str) -> Column:
+def tariff_quantity(shipment: str) -> list[Check]:
     q, tq = v.strict("quantity"), v.strict("tariff_qty")
     status = F.when(q.isNull() | tq.isNull(), "NOT_CHECKED").when(q == tq, "PASS").otherwise("ERROR")
-    return check(5, "QTY_VS_TARIFF_QTY", status, F.col("pos"), _has(shipment, "tariff_qty"), F.when(tq.isNotNull(), text(q)), F.when(q.isNotNull(), text(tq)), F.when(q != tq, F.abs(q - tq)))
+    says = {"NOT_CHECKED": F.lit("quantity or tariff quantity is not given"), "ERROR": say("quantity ", text(q), " is not the tariff quantity ", text(tq))}
+    return [Check(5, "QTY_VS_TARIFF_QTY", status, F.col("pos"), _has(shipment, "tariff_qty"), F.when(tq.isNotNull(), text(q)), F.when(q.isNotNull(), text(tq)), F.when(q != tq, F.abs(q - tq)), says)]
 
 
-def tariff_unit(shipment: str) -> Column:
+def tariff_unit(shipment: str) -> list[Check]:
     u, tu = v.token("unit"), v.token("tariff_unit")
     status = F.when((u == "") | (tu == ""), "NOT_CHECKED").when(u == tu, "PASS").otherwise("WARNING")
-    return check(5, "UNIT_VS_TARIFF_UNIT", status, F.col("pos"), _has(shipment, "tariff_unit"), F.when(status == "WARNING", u), F.when(status == "WARNING", tu))
+    says = {"NOT_CHECKED": F.lit("unit or tariff unit is not given"), "WARNING": say("unit ", u, " is not the tariff unit ", tu)}
+    return [Check(5, "UNIT_VS_TARIFF_UNIT", status, F.col("pos"), _has(shipment, "tariff_unit"), F.when(status == "WARNING", u), F.when(status == "WARNING", tu), says=says)]
 
 
-def state(shipment: str) -> Column | None:
+def state(shipment: str) -> list[Check]:
     if not _has(shipment, "state_code"):
-        return None
+        return []
     head, own = v.token("h_state_code"), v.token("state_code")
     status = F.when(head == "", None).when(own == "", "NOT_CHECKED").when(F.ltrim(own, F.lit("0")) == F.ltrim(head, F.lit("0")), "PASS").otherwise("WARNING")
-    return check(5, "STATE_CODE_CONSISTENCY", status, F.col("pos"), _has(shipment, "state_code"), F.when(status == "WARNING", head), F.when(status == "WARNING", own))
+    says = {"NOT_CHECKED": F.lit("the item names no state code"), "WARNING": say("the item's state code is ", own, ", the header's ", head)}
+    return [Check(5, "STATE_CODE_CONSISTENCY", status, F.col("pos"), _has(shipment, "state_code"), F.when(status == "WARNING", head), F.when(status == "WARNING", own), says=says)]
 
 
-def label_match(rule: str, patterns, column: str) -> Column:
+def label_match(rule: str, patterns, column: str, seq: int = 6) -> list[Check]:
     printed = v.first_labelled(patterns, "description")
     own = v.token(column)
     status = F.when(printed.isNull(), "NOT_CHECKED").when(v.token(printed) == own, "PASS").when(own == "", "WARNING").otherwise("ERROR")
-    return check(6, rule, status, F.col("pos"), column, printed, F.when(printed.isNotNull(), F.coalesce(F.col(column), F.lit(""))))
+    says = {"NOT_CHECKED": F.lit(f"the description labels no {column}"), "WARNING": say("the description says ", printed, f", {column} is empty"), "ERROR": say("the description says ", printed, f", {column} is ", F.col(column))}
+    return [Check(seq, rule, status, F.col("pos"), column, printed, F.when(printed.isNotNull(), F.coalesce(F.col(column), F.lit(""))), says=says)]
+
+
+def parts(shipment: str) -> list[Check]:
+    return label_match("PART_NUMBER_SOURCE_MATCH", t.PART_LABELS, "part_number")
 
 
-def order_match() -> Column:
-    """Judged at the first item of every distinct order number (first_order)."""
-    own = v.token("order_number")
-    printed = v.all_labelled(t.ORDER_LABELS, "h_invoice_text")
+def models(shipment: str) -> list[Check]:
+    return label_match("MODEL_SOURCE_MATCH", t.MODEL_LABELS, "model_or_type")
+
+
+def order_match(shipment: str) -> list[Check]:
+    """Judged at the first item of every distinct order number (first_order), by the header's printed ones (h_orders)."""
+    own, printed = v.token("order_number"), F.coalesce(F.col("h_orders"), F.array().cast("array<string>"))
     hit = F.exists(printed, lambda o: own.contains(v.token(o)) | v.token(o).contains(own))
     status = F.when(~F.col("first_order") | (own == ""), None).when(F.size(printed) == 0, "NOT_CHECKED").when(hit, "PASS").otherwise("ERROR")
-    return check(7, "ORDER_NUMBER_SOURCE_MATCH", status, F.col("pos"), "order_number", F.when(F.size(printed) > 0, F.array_join(printed, ", ")), F.when(F.size(printed) > 0, F.col("order_number")))
+    shown = F.array_join(printed, ", ")
+    says = {"NOT_CHECKED": F.lit("the document labels no order number"), "ERROR": say("the document's order numbers are ", shown, ", order_number is ", F.col("order_number"))}
+    return [Check(7, "ORDER_NUMBER_SOURCE_MATCH", status, F.col("pos"), "order_number", F.when(F.size(printed) > 0, shown), F.when(F.size(printed) > 0, F.col("order_number")), says=says)]
 
 
-def numeric_format(shipment: str) -> list[Column]:
+def numeric_format(shipment: str) -> list[Check]:
     out = []
     for concept in ("quantity", "unit_price"):
         raw = F.col(concept).cast("string")
         n = v.strict(concept)
         status = F.when(raw.isNull() | (raw == ""), None).when(n.isNull() | (n < 0), "ERROR").otherwise("PASS")
-        out.append(check(8, "FORMAT_TYPE", status, F.col("pos"), _has(shipment, concept), actual=F.when(status == "ERROR", raw)))
+        wrong = say(f"{concept} ", raw, F.when(n.isNull(), " is not a number").otherwise(" is negative"))
+        out.append(Check(8, "FORMAT_TYPE", status, F.col("pos"), _has(shipment, concept), actual=F.when(status == "ERROR", raw), says={"ERROR": wrong}))
     return out
 
 
-def hsn_format(shipment: str) -> Column:
+def hsn_format(shipment: str) -> list[Check]:
     raw = F.col("hsn").cast("string")
     n = F.length(F.regexp_replace(raw, r"\D", ""))
     status = F.when(F.coalesce(F.trim(raw), F.lit("")) == "", None).when(n.isin(4, 6, 8), "PASS").when(n.between(1, 3), "ERROR").otherwise("WARNING")
-    return check(9, "HSN_FORMAT", status, F.col("pos"), _has(shipment, "hsn"), actual=F.when(status != "PASS", raw))
+    says = {"ERROR": say(raw, " has ", n, " digits, too few for a tariff code: a line number?"), "WARNING": say(raw, " has ", n, " digits, tariff codes have 4, 6 or 8")}
+    return [Check(9, "HSN_FORMAT", status, F.col("pos"), _has(shipment, "hsn"), actual=F.when(status != "PASS", raw), says=says)]
+
+
+#: Rules of items, in the order of their findings. What they need of headers is in NEEDS.
+ITEM_RULES = {
+    "REQUIRED_FIELD_MISSING": required, "QTY_X_UNIT_PRICE": quantity_times_price, "TAX_RECONCILIATION": tax, "COUNTRY_OF_ORIGIN_CONSISTENCY": origin, "QTY_VS_TARIFF_QTY": tariff_quantity,
+    "UNIT_VS_TARIFF_UNIT": tariff_unit, "STATE_CODE_CONSISTENCY": state, "PART_NUMBER_SOURCE_MATCH": parts, "MODEL_SOURCE_MATCH": models, "ORDER_NUMBER_SOURCE_MATCH": order_match, "FORMAT_TYPE": numeric_format,
+    "HSN_FORMAT": hsn_format,
+}
+NEEDS = {"COUNTRY_OF_ORIGIN_CONSISTENCY": "country_of_origin", "STATE_CODE_CONSISTENCY": "state_code", "ORDER_NUMBER_SOURCE_MATCH": "orders"}
 
 
-def header_format(shipment: str) -> list[Column]:
+def header_format(shipment: str) -> list[Check]:
     """Findings on the header alone."""
     total = v.header_total("invoice_total", "invoice_number")
     raw_total = v.filled("invoice_total")
-    out = [check(10, "FORMAT_TYPE", F.when(raw_total.isNull(), None).when(total.isNull() | (total < 0), "ERROR").otherwise("PASS"), field="invoice_total", actual=F.when(total.isNull() | (total < 0), raw_total))]
-    out.append(check(11, "REQUIRED_FIELD_MISSING", F.when(v.filled("invoice_number").isNull(), "ERROR").otherwise("PASS"), field="invoice_number"))
+    wrong = total.isNull() | (total < 0)
+    out = [Check(10, "FORMAT_TYPE", F.when(raw_total.isNull(), None).when(wrong, "ERROR").otherwise("PASS"), field="invoice_total", actual=F.when(wrong, raw_total), says={"ERROR": say("invoice_total ", raw_total, F.when(total.isNull(), " is not a number").otherwise(" is negative"))})]
+    out.append(Check(11, "REQUIRED_FIELD_MISSING", F.when(v.filled("invoice_number").isNull(), "ERROR").otherwise("PASS"), field="invoice_number", says={"ERROR": F.lit("invoice_number has no value")}))
     date = v.filled("invoice_date")
-    out.append(check(12, "FORMAT_TYPE", F.when(date.isNull(), "NOT_CHECKED").when(v.parsed_date(date).isNull(), "WARNING").otherwise("PASS"), field="invoice_date", actual=F.when(v.parsed_date(date).isNull(), date)))
+    dated = v.parsed_date(date)
+    out.append(Check(12, "FORMAT_TYPE", F.when(date.isNull(), "NOT_CHECKED").when(dated.isNull(), "WARNING").otherwise("PASS"), field="invoice_date", actual=F.when(dated.isNull(), date), says={"NOT_CHECKED": F.lit("invoice_date has no value"), "WARNING": say("invoice_date ", date, " is not a date of a known form")}))
     money = F.upper(F.trim(v.filled("currency")))
-    out.append(check(13, "FORMAT_TYPE", F.when(money.isNull(), None).when(money.isin(*t.KNOWN_CURRENCIES), "PASS").when(money.rlike("^[A-Z]{3}$"), "WARNING").otherwise("ERROR"), field="currency", actual=F.when(~money.isin(*t.KNOWN_CURRENCIES), money)))
+    status = F.when(money.isNull(), None).when(money.isin(*t.KNOWN_CURRENCIES), "PASS").when(money.rlike("^[A-Z]{3}$"), "WARNING").otherwise("ERROR")
+    out.append(Check(13, "FORMAT_TYPE", status, field="currency", actual=F.when(~money.isin(*t.KNOWN_CURRENCIES), money), says={"WARNING": say("currency ", money, " is not a common one"), "ERROR": say("currency ", money, " is not a currency code")}))
     tax_id = F.trim(v.filled("supplier_tax_id"))
     fits = v.is_gstin(tax_id)
     status = F.when(tax_id.isNull(), None).when(F.lit(shipment != "export"), "NOT_CHECKED").when(fits, "PASS").otherwise("WARNING")
-    out.append(check(14, "FORMAT_TYPE", status, field="supplier_tax_id", actual=F.when(status == "WARNING", tax_id)))
+    out.append(Check(14, "FORMAT_TYPE", status, field="supplier_tax_id", actual=F.when(status == "WARNING", tax_id), says={"NOT_CHECKED": F.lit("a foreign supplier's tax number has no fixed form"), "WARNING": say("supplier_tax_id ", tax_id, " does not have the form of one")}))
     ad = F.trim(v.filled("ad_code"))
-    out.append(check(15, "FORMAT_TYPE", F.when(ad.isNull(), None).when(v.is_ad_code(ad), "PASS").otherwise("WARNING"), field="ad_code", actual=F.when(~v.is_ad_code(ad), ad)))
+    out.append(Check(15, "FORMAT_TYPE", F.when(ad.isNull(), None).when(v.is_ad_code(ad), "PASS").otherwise("WARNING"), field="ad_code", actual=F.when(~v.is_ad_code(ad), ad), says={"WARNING": say("ad_code ", ad, " does not have 14 digits")}))
     iec = F.trim(v.filled("iec_number"))
     fits = F.upper(iec).rlike("^[A-Z0-9]{10}$")
-    out.append(check(16, "FORMAT_TYPE", F.when(iec.isNull(), None).when(fits, "PASS").otherwise("WARNING"), field="iec_number", actual=F.when(~fits, iec)))
+    out.append(Check(16, "FORMAT_TYPE", F.when(iec.isNull(), None).when(fits, "PASS").otherwise("WARNING"), field="iec_number", actual=F.when(~fits, iec), says={"WARNING": say("iec_number ", iec, " does not have 10 letters and digits")}))
     return out
 
 
@@ -180,45 +238,70 @@ def adjustments(text_column) -> Column:
 def bridging(base: Column, target: Column, candidates: Column) -> Column:
     """The smallest subset of the adjustments that leads from `base` to `target`; null if none, or if there are too many.
 
-    Subsets go by size, then by the order of their members; there are at most 2^8.
+    Subsets go by size, then by the order of their members. One fold makes all
+    of them with their sums: of each candidate, every subset so far with and without it.
     """
-    amounts = F.transform(candidates, lambda x: x["amount"])
     k = F.size(candidates)
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.when(k.between(1, t.MAX_ADJUSTMENTS), k)).cast("int") - 1)
-    members = lambda m: F.filter(F.sequence(F.lit(0), k - 1), lambda i: F.getbit(m.cast("long"), i) == 1)
-    summed = lambda m: F.aggregate(members(m), F.lit(0).cast("decimal(28,2)"), lambda a, i: (a + F.get(amounts, i)).cast("decimal(28,2)"))
-    fits = F.filter(masks, lambda m: F.abs(base + summed(m) - target) <= tolerance())
-    ranked = F.array_sort(F.transform(fits, lambda m: F.struct(F.bit_count(m).alias("n"), members(m).alias("at"))))
-    best = F.get(ranked, F.lit(0))["at"]
-    return F.when(k.between(1, t.MAX_ADJUSTMENTS) & (F.size(fits) > 0), F.transform(best, lambda i: F.get(candidates, i)))
+    kind = "array<struct<n:int,at:array<int>,total:decimal(28,2)>>"
+    none = F.array(F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"), F.lit(0).cast("decimal(28,2)").alias("total"))).cast(kind)
+
+    def grown(sets, i):
+        amount = F.get(candidates, i)["amount"]
+        more = F.transform(sets, lambda s: F.struct((s["n"] + 1).alias("n"), F.array_append(s["at"], i).alias("at"), (s["total"] + amount).cast("decimal(28,2)").alias("total")))
+        return F.concat(sets, more).cast(kind)
+
+    sets = F.aggregate(F.sequence(F.lit(0), k - 1), none, grown)
+    fits = F.filter(sets, lambda s: (s["n"] > 0) & (F.abs(base + s["total"] - target) <= tolerance()))
+    best = F.array_min(F.transform(fits, lambda s: F.struct(s["n"], s["at"])))["at"]
+    return F.when(k.between(1, t.MAX_ADJUSTMENTS), F.transform(best, lambda i: F.get(candidates, i)))
+
+
+#: Rules of documents that their totals decide.
+TOTAL_RULES = ("MULTI_INVOICE_TOTAL_SPLIT", "HEADER_LINE_TOTAL", "LINE_ITEMS_INCOMPLETE")
 
 
-def totals(documents: DataFrame) -> DataFrame:
-    """`documents` (header fields, invoice_text, n_items, n_amounts, line_sum) with `total`, `bridge` and `total_checks`."""
+def totals(documents: DataFrame) -> tuple[DataFrame, list[Check]]:
+    """`documents` (header fields, invoice_text, n_items, n_amounts, line_sum) with `total`, `bridge` and `reached`, and their checks.
+
+    The printed adjustments are read once, and only where the sums do not meet.
+    """
     d = documents.withColumn("total", v.header_total("invoice_total", "invoice_number"))
     gap = F.abs(F.col("line_sum") - F.col("total"))
-    d = d.withColumn("bridge", F.when(gap > tolerance(), bridging(F.col("line_sum"), F.col("total"), adjustments("invoice_text"))))
-    numbers, amounts = F.size(v.parts("invoice_number")), F.size(v.parts("invoice_total"))
-    split = check(3, "MULTI_INVOICE_TOTAL_SPLIT", F.when((numbers > 1) & v.filled("invoice_total").isNotNull() & (numbers != amounts), "ERROR"), field="invoice_total", expected=numbers, actual=F.col("invoice_total"))
-    comparable = (F.col("n_amounts") > 0) & F.col("total").isNotNull() & (F.col("n_amounts") == F.col("n_items"))
+    apart = F.coalesce(gap > tolerance(), F.lit(False))
+    met = d.filter(~apart).withColumn("candidates", F.lit(None).cast("array<struct<label:string,amount:decimal(18,2)>>"))
+    rest = d.filter(apart).withColumn("candidates", adjustments("invoice_text"))
+    d = met.unionByName(rest)
+    d = d.withColumn("bridge", F.when(F.size("candidates") > 0, bridging(F.col("line_sum"), F.col("total"), F.col("candidates")))).drop("candidates")
     bridged = F.aggregate(F.col("bridge"), F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x["amount"]).cast("decimal(28,2)"))
-    short = F.coalesce(comparable & (F.col("total") - F.col("line_sum") > tolerance()) & F.col("bridge").isNull(), F.lit(False))
-    status = F.when(short, None).when(~F.coalesce(comparable, F.lit(False)), "NOT_CHECKED").when((gap <= tolerance()) | F.col("bridge").isNotNull(), "PASS").otherwise("ERROR")
-    reached = F.when(F.col("bridge").isNotNull(), F.col("line_sum") + bridged).otherwise(F.col("line_sum"))
-    known = F.coalesce(comparable, F.lit(False))
-    whole = check(3, "HEADER_LINE_TOTAL", status, field="invoice_total", expected=F.when(known, text(reached)), actual=F.when(known, text(F.col("total"))), difference=F.when(known, F.abs(reached - F.col("total"))))
-    missing = check(3, "LINE_ITEMS_INCOMPLETE", F.when(short, "ERROR"), field="line_items", expected=text(F.col("total")), actual=text(F.col("line_sum")), difference=gap)
-    return d.withColumn("total_checks", F.array_compact(F.array(split, whole, missing)))
-
-
-def packages(shipment: str) -> Column | None:
+    d = d.withColumn("reached", F.when(F.col("bridge").isNotNull(), F.col("line_sum") + bridged).otherwise(F.col("line_sum")))
+    numbers, amounts = F.size(v.parts("invoice_number")), F.size(v.parts("invoice_total"))
+    several = F.when((numbers > 1) & v.filled("invoice_total").isNotNull() & (numbers != amounts), "ERROR")
+    split = Check(3, "MULTI_INVOICE_TOTAL_SPLIT", several, field="invoice_total", expected=say(numbers, " totals joined by ' / '"), actual=F.col("invoice_total"), says={"ERROR": say("invoice_number names ", numbers, " invoices (", F.col("invoice_number"), "), invoice_total has ", amounts, " (", F.col("invoice_total"), "); copy each invoice's own printed total, in the same order")})
+    known = F.coalesce((F.col("n_amounts") > 0) & F.col("total").isNotNull() & (F.col("n_amounts") == F.col("n_items")), F.lit(False))
+    met = (gap <= tolerance()) | F.col("bridge").isNotNull()
+    short = F.coalesce(known & (F.col("total") - F.col("line_sum") > tolerance()) & F.col("bridge").isNull(), F.lit(False))
+    status = F.when(short, None).when(~known, "NOT_CHECKED").when(met, "PASS").otherwise("ERROR")
+    reached, total = F.col("reached"), F.col("total")
+    labels = F.array_join(F.transform(F.col("bridge"), lambda x: F.concat(x["label"], F.lit(" "), x["amount"].cast("string"))), ", ")
+    says = {
+        "NOT_CHECKED": F.when(total.isNull() | (F.col("n_amounts") == 0), "no total or no line amounts to compare").otherwise(say(F.col("n_items") - F.col("n_amounts"), " of ", F.col("n_items"), " items have no line amount")),
+        "PASS": F.when(F.col("bridge").isNotNull(), say("the items' ", text(F.col("line_sum")), " become ", text(total), " by what is printed: ", labels)).otherwise(""),
+        "ERROR": say("the items add up to ", text(reached), ", the header says ", text(total), ", ", text(F.abs(reached - total)), " less: the document itself may be wrong, so a person should look"),
+    }
+    whole = Check(3, "HEADER_LINE_TOTAL", status, field="invoice_total", expected=F.when(known, text(reached)), actual=F.when(known, text(total)), difference=F.when(known, F.abs(reached - total)), says=says)
+    missing = Check(3, "LINE_ITEMS_INCOMPLETE", F.when(short, "ERROR"), field="line_items", expected=text(total), actual=text(F.col("line_sum")), difference=gap, says={"ERROR": say(F.col("n_amounts"), " items add up to ", text(F.col("line_sum")), ", ", text(gap), " short of the printed ", text(total), ": rows of the table are missing or misread, look on every page")})
+    return d, [split, whole, missing]
+
+
+def packages(shipment: str) -> list[Check]:
     """Over documents with n_packages, package_sum and package_same (all equal to the header's)."""
     if not _has(shipment, "total_packages"):
-        return None
+        return []
     head = v.strict("total_packages")
     fits = (F.col("package_sum") == head) | F.col("package_same")
     status = F.when(head.isNull(), None).when(F.col("n_packages") == 0, "NOT_CHECKED").when(fits, "PASS").otherwise("WARNING")
-    return check(5, "PACKAGE_COUNT_CONSISTENCY", status, field="total_packages", expected=F.when(F.col("n_packages") > 0, text(head)), actual=F.when(status == "WARNING", text(F.col("package_sum"))))
+    says = {"NOT_CHECKED": F.lit("no item counts packages"), "WARNING": say("the items count ", text(F.col("package_sum")), " packages, the header ", text(head))}
+    return [Check(5, "PACKAGE_COUNT_CONSISTENCY", status, field="total_packages", expected=F.when(F.col("n_packages") > 0, text(head)), actual=F.when(status == "WARNING", text(F.col("package_sum"))), says=says)]
 
 
 # --- whole validation ----------------------------------------------------------
@@ -228,23 +311,38 @@ def _with_columns(df: DataFrame, names) -> DataFrame:
     return df.select(*df.columns, *[F.lit(None).cast("string").alias(n) for n in names if n not in df.columns])
 
 
-def with_header(items: DataFrame, headers: DataFrame) -> DataFrame:
-    """Items with h_ columns of their headers, and whether an item is the first of its order number."""
-    head = _with_columns(headers, (*t.HEADER_FIELDS, "invoice_text")).select("doc_id", *[F.col(c).alias(f"h_{c}") for c in ("country_of_origin", "state_code", "total_packages", "invoice_text")])
-    own = _with_columns(items, ITEM_COLUMNS)
-    by_order = Window.partitionBy("doc_id", v.token("order_number")).orderBy("pos")
-    return own.withColumn("first_order", F.row_number().over(by_order) == 1).join(head, "doc_id", "left")
-
+def with_header(items: DataFrame, headers: DataFrame, needs: Collection[str] = tuple(NEEDS.values())) -> DataFrame:
+    """Items with h_ columns of their headers, and whether an item is the first of its order number, as far as needed.
 
-def exploded(df: DataFrame, checks: list[Column | None]) -> DataFrame:
-    """(doc_id, seq, rule, status, item, field, expected, actual, difference, retryable), one row for each finding."""
-    found = df.select("doc_id", F.explode(F.array_compact(F.array(*[c for c in checks if c is not None]))).alias("c")).select("doc_id", "c.*")
+    Order numbers are read from a header's text once, not once for each item.
+    """
+    own = _with_columns(items, ITEM_COLUMNS)
+    if not needs:
+        return own
+    head = _with_columns(headers, (*t.HEADER_FIELDS, "invoice_text"))
+    columns = {"orders": v.all_labelled(t.ORDER_LABELS, "invoice_text")}
+    head = head.select("doc_id", *[columns.get(c, F.col(c) if c in head.columns else F.lit(None)).alias(f"h_{c}") for c in needs])
+    if "orders" in needs:
+        # The first item of an order number, without a window: the least position by number.
+        number = v.token("order_number")
+        first = own.groupBy("doc_id", number.alias("__order")).agg(F.min("pos").alias("__pos")).filter(F.col("__order") != "")
+        first = first.groupBy("doc_id").agg(F.collect_set("__pos").alias("__firsts"))
+        head = head.join(first, "doc_id", "full")
+        return own.join(head, "doc_id", "left").withColumn("first_order", F.coalesce(F.array_contains("__firsts", F.col("pos")), F.lit(False))).drop("__firsts")
+    return own.join(head, "doc_id", "left")
+
+
+def exploded(df: DataFrame, checks: list[Check], fields: Sequence[str] = FIELDS) -> DataFrame:
+    """(doc_id, `fields` of findings, retryable), one row for each finding."""
+    fields = [f for f in FIELDS if f in (*fields, "rule", "status")]
+    found = df.select("doc_id", F.explode(F.array_compact(F.array(*[c.column(fields) for c in checks]))).alias("c")).select("doc_id", "c.*")
     return found.withColumn("retryable", (F.col("status") == "ERROR") & F.col("rule").isin(*t.RETRYABLE))
 
 
-def item_checks(items: DataFrame, headers: DataFrame, shipment: str = "export") -> DataFrame:
-    rules = [*required(shipment), quantity_times_price(shipment), tax(shipment), origin(shipment), tariff_quantity(shipment), tariff_unit(shipment), state(shipment), label_match("PART_NUMBER_SOURCE_MATCH", t.PART_LABELS, "part_number"), label_match("MODEL_SOURCE_MATCH", t.MODEL_LABELS, "model_or_type"), order_match(), *numeric_format(shipment), hsn_format(shipment)]
-    return exploded(with_header(items, headers), rules)
+def item_checks(items: DataFrame, headers: DataFrame, shipment: str = "export", rules: Collection[str] = tuple(ITEM_RULES), fields: Sequence[str] = FIELDS) -> DataFrame:
+    """Findings on items by the rules asked for."""
+    made = [c for name, build in ITEM_RULES.items() if name in rules for c in build(shipment)]
+    return exploded(with_header(items, headers, [need for name, need in NEEDS.items() if name in rules]), made, fields)
 
 
 def document_sums(items: DataFrame, headers: DataFrame) -> DataFrame:
@@ -261,19 +359,28 @@ def document_sums(items: DataFrame, headers: DataFrame) -> DataFrame:
     return d.withColumn("package_same", F.coalesce((F.col("package_min") == n) & (F.col("package_max") == n), F.lit(False)))
 
 
-def document_checks(items: DataFrame, headers: DataFrame, shipment: str = "export") -> DataFrame:
-    d = totals(document_sums(items, headers))
-    found = d.select("*", F.array_compact(F.array(*[c for c in (packages(shipment), *header_format(shipment)) if c is not None])).alias("rest"))
-    found = found.select("doc_id", F.explode(F.concat("total_checks", "rest")).alias("c")).select("doc_id", "c.*")
-    extra = [] if shipment == "export" else [check(4, "TAX_RECONCILIATION", F.lit("NOT_CHECKED"))]
-    if extra:
-        found = found.unionByName(headers.select("doc_id", F.explode(F.array(*extra)).alias("c")).select("doc_id", "c.*"))
-    return found.withColumn("retryable", (F.col("status") == "ERROR") & F.col("rule").isin(*t.RETRYABLE))
+#: Rules of documents, in the order of their findings.
+DOCUMENT_RULES = (*TOTAL_RULES, "TAX_RECONCILIATION", "PACKAGE_COUNT_CONSISTENCY", "FORMAT_TYPE", "REQUIRED_FIELD_MISSING")
+
+
+def document_checks(items: DataFrame, headers: DataFrame, shipment: str = "export", rules: Collection[str] = DOCUMENT_RULES, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """Findings on documents by the rules asked for; items are summed up only for those that need it."""
+    summed = any(r in rules for r in (*TOTAL_RULES, "PACKAGE_COUNT_CONSISTENCY"))
+    d = document_sums(items, headers) if summed else _with_columns(headers, (*t.HEADER_FIELDS, "invoice_text"))
+    made = []
+    if any(r in rules for r in TOTAL_RULES):
+        d, made = totals(d)
+    if shipment != "export":
+        made.append(Check(4, "TAX_RECONCILIATION", F.lit("NOT_CHECKED"), says={"NOT_CHECKED": F.lit("the sheet has no tax columns")}))
+    if "PACKAGE_COUNT_CONSISTENCY" in rules:
+        made += packages(shipment)
+    made += header_format(shipment)
+    return exploded(d, [c for c in made if c.rule in rules], fields)
 
 
-def validate(items: DataFrame, headers: DataFrame, shipment: str = "export") -> DataFrame:
+def validate(items: DataFrame, headers: DataFrame, shipment: str = "export", fields: Sequence[str] = FIELDS) -> DataFrame:
     """All findings of all documents."""
-    return item_checks(items, headers, shipment).unionByName(document_checks(items, headers, shipment))
+    return item_checks(items, headers, shipment, fields=fields).unionByName(document_checks(items, headers, shipment, fields=fields))
 
 
 def verdicts(checks: DataFrame) -> DataFrame:
@@ -284,8 +391,11 @@ def verdicts(checks: DataFrame) -> DataFrame:
 
 
 def result_documents(checks: DataFrame) -> DataFrame:
-    """One row a document: valid, status, and arrays of its errors, warnings, all checks and passed rules, in order."""
-    item = F.struct("seq", "item", "rule", "field", "status", "expected", "actual", "difference", "retryable")
+    """One row a document: valid, status, and arrays of its errors, warnings, all checks and passed rules, in order.
+
+    Differences are floating-point numbers here, as results are written to JSON.
+    """
+    item = F.struct("seq", "item", "rule", "field", "status", "message", "expected", "actual", F.col("difference").cast("double").alias("difference"), "retryable")
     whole = checks.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("checks"))
     of = lambda s: F.filter("checks", lambda c: c["status"] == s)
     return whole.select("doc_id", (F.size(of("ERROR")) == 0).alias("valid"), F.when(F.size(of("ERROR")) == 0, "VALID").otherwise("INVALID").alias("status"), of("ERROR").alias("errors"), of("WARNING").alias("warnings"), "checks", F.transform(of("PASS"), lambda c: c["rule"]).alias("passed_rules"))

@@ -9,6 +9,7 @@ from ..functions import values as v
 from ..operators import classify, clean, layout, repair, retry, rules
 from ..operators import text as tx
 from ..sources import extractors, folders
+from . import checks_sql
 from .invoices import HEADERS, ITEMS, ORDERED, duck, frame, headers, items
 
 QUERIES: dict = {}
@@ -39,7 +40,7 @@ _ITEM = ("doc_id", "rule", "status", "item", "retryable")
 
 
 def _of(spark, sf_dir, rule):
-    return rules.item_checks(items(spark, sf_dir), headers(spark, sf_dir)).filter(F.col("rule") == rule)
+    return rules.item_checks(items(spark, sf_dir), headers(spark, sf_dir), rules=[rule])
 
 
 def _item_sql(rule: str, status: str, columns: str = "", where: str = "s IS NOT NULL", source: str = I) -> str:
@@ -62,7 +63,7 @@ _TAX = f"CASE WHEN line_amount IS NULL OR rate IS NULL OR igst_amount IS NULL TH
 @query(_item_sql("TAX_RECONCILIATION", _TAX))
 def tax_reconciliation(spark, sf_dir):
     own = items(spark, sf_dir).withColumnRenamed("rate", "igst_rate")
-    return rules.item_checks(own, headers(spark, sf_dir)).filter("rule = 'TAX_RECONCILIATION'").select(*_ITEM)
+    return rules.item_checks(own, headers(spark, sf_dir), rules=["TAX_RECONCILIATION"]).select(*_ITEM)
 
 
 @query(
@@ -144,16 +145,15 @@ FROM (SELECT *, TRY_CAST(invoice_total AS DECIMAL(18,6)) AS t FROM {H} hh) h LEF
     UNION ALL SELECT doc_id, 'MULTI_INVOICE_TOTAL_SPLIT', 'ERROR', true FROM {H} h WHERE {_MULTI} > 1 AND invoice_total IS NOT NULL AND invoice_total <> '' AND len(string_split(invoice_total, ' / ')) <> {_MULTI}"""
 )
 def header_line_total(spark, sf_dir):
-    found = rules.document_checks(items(spark, sf_dir), headers(spark, sf_dir))
-    return found.filter(F.col("rule").isin("HEADER_LINE_TOTAL", "LINE_ITEMS_INCOMPLETE", "MULTI_INVOICE_TOTAL_SPLIT")).select("doc_id", "rule", "status", "retryable")
+    return rules.document_checks(items(spark, sf_dir), headers(spark, sf_dir), rules=rules.TOTAL_RULES, fields=()).select("doc_id", "rule", "status", "retryable")
 
 
 @query(
-    f"""SELECT doc_id, CASE WHEN np = 0 OR np IS NULL THEN 'NOT_CHECKED' WHEN ps = hp OR (pmin = hp AND pmax = hp) THEN 'PASS' ELSE 'WARNING' END AS status
+    f"""SELECT doc_id, CASE WHEN np = 0 OR np IS NULL THEN 'NOT_CHECKED' WHEN ps = hp OR (pmin = hp AND pmax = hp) THEN 'PASS' ELSE 'WARNING' END AS status, CASE WHEN np > 0 THEN {checks_sql.number("hp")} END AS expected, CASE WHEN np > 0 AND ps <> hp AND NOT (pmin = hp AND pmax = hp) THEN {checks_sql.number("ps")} END AS actual
     FROM (SELECT doc_id, TRY_CAST(nullif(total_packages, '') AS DECIMAL(18,6)) AS hp FROM {H} hh) h LEFT JOIN {_SUMS} z USING (doc_id) WHERE hp IS NOT NULL"""
 )
 def package_counts(spark, sf_dir):
-    return rules.document_checks(items(spark, sf_dir), headers(spark, sf_dir)).filter("rule = 'PACKAGE_COUNT_CONSISTENCY'").select("doc_id", "status")
+    return rules.document_checks(items(spark, sf_dir), headers(spark, sf_dir), rules=["PACKAGE_COUNT_CONSISTENCY"]).select("doc_id", "status", "expected", "actual")
 
 
 @query(
@@ -166,8 +166,7 @@ def package_counts(spark, sf_dir):
       CASE WHEN iec_number IS NULL THEN NULL WHEN length(iec_number) = 10 THEN 'PASS' ELSE 'WARNING' END]) AS s FROM {H} h) z WHERE s IS NOT NULL"""
 )
 def format_types(spark, sf_dir):
-    found = rules.document_checks(items(spark, sf_dir), headers(spark, sf_dir))
-    return found.filter("rule = 'FORMAT_TYPE'").select("doc_id", "field", "status")
+    return rules.document_checks(items(spark, sf_dir), headers(spark, sf_dir), rules=["FORMAT_TYPE"]).select("doc_id", "field", "status")
 
 
 @query(
@@ -175,25 +174,36 @@ def format_types(spark, sf_dir):
 )
 def erroneous_items(spark, sf_dir):
     own = items(spark, sf_dir)
-    bad = rules.item_checks(own, headers(spark, sf_dir)).filter((F.col("status") == "ERROR") & (F.col("rule") != "ORDER_NUMBER_SOURCE_MATCH")).groupBy("doc_id").agg(F.countDistinct("item").alias("n"))
+    asked = [r for r in rules.ITEM_RULES if r != "ORDER_NUMBER_SOURCE_MATCH"]
+    bad = rules.item_checks(own, headers(spark, sf_dir), rules=asked, fields=["item"]).filter(F.col("status") == "ERROR").groupBy("doc_id").agg(F.countDistinct("item").alias("n"))
     return own.groupBy("doc_id").agg(F.count("*").alias("n_items")).join(bad, "doc_id", "left").select("doc_id", "n_items", F.coalesce("n", F.lit(0)).cast("long").alias("n_error_items"))
 
 
-@query()
+def _taxed(spark, sf_dir):
+    return items(spark, sf_dir).withColumnRenamed("rate", "igst_rate"), headers(spark, sf_dir)
+
+
+@query(checks_sql.VERDICTS)
 def validate_invoice(spark, sf_dir):
     """Every document's verdict over all rules."""
-    return rules.verdicts(rules.validate(items(spark, sf_dir).withColumnRenamed("rate", "igst_rate"), headers(spark, sf_dir)))
+    return rules.verdicts(rules.validate(*_taxed(spark, sf_dir), fields=()))
 
 
-@query()
+@query(checks_sql.CHECKS)
+def all_checks(spark, sf_dir):
+    """Every finding with its message."""
+    return rules.validate(*_taxed(spark, sf_dir)).select("doc_id", "rule", "status", "message", "item", "field", "expected", "actual", "difference", "retryable")
+
+
+@query(checks_sql.RESULTS)
 def result_documents(spark, sf_dir):
-    checks = rules.validate(items(spark, sf_dir), headers(spark, sf_dir))
-    return rules.result_documents(checks).select("doc_id", "valid", "status", F.size("errors").alias("n_errors"), F.size("checks").alias("n_checks"), F.array_join("passed_rules", ",").alias("passed"))
+    found = rules.result_documents(rules.validate(*_taxed(spark, sf_dir)))
+    return found.select("doc_id", "valid", "status", F.size("errors").alias("n_errors"), F.size("checks").alias("n_checks"), F.array_join(F.col("warnings")["message"], "\n").alias("warnings"), F.array_join("passed_rules", ",").alias("passed"))
 
 
-@query()
+@query(checks_sql.FEEDBACK)
 def retry_feedback(spark, sf_dir):
-    return retry.feedback(rules.validate(items(spark, sf_dir), headers(spark, sf_dir)))
+    return retry.feedback(rules.validate(*_taxed(spark, sf_dir)))
 
 
 _GAPS = "SELECT doc_id, CASE WHEN count(*) = count(line_amount) THEN sum(line_amount) END AS s FROM {} i WHERE quantity IS NOT NULL OR unit_price IS NOT NULL OR line_amount IS NOT NULL GROUP BY doc_id"

@@ -28,7 +28,7 @@ SELECT doc_id, pos, part, supp, line, rate,
        CASE WHEN part % 5 = 0 THEN NULL WHEN part % 5 = 1 THEN 'de' ELSE 'IN' END AS country_of_origin,
        CASE WHEN part % 4 = 0 THEN '' WHEN part % 4 = 1 THEN '7' ELSE '07' END AS state_code,
        CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(part % 4 AS DECIMAL(18,6)) END AS total_packages,
-       CASE WHEN part % 31 = 0 THEN NULL ELSE CAST(CAST(q * p AS DECIMAL(18,2)) * rate / 100 AS DECIMAL(18,2)) + CASE WHEN part % 6 = 0 THEN 1 ELSE 0 END END AS igst_amount,
+       CASE WHEN part % 31 = 0 THEN NULL ELSE CAST(CAST(q * p AS DECIMAL(18,2)) * CAST(rate AS DECIMAL(5,2)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) + CASE WHEN part % 6 = 0 THEN 1 ELSE 0 END END AS igst_amount,
        CASE WHEN part % 10 = 0 THEN '' WHEN part % 10 = 1 THEN '123' WHEN part % 10 = 2 THEN '12345' WHEN part % 10 = 3 THEN '8481 80' WHEN part % 10 = 4 THEN '8481' ELSE '84818090' END AS hsn,
        CASE WHEN part % 37 = 0 THEN NULL ELSE CAST(line AS VARCHAR(10)) END AS ser_no,
        CASE WHEN part % 8 = 0 THEN 'VALVE' ELSE concat('VALVE P/N: P-', CAST(part AS VARCHAR(20)), CASE WHEN part % 2 = 0 THEN ' Type: T7' ELSE '' END) END AS description,
