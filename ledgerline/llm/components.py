@@ -8,25 +8,43 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Edges of a vertex from which on it is a hub, too much for one task, whose least neighbour is broadcast; and hubs at most.
+HUB_EDGES, MAX_HUBS = 1_000_000, 100_000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """`edges` (u, ...) with `m` of `least` (u, m, n). Edges of hubs stay where they are: a hub's row goes to them.
+
+    So many edges a hub needs that no more than MAX_HUBS vertices can have them. Fewer edges than that have no hub.
+    """
+    if 2 * n_edges < HUB_EDGES:
+        return edges.join(least.select("u", "m"), "u")
+    hubs = F.broadcast(least.filter(F.col("n") > max(HUB_EDGES, 2 * n_edges // MAX_HUBS)).select("u", "m"))
+    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(least.select("u", "m"), "u"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable from each id that has an edge.
 
     Rounds of large-star and small-star on the edges: each vertex's larger
     neighbours, then its smaller ones, move to its smallest neighbour. A path
     shrinks geometrically. Every round is two aggregates and two joins whose
-    partial results are made before the shuffle, and is checkpointed.
+    partial results are made before the shuffle, and is checkpointed. Rounds end when
+    one changes no edge, which only stars survive. Loops and repeated edges count
+    once, edges with a null end not at all.
     """
-    edges = common.checkpointed(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).filter("u <> v").distinct())
-    signature = None
-    while True:
+    edges = common.checkpointed(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
+    told = F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("v", "u") % 1_000_003)
+    signature, n = None, edges.count()
+    while n:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both, least, n).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = common.checkpointed(small.filter("u <> v").distinct())
-        row = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.col("v") % 1_000_003), F.countDistinct("u")).first()
-        if row[0] == row[3] and tuple(row) == signature:
+        row = tuple(edges.agg(*told).first())
+        if row == signature:
             break
-        signature = tuple(row)
+        signature, n = row, row[0]
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

@@ -17,10 +17,13 @@ nothing; a pair has to pass all of them before its sets are compared.
    that verified links already connect are not compared again. A component with
    more tokens than a block holds is dealt to one task for each pair of blocks.
 
-Equal sets are one vertex from the start, so exact copies cost nothing here.
+Equal sets are one vertex from the start: of exact copies one prefix a partition is
+shuffled, and one text in all is compared.
 Texts without words have an empty set and no link; texts with fewer than k words
 have their whole word sequence as one shingle. Rows that repeat an id
-count as linked; a null id takes the component of an equal set, if there is one.
+count as linked only through their sets; a null id takes the component of an equal set,
+if there is one, and else null. An empty table gives no rows. Extra columns are ignored by
+`join` and pass through `one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from .components import components
 K, NUM, DEN, DEPTH_SHARE = 5, 80, 100, 10
 #: Tokens of a block in the local join (8 bytes each).
 BLOCK_TOKENS = 1 << 20
+#: Hashes of sets that a partition remembers, to leave out repeated prefixes.
+REMEMBERED = 200_000
 #: Up to this many candidate documents are broadcast to find their texts; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -81,18 +86,23 @@ def _long_lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, fp, n, prefix): hash and size of each set, and its prefix in hash order."""
+    """(doc_id, fp, n, prefix): hash and size of each set, and its prefix in hash order; empty where the partition had it before."""
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             fp, n, prefix = [], [], []
             for own in shingle_sets(batch.column(1), k):
                 n.append(len(own))
                 fp.append(int(common.mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(own) else 0)
-                prefix.append(own[: int(prefix_size(len(own), num, den))])
+                key = (fp[-1], n[-1])
+                prefix.append(own[: 0 if key in seen else int(prefix_size(len(own), num, den))])
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(key)
             yield pa.RecordBatch.from_arrays([batch.column(0), common.int64(np.array(fp, np.uint64)), pa.array(n, pa.int64()), _long_lists(prefix)], names=["doc_id", "fp", "n", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, n long, prefix array<long>")
 
 
 def candidate_stars(signed: DataFrame, num: int, den: int) -> DataFrame:
@@ -191,7 +201,7 @@ def verified_links(docs: DataFrame, picked: DataFrame, k: int, num: int, den: in
     dealt = common.checkpointed(dealt.select(F.col("doc_id").alias("__id"), "component", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block")))
     if dealt.count() <= BROADCAST_ROWS:
         dealt = F.broadcast(dealt)
-    texts = docs.select("doc_id", "text").join(dealt, F.col("doc_id") == F.col("__id")).select("doc_id", "component", "blocks", "block", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(dealt, F.col("doc_id") == F.col("__id")).select("doc_id", "component", "blocks", "block", "text")
 
     def packed(batches):
         for batch in batches:
@@ -225,7 +235,8 @@ def join(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFra
 
 def one_of_each(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """`docs` without the documents that are linked to one with a smaller id. Rows with a null id stay."""
-    groups = common.checkpointed(join(docs, k, num, den).filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct())
+    (gone,) = common.fresh(docs, "gone")
+    groups = common.checkpointed(join(docs, k, num, den).filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(gone)).distinct())
     if groups.count() <= BROADCAST_ROWS:
         groups = F.broadcast(groups)
-    return docs.join(groups, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(groups, docs["doc_id"] == groups[gone], "left_anti")
