@@ -95,7 +95,7 @@ ORDER_LABELS = (r"(?i)P\s*/\s*O\.?\s*[:\-]?\s*([A-Za-z0-9\-]{3,})", r"(?i)(?:Pur
 ADJUST_DOWN = r"(?i)\b(?:less|discount|rebate|deduction|deduct)\b"
 ADJUST_UP = r"(?i)\b(?:add|freight|insurance|packing|packaging|handling|forwarding|charges?)\b"
 ADJUST_AMOUNT = r"((?<![\d.,])\d[\d,]*\.\d{2}(?!\d)(?!\s*%))"
-MAX_ADJUSTMENTS, MAX_TWINS = 8, 12
+MAX_ADJUSTMENTS = 8
 
 PAGE_MARKER = r"(?m)(?=^=+\s*PAGE\s+\d+\s+OF\s+\d+)"
 OCR_PAGE_MARKER = r"(?m)(?=^--- Page \d+ \(OCR\) ---)"

@@ -48,6 +48,28 @@ def test_twins_go_only_if_the_total_needs_it(spark):
     assert sorted((r["doc_id"], r["pos"]) for r in got) == [("a", 1), ("a", 3), ("b", 1), ("b", 2), ("b", 3)]
 
 
+def test_fewest_amounts_against_all_subsets():
+    import random
+    from itertools import combinations
+
+    r = random.Random(3)
+    for _ in range(300):
+        amounts = [r.randint(1, 6) for _ in range(r.randint(1, 9))]
+        least = r.randint(1, 20)
+        most = least + r.randint(0, 2)
+        want = next((list(some) for n in range(1, len(amounts) + 1) for some in combinations(range(len(amounts)), n) if least <= sum(amounts[i] for i in some) <= most), None)
+        assert clean.fewest(amounts, least, most) == want
+    assert clean.fewest([7] * 400, 7 * 250, 7 * 250) == list(range(250))
+
+
+def test_many_twins_and_unlike_ones(spark):
+    rows = [("a", i, "STEEL VALVE BODY", 5.0, 2.0, 10.0) for i in range(30)] + [("b", 1, "STEEL VALVE BODY", 5.0, 2.0, 10.0), ("b", 2, "QUARTZ LAMP", 5.0, 2.0, 10.0), ("c", 1, "STEEL VALVE BODY", 5.0, 2.0, None), ("c", 2, "STEEL VALVE BODY", 5.0, 2.0, 10.0)]
+    d = spark.createDataFrame(rows, "doc_id string, pos int, product_description string, quantity double, unit_price double, line_total double")
+    totals = spark.createDataFrame([("a", 150.0), ("b", 10.0), ("c", 10.0)], "doc_id string, total double")
+    got = sorted((x["doc_id"], x["pos"]) for x in clean.without_bundle_repeats(d, totals).collect())
+    assert got == [("a", 0), *(("a", i) for i in range(16, 30)), ("b", 1), ("b", 2), ("c", 1), ("c", 2)]
+
+
 def test_serial_numbers_that_fall_are_made_anew(spark):
     d = spark.createDataFrame([("a", 1, "1"), ("a", 2, None), ("a", 3, "1"), ("b", 1, "2"), ("b", 2, "x"), ("b", 3, "5")], "doc_id string, pos int, item_ser_no string")
     got = [r["item_ser_no"] for r in clean.renumbered(d).orderBy("doc_id", "pos").collect()]
@@ -133,6 +155,53 @@ def test_layout_from_glyphs_to_text(spark):
     assert len(text) == 4 and all("│" in x and x.index("R") == 20 for x in text)
 
 
+def plain_doubles(glyphs):
+    """The rule read plainly, for one page."""
+    stay = []
+    for g in sorted(glyphs, key=lambda g: (g[4], g[6], g[2])):
+        on = [k for k in stay[-12:] if k[3].isspace() == g[3].isspace() and abs(k[6] - g[6]) <= 1 and abs(k[4] - g[4]) <= max(1, 0.35 * (min(k[5] - k[4], g[5] - g[4]) or 1))]
+        if not on:
+            stay.append(g)
+    return [(g[3], g[4], g[6]) for g in stay]
+
+
+def test_doubled_glyphs_over_many_pages(spark):
+    import random
+
+    r = random.Random(4)
+    glyphs = []
+    for doc in "abcdefgh":
+        for page in (1, 2):
+            for seq in range(r.choice((1, 5, 80))):
+                top, x0 = r.choice((0.0, 0.3, 1.2, 12.0)), round(r.random() * r.choice((3, 40)), 1)
+                glyphs.append((doc, page, seq, r.choice("ab "), top, top + r.choice((0.0, 8.0)), x0, x0 + 4))
+    glyphs += [("z", 1, i, "x", 0.0, 8.0, 0.01 * i, 4.0) for i in range(60)]
+    d = spark.createDataFrame(glyphs, "doc_id string, page_no int, seq int, text string, top double, bottom double, x0 double, x1 double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = layout.without_doubled_glyphs(d).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for doc, page in {(g[0], g[1]) for g in glyphs}:
+        mine = [(g["text"], g["top"], g["x0"]) for g in sorted((g for g in got if (g["doc_id"], g["page_no"]) == (doc, page)), key=lambda g: g["seq"])]
+        assert mine == plain_doubles([g for g in glyphs if g[:2] == (doc, page)])
+
+
+def test_pages_from_glyphs(spark):
+    def put(text, x, y, page=1):
+        return [("d", page, i, c, y, y + 8.0, x + 5 * i, x + 5 * i + 5) for i, c in enumerate(text)]
+
+    rows = [g for k in range(4) for g in put(f"item {k}", 10.0, 10.0 * k) + put(f"{k}7.50", 150.0, 10.0 * k)] + put("only", 0.0, 0.0, 2)
+    glyphs = spark.createDataFrame([(*g[:2], i, *g[3:]) for i, g in enumerate(rows)], "doc_id string, page_no int, seq int, text string, top double, bottom double, x0 double, x1 double")
+    assert sorted(r["text"] for r in layout.glyph_words(glyphs).collect()) == sorted(["item", "0", "07.50", "item", "1", "17.50", "item", "2", "27.50", "item", "3", "37.50", "only"])
+    assert {r["char_width"] for r in layout.char_widths(glyphs).collect()} == {5.0}
+    pages = spark.createDataFrame([("d", 1, 100.0, 50.0, None), ("d", 2, 100.0, 50.0, 1.0)], "doc_id string, page_no int, page_width double, page_height double, skew_deg double")
+    got = {r["page_no"]: r["text"] for r in layout.page_canvas(glyphs, pages).collect()}
+    assert got[1].split("\n")[0] == "  item 0" + " " * 11 + "│" + " " * 10 + "07.50" and len(got[1].split("\n")) == 4
+    narrow = pages.withColumn("page_width", F.lit(55.0))
+    assert layout.page_canvas(glyphs, narrow).filter("page_no = 1").first()["text"].split("\n")[0].endswith(" 0")
+
+
 def test_deskew_keeps_boxes_and_small_tilts(spark):
     d = spark.createDataFrame([(1, 10.0, 20.0, 5.0, 9.0, s, 100.0, 100.0) for s in (0.1, 10.0)], "k int, x0 double, x1 double, top double, bottom double, skew_deg double, page_width double, page_height double")
     a, b = layout.deskewed(d).orderBy("skew_deg").collect()
