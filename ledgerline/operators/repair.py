@@ -2,7 +2,7 @@
 
 Nothing is invented: a value changes only to a figure on the item's own printed
 row, or elsewhere on the document where that is what the rule says. Each operator
-returns its frame with a note for every change.
+returns its frame with notes of what it changed; charge rows that go are what `charge_rows` gives.
 
 Raw items here: doc_id, pos, product_description, part_number, hsn_code, quantity,
 unit_price, line_total (texts). Texts: doc_id, text.
@@ -113,17 +113,28 @@ def line_items(items: DataFrame, texts: DataFrame) -> DataFrame:
 # --- headers ------------------------------------------------------------------------
 
 
+#: Formats up to this many are broadcast to the suppliers' names; more are joined without.
+BROADCAST_FORMATS = 10_000
+
+
 def supplier_numbers(headers: DataFrame, formats: DataFrame) -> DataFrame:
-    """Invoice numbers whose prefix OCR misread, repaired by their supplier's format.
+    """Invoice numbers whose prefix OCR misread, repaired by their supplier's format; and number_note.
 
-    `formats` (a small table): supplier (pattern of the name), valid, misread (its
-    first group is the core) and prefix. A part changes if its core is in the text.
+    `formats`: supplier (pattern of the name), valid, misread (its first group is the core)
+    and prefix. A part changes if its core is in the text. Patterns are tried on each distinct
+    name once; of several formats that fit a name the first by their patterns is taken.
     """
-    d = headers.join(F.broadcast(formats.limit(1000).select(*[F.col(c).alias(f"__{c}") for c in ("supplier", "valid", "misread", "prefix")])), F.rlike(F.col("supplier_name"), F.col("__supplier")), "left")
+    wanted = ("supplier", "valid", "misread", "prefix")
+    rules = formats.select(*[F.col(c).alias(f"__{c}") for c in wanted]).distinct()
+    names = headers.select("supplier_name").filter(v.filled("supplier_name").isNotNull()).distinct()
+    fits = names.join(F.broadcast(rules) if rules.count() <= BROADCAST_FORMATS else rules, F.rlike(F.col("supplier_name"), F.col("__supplier")))
+    chosen = fits.groupBy("supplier_name").agg(F.min(F.struct(*[f"__{c}" for c in wanted])).alias("__f")).select("supplier_name", "__f.*")
+    d = headers.join(chosen, "supplier_name", "left")
     core = lambda x: F.regexp_extract_all(x, F.col("__misread"), F.lit(1))[0]
     fix = lambda x: F.when(~F.rlike(x, F.col("__valid")) & F.rlike(x, F.col("__misread")) & F.col("invoice_text").contains(core(x)), F.concat(F.col("__prefix"), core(x))).otherwise(x)
-    fixed = F.array_join(F.transform(v.parts("invoice_number"), fix), " / ")
-    return d.withColumn("invoice_number", F.when(F.col("__valid").isNotNull() & v.filled("invoice_number").isNotNull(), fixed).otherwise(F.col("invoice_number"))).drop("__supplier", "__valid", "__misread", "__prefix")
+    fixed = F.when(F.col("__valid").isNotNull() & v.filled("invoice_number").isNotNull(), F.array_join(F.transform(v.parts("invoice_number"), fix), " / ")).otherwise(F.col("invoice_number"))
+    note = F.when(~fixed.eqNullSafe(F.col("invoice_number")), "supplier_format")
+    return d.select(*[F.col(c) for c in headers.columns if c != "invoice_number"], fixed.alias("invoice_number"), note.alias("number_note"))
 
 
 def collapsed_references(headers: DataFrame) -> DataFrame:
@@ -151,7 +162,7 @@ def collapsed_references(headers: DataFrame) -> DataFrame:
 
 
 def header_values(headers: DataFrame, items: DataFrame, shipment: str = "export") -> DataFrame:
-    """Header repairs from the text (invoice_text) and the items, after the references are collapsed.
+    """Header repairs from the text (invoice_text) and the items, after the references are collapsed; and header_notes, what changed.
 
     A net realisable amount goes without its phrase in the text. A total that is
     the FOB value gives way where that line is in rupees or the items contradict
@@ -185,4 +196,12 @@ def header_values(headers: DataFrame, items: DataFrame, shipment: str = "export"
     origin, target = v.home_country("country_of_origin"), v.home_country("country_of_destination")
     abroad = (F.lit(shipment) == "export") & F.lower(F.coalesce("supplier_address", F.lit(""))).rlike(rf"\b{t.HOME}\b") & (origin != "") & (origin != "IN") & ((origin == target) | (target == "IN"))
     d = d.withColumn("country_of_origin", F.when(abroad, "IN").otherwise(F.col("country_of_origin")))
-    return d.drop("__rows", "__known", "__sum", "__qty", "__low")
+    before = headers.select("doc_id", *[F.col(c).cast("string").alias(f"__{c}") for c in NOTED])
+    changed = [F.when(~F.col(c).cast("string").eqNullSafe(F.col(f"__{c}")) & ~(v.loose(c).isNotNull() & v.loose(c).eqNullSafe(v.loose(f"__{c}"))), note) for c, note in NOTED.items()]
+    d = d.drop("__rows", "__known", "__sum", "__qty", "__low").join(before, "doc_id", "left")
+    return d.withColumn("header_notes", F.array_compact(F.array(*changed))).drop(*[f"__{c}" for c in NOTED])
+
+
+#: Header fields that repairs change, and the notes of that.
+NOTED = {"net_realisable_amount": "net_amount_not_printed", "invoice_total": "total_is_fob_value", "total_packages": "packages_from_text", "country_of_origin": "origin_is_home"}
+

@@ -22,8 +22,53 @@ def plain_text(content: bytes) -> list[str]:
     return content.decode("utf-8", "replace").split("\f")
 
 
+def glyph_reader() -> Callable[[bytes], list[tuple]] | None:
+    """Glyphs of digital PDF pages as (page_no, seq, text, top, bottom, x0, x1, page_width, page_height), where the library for it is installed."""
+    if importlib.util.find_spec("pdfplumber") is None:
+        return None
+
+    def read(content: bytes) -> list[tuple]:
+        import io
+
+        import pdfplumber
+
+        with pdfplumber.open(io.BytesIO(content)) as pdf:
+            return [(n, i, g["text"], g["top"], g["bottom"], g["x0"], g["x1"], float(p.width), float(p.height)) for n, p in enumerate(pdf.pages, 1) for i, g in enumerate(p.chars)]
+
+    return read
+
+
+GLYPHS = "page_no int, seq int, text string, top double, bottom double, x0 double, x1 double, page_width double, page_height double"
+
+
+def glyphs(docs: DataFrame, read: Callable[[bytes], list[tuple]]) -> DataFrame:
+    """(doc_id, glyph columns) of all documents (doc_id, content); broken ones have none."""
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, content in zip(batch["doc_id"], batch["content"], strict=True):
+                try:
+                    rows = read(bytes(content))
+                except Exception:
+                    rows = []
+                yield pd.DataFrame([(doc, *r) for r in rows], columns=["doc_id", *(c.split()[0] for c in GLYPHS.split(", "))])
+
+    return docs.select("doc_id", "content").mapInPandas(run, f"doc_id {key}, {GLYPHS}")
+
+
+def canvas_texts(docs: DataFrame, read: Callable[[bytes], list[tuple]]) -> DataFrame:
+    """(doc_id, text): all pages of digital documents drawn by the layout operators, each under its heading."""
+    from ..operators import layout
+    from .folders import checkpointed
+
+    rows = checkpointed(glyphs(docs, read))
+    pages = rows.groupBy("doc_id", "page_no").agg(F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"))
+    return layout.document_text(layout.page_canvas(rows.drop("page_width", "page_height"), pages))
+
+
 def layout_reader() -> Reader | None:
-    """Reads digital PDF pages, where the library for it is installed."""
+    """The library's own layout text of digital PDF pages, where it is installed; for the engine's own canvas see canvas_texts."""
     if importlib.util.find_spec("pdfplumber") is None:
         return None
 
@@ -35,7 +80,7 @@ def layout_reader() -> Reader | None:
         with pdfplumber.open(io.BytesIO(content)) as pdf:
             return [p.extract_text(layout=True) or "" for p in pdf.pages]
 
-    return "2d_layout_canvas", read
+    return "layout_text", read
 
 
 def page_texts(docs: DataFrame, readers: list[Reader], least_chars: int = 40) -> DataFrame:
@@ -53,7 +98,8 @@ def page_texts(docs: DataFrame, readers: list[Reader], least_chars: int = 40) ->
                     except Exception as e:  # a broken file is that file's status
                         error = f"{type(e).__name__}: {e}"
                         continue
-                    pages, method = got or pages, name
+                    if got:
+                        pages, method = got, name
                     if sum(len(p.strip()) for p in got) >= least_chars:
                         break
                 rows += [(doc, i, p, method, None) for i, p in enumerate(pages, 1)] or [(doc, None, None, None, error or "no text")]
@@ -62,6 +108,59 @@ def page_texts(docs: DataFrame, readers: list[Reader], least_chars: int = 40) ->
     return docs.select("doc_id", "content").mapInPandas(run, f"doc_id {key}, page_no int, text string, method string, error string")
 
 
+def routed_texts(docs: DataFrame, digital, container=None, images=None, force: bool | None = None, least_chars: int = 40) -> DataFrame:
+    """(doc_id, text, method, seconds, error): every document by `ocr.routed`; failures are rows."""
+    import time
+
+    from . import ocr
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, content in zip(batch["doc_id"], batch["content"], strict=True):
+                start = time.perf_counter()
+                try:
+                    pages, method = ocr.routed(bytes(content), digital, container, images, force, least_chars)
+                    text = headed(pages, str(doc)) if method in ("2d_layout_canvas", "ocrmypdf_docker") else "\n\n".join(pages)
+                    rows.append((doc, text or None, method, time.perf_counter() - start, None if text else "no text"))
+                except Exception as e:  # a broken file is that file's status
+                    rows.append((doc, None, None, time.perf_counter() - start, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "method", "seconds", "error"])
+
+    return docs.select("doc_id", "content").mapInPandas(run, f"doc_id {key}, text string, method string, seconds double, error string")
+
+
+def headed(pages: list[str], name: str) -> str:
+    """Pages that have text, each under the heading of layout.document_text."""
+    rule = "=" * 35
+    return "\n".join(f"\n{rule} PAGE {i} OF {len(pages)} ({name}) {rule}\n{p}" for i, p in enumerate(pages, 1) if p.strip()).strip()
+
+
+def compared(docs: DataFrame, readers: list[Reader]) -> DataFrame:
+    """(doc_id, reader, seconds, words, chars, status): every reader on every document, side by side."""
+    import time
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, content in zip(batch["doc_id"], batch["content"], strict=True):
+                for name, read in readers:
+                    start = time.perf_counter()
+                    try:
+                        text = "\n".join(read(bytes(content)))
+                        status = "ok" if len(text.strip()) >= 40 else "no text"
+                    except Exception as e:
+                        text, status = "", f"FAILED: {e}"
+                    rows.append((doc, name, time.perf_counter() - start, len(text.split()), len(text.strip()), status))
+            yield pd.DataFrame(rows, columns=["doc_id", "reader", "seconds", "words", "chars", "status"])
+
+    return docs.select("doc_id", "content").mapInPandas(run, f"doc_id {key}, reader string, seconds double, words long, chars long, status string")
+
+
 def route(stats: DataFrame) -> DataFrame:
     """(doc_id, route): digital, partial (some pages need OCR) or scanned."""
     return stats.select("doc_id", F.when(F.col("is_scanned"), "scanned").when(F.col("has_partial_pages"), "partial").otherwise("digital").alias("route"))
