@@ -173,7 +173,7 @@ def header_values(headers: DataFrame, items: DataFrame, shipment: str = "export"
     """
     amount, quantity = v.loose("line_total"), v.loose("quantity")
     sums = items.groupBy("doc_id").agg(F.count("*").alias("__rows"), F.count(amount).alias("__known"), F.sum(amount).alias("__sum"), F.sum(quantity).alias("__qty"))
-    d = headers.join(sums, "doc_id", "left").withColumn("__low", F.lower(F.coalesce("invoice_text", F.lit(""))))
+    d = headers.join(sums, "doc_id", "left").withColumns({"__low": F.lower(F.coalesce("invoice_text", F.lit("")))} | {f"__{c}": F.col(c).cast("string") for c in NOTED})
     spoken = F.col("__low").rlike("net realis|net charge|realisable")
     d = d.withColumn("net_realisable_amount", F.when(spoken, F.col("net_realisable_amount")))
     total = v.loose("invoice_total")
@@ -181,7 +181,7 @@ def header_values(headers: DataFrame, items: DataFrame, shipment: str = "export"
     rows = F.split("__low", "\n")
     value = lambda x: F.replace(F.regexp_extract(x, t.FOB_VALUE, 1), F.lit(","), F.lit("")).try_cast("double")
     fob = F.get(F.filter(rows, lambda x: (value(x) > 0) & (F.abs(total - value(x)) <= F.greatest(F.lit(1.0), value(x) * 0.01))), F.lit(0))
-    swap = F.coalesce((F.upper(F.trim(F.coalesce("currency", F.lit("")))) != "INR") & (fob.rlike(t.RUPEES) | contradicts), F.lit(False))
+    swap = F.coalesce((F.upper(F.trim(F.coalesce("currency", F.lit("")))) != "INR") & fob.isNotNull() & (fob.rlike(t.RUPEES) | contradicts), F.lit(False))
     d = d.withColumn("invoice_total", F.when(swap, F.col("net_realisable_amount").cast("string")).otherwise(F.col("invoice_total").cast("string")))
     lines = F.filter(F.split(F.coalesce("invoice_text", F.lit("")), r"\r\n|\n|\r"), lambda x: x.rlike(r"(?i)^\s*TOTAL\b"))
     numbers = F.transform(lines, lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda y: y.cast("double")))
@@ -196,10 +196,8 @@ def header_values(headers: DataFrame, items: DataFrame, shipment: str = "export"
     origin, target = v.home_country("country_of_origin"), v.home_country("country_of_destination")
     abroad = (F.lit(shipment) == "export") & F.lower(F.coalesce("supplier_address", F.lit(""))).rlike(rf"\b{t.HOME}\b") & (origin != "") & (origin != "IN") & ((origin == target) | (target == "IN"))
     d = d.withColumn("country_of_origin", F.when(abroad, "IN").otherwise(F.col("country_of_origin")))
-    before = headers.select("doc_id", *[F.col(c).cast("string").alias(f"__{c}") for c in NOTED])
     changed = [F.when(~F.col(c).cast("string").eqNullSafe(F.col(f"__{c}")) & ~(v.loose(c).isNotNull() & v.loose(c).eqNullSafe(v.loose(f"__{c}"))), note) for c, note in NOTED.items()]
-    d = d.drop("__rows", "__known", "__sum", "__qty", "__low").join(before, "doc_id", "left")
-    return d.withColumn("header_notes", F.array_compact(F.array(*changed))).drop(*[f"__{c}" for c in NOTED])
+    return d.withColumn("header_notes", F.array_compact(F.array(*changed))).drop("__rows", "__known", "__sum", "__qty", "__low", *[f"__{c}" for c in NOTED])
 
 
 #: Header fields that repairs change, and the notes of that.
