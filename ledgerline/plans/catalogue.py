@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sheets
 from ..functions import tables as t
 from ..functions import values as v
 from ..operators import classify, clean, layout, repair, retry, rules
 from ..operators import text as tx
 from ..sources import extractors, folders
 from . import checks_sql
+from . import pages as made
 from .invoices import HEADERS, ITEMS, ORDERED, duck, frame, headers, items
 
 QUERIES: dict = {}
@@ -278,11 +280,9 @@ def packing_list_dedupe(spark, sf_dir):
     return clean.without_packing_list_repeats(own).select("doc_id", "pos")
 
 
-@query()
+@query(made.BUNDLE_SQL)
 def bundle_dedupe(spark, sf_dir):
-    own = items(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), "description", F.lit(5.0).alias("quantity"), F.lit(2.0).alias("unit_price"), F.lit(10.0).alias("line_total")).withColumnRenamed("description", "product_description")
-    totals = own.groupBy("doc_id").agg((F.greatest(F.lit(1), F.count("*") - 1) * 10).alias("total"))
-    return clean.without_bundle_repeats(own, totals).select("doc_id", "pos")
+    return clean.without_bundle_repeats(frame(spark, sf_dir, made.BUNDLE), frame(spark, sf_dir, made.BUNDLE_TOTALS)).select("doc_id", "pos")
 
 
 _SER = f"(SELECT doc_id, pos, CASE WHEN part % 6 = 0 THEN NULL ELSE line END AS s FROM ({duck(ORDERED)}) o)"
@@ -382,18 +382,20 @@ def money_tokens(spark, sf_dir):
     return tx.money_counts(_printed(spark, sf_dir))
 
 
-@query()
+@query(made.REPAIRS_SQL)
 def line_repairs(spark, sf_dir):
     """HSN codes, shifted prices, charge rows and unprinted amounts over printed rows."""
-    own = items(spark, sf_dir).select("doc_id", "pos", F.when(F.col("part") % 47 == 0, "Freight charges").otherwise(F.col("description")).alias("product_description"), "part_number", F.col("hsn").alias("hsn_code"), F.col("quantity").cast("string").alias("quantity"), F.col("unit_price").cast("string").alias("unit_price"), F.when(F.col("part") % 7 == 0, F.col("line_amount") + 5).otherwise(F.col("line_amount")).cast("string").alias("line_total"))
-    return repair.line_items(own, _printed(spark, sf_dir))
+    own = frame(spark, sf_dir, made.READ)
+    end = F.concat(F.lit("\nTOTAL"), F.when(F.col("doc_id") % 2 == 0, "\nFREIGHT CHARGES │ 100.00").otherwise(""))
+    texts = own.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "printed"))), lambda x: x["printed"]), "\n").alias("text")).select("doc_id", F.concat("text", end).alias("text"))
+    items_ = own.select("doc_id", "pos", "product_description", "part_number", "hsn_code", "quantity", "unit_price", "line_total")
+    return repair.line_items(items_, texts).select("doc_id", "pos", "hsn_code", "hsn_note", F.col("unit_price").cast("decimal(18,2)").alias("unit_price"), F.col("line_total").cast("decimal(18,2)").alias("line_total"), "price_note", "amount_note")
 
 
-@query()
+@query(made.HEADS_SQL)
 def header_repairs(spark, sf_dir):
-    own = clean._missing(headers(spark, sf_dir), t.HEADER_FIELDS)
-    rows = items(spark, sf_dir).withColumnRenamed("line_amount", "line_total")
-    return repair.header_values(repair.collapsed_references(own), rows).select("doc_id", "invoice_number", "invoice_total", "total_packages", "country_of_origin")
+    own = clean._missing(frame(spark, sf_dir, made.HEADS), t.HEADER_FIELDS)
+    return repair.header_values(own, frame(spark, sf_dir, made.HEAD_ITEMS)).select("doc_id", "invoice_total", "net_realisable_amount", "total_packages", "country_of_origin")
 
 
 @query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'IO-' || o_orderkey ELSE 'IO-' || o_orderkey || ' / X' || o_orderkey END AS invoice_number, (o_orderkey % 2 = 0) AS collapsed FROM orders")
@@ -433,10 +435,9 @@ def skew_cluster(spark, sf_dir):
     return layout.skew_clusters(frame(spark, sf_dir, _SEGMENTS))
 
 
-@query()
+@query(made.CLIPPED_SQL)
 def edge_clipping(spark, sf_dir):
-    segments = frame(spark, sf_dir, _SEGMENTS).withColumns({"doc_id": F.col("doc_id") % 500, "y1": F.col("x1"), "y2": F.col("x1"), "x1": F.lit(0)})
-    return layout.clipped_edges(segments).select("doc_id", "page_no", F.array_join("clipped_edges", ",").alias("edges"))
+    return layout.clipped_edges(frame(spark, sf_dir, made.RULED)).select("doc_id", "page_no", F.array_join("clipped_edges", ",").alias("edges"))
 
 
 _WORDS = "SELECT l_orderkey AS doc_id, 1 AS page_no, CAST(l_linenumber AS INT) AS line_no, 'w' AS text, CAST(l_partkey % 60 * 10 AS DOUBLE) AS x0, CAST(l_partkey % 60 * 10 + 12 AS DOUBLE) AS x1, CAST(l_linenumber * 12 AS DOUBLE) AS top, CAST(l_linenumber * 12 + 8 AS DOUBLE) AS bottom, CAST(l_partkey % 5 AS DOUBLE) AS skew_deg, 600.0 AS page_width, 800.0 AS page_height FROM {lineitem}"
@@ -449,23 +450,24 @@ def deskew(spark, sf_dir):
     return layout.deskewed(frame(spark, sf_dir, _WORDS)).select("doc_id", "line_no", F.round("x0", 6).alias("x0"), F.round("top", 6).alias("top"))
 
 
-@query()
+@query(made.BOUNDARIES_SQL)
 def column_boundaries(spark, sf_dir):
-    words = frame(spark, sf_dir, _WORDS).withColumn("doc_id", F.col("doc_id") % 300)
+    words = layout.text_lines(frame(spark, sf_dir, made.CELLS))
     return layout.column_boundaries(words).select("doc_id", "page_no", F.array_join(F.transform("boundaries", lambda x: x.cast("string")), ",").alias("boundaries"))
 
 
-@query()
+@query(made.CANVAS_SQL)
 def layout_canvas(spark, sf_dir):
-    words = layout.text_lines(frame(spark, sf_dir, _WORDS).drop("line_no").withColumn("doc_id", F.col("doc_id") % 2000))
+    words = layout.text_lines(frame(spark, sf_dir, made.CELLS))
     pages = layout.canvas(words, layout.column_boundaries(words))
     return layout.document_text(pages).select("doc_id", F.md5("text").alias("h"))
 
 
-@query()
+@query(made.GLYPHS_SQL)
 def glyph_dedupe(spark, sf_dir):
-    glyphs = frame(spark, sf_dir, _WORDS).select((F.col("doc_id") % 2000).alias("doc_id"), "page_no", F.row_number().over(layout.Window.partitionBy((F.col("doc_id") % 2000)).orderBy("top", "x0", "doc_id")).alias("seq"), F.when(F.col("x0") % 30 == 0, " ").otherwise("w").alias("text"), "top", "bottom", "x0", "x1")
-    return layout.without_overlaid_glyphs(glyphs).groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = layout.without_overlaid_glyphs(frame(spark, sf_dir, made.GLYPHS))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n"), ordered.alias("text"))
 
 
 # --- sources and sinks -----------------------------------------------------------------
@@ -508,9 +510,7 @@ def batch_summary(spark, sf_dir):
     return folders.summary(rows).select("ok", "skipped", "failed", F.col("total_cost_inr").cast("long").alias("total_cost"))
 
 
-@query()
+@query(made.TEMPLATE_SQL)
 def template_schema(spark, sf_dir):
     """All template columns with their types, aliases and link column."""
-    rows = [(s, i, c) for s, columns in ((t.EXPORT_SHEET, t.ITEM_COLUMNS), (t.IMPORT_SHEET, t.BOE_COLUMNS)) for i, c in enumerate(columns)]
-    d = spark.createDataFrame(rows, "sheet string, pos int, name string")
-    return d.select("sheet", "pos", "name", v.column_type("name").alias("type"), v.column_alias("name").alias("alias"), F.lower(F.replace("name", F.lit(" "), F.lit("_"))).isin(*t.LINK_COLUMNS).alias("is_link"))
+    return sheets.template_columns(spark)
