@@ -136,16 +136,7 @@ def order_no_source_match(spark, sf_dir):
 
 
 _SUMS = f"(SELECT doc_id, count(*) AS n, count(line_amount) AS k, CAST(sum(line_amount) AS DECIMAL(28,6)) AS s, count(total_packages) AS np, CAST(sum(total_packages) AS DECIMAL(28,6)) AS ps, min(total_packages) AS pmin, max(total_packages) AS pmax FROM {I} i GROUP BY doc_id)"
-_BRIDGES = "(SELECT unnest([100, -2, 3, 98, 103, 1, 101]) AS b)"
-_MULTI = "len(string_split(h.invoice_number, ' / '))"
-_TOTALS = f"""SELECT h.doc_id, CASE WHEN coalesce(k, 0) = 0 OR t IS NULL OR k <> n THEN 'NOT_CHECKED' WHEN abs(s - t) <= {TOL} THEN 'PASS' WHEN coalesce(invoice_text, '') <> '' AND EXISTS (SELECT 1 FROM {_BRIDGES} x WHERE abs(s + b - t) <= {TOL}) THEN 'PASS' WHEN t - s > {TOL} THEN 'SHORT' ELSE 'ERROR' END AS st
-FROM (SELECT *, TRY_CAST(invoice_total AS DECIMAL(18,6)) AS t FROM {H} hh) h LEFT JOIN {_SUMS} z USING (doc_id)"""
-
-
-@query(
-    f"""SELECT doc_id, CASE WHEN st = 'SHORT' THEN 'LINE_ITEMS_INCOMPLETE' ELSE 'HEADER_LINE_TOTAL' END AS rule, CASE WHEN st = 'SHORT' THEN 'ERROR' ELSE st END AS status, st = 'SHORT' AS retryable FROM ({_TOTALS}) a
-    UNION ALL SELECT doc_id, 'MULTI_INVOICE_TOTAL_SPLIT', 'ERROR', true FROM {H} h WHERE {_MULTI} > 1 AND invoice_total IS NOT NULL AND invoice_total <> '' AND len(string_split(invoice_total, ' / ')) <> {_MULTI}"""
-)
+@query(f"{checks_sql.WITH} SELECT doc_id, rule, status, retryable FROM checks WHERE rule IN ('HEADER_LINE_TOTAL', 'LINE_ITEMS_INCOMPLETE', 'MULTI_INVOICE_TOTAL_SPLIT')")
 def header_line_total(spark, sf_dir):
     return rules.document_checks(items(spark, sf_dir), headers(spark, sf_dir), rules=rules.TOTAL_RULES, fields=()).select("doc_id", "rule", "status", "retryable")
 
@@ -158,17 +149,9 @@ def package_counts(spark, sf_dir):
     return rules.document_checks(items(spark, sf_dir), headers(spark, sf_dir), rules=["PACKAGE_COUNT_CONSISTENCY"]).select("doc_id", "status", "expected", "actual")
 
 
-@query(
-    f"""SELECT doc_id, f AS field, s AS status FROM (SELECT doc_id, unnest(['invoice_total', 'invoice_date', 'currency', 'supplier_tax_id', 'ad_code', 'iec_number']) AS f, unnest([
-      CASE WHEN coalesce(invoice_total, '') = '' THEN NULL WHEN TRY_CAST(invoice_total AS DECIMAL(18,6)) >= 0 THEN 'PASS' ELSE 'ERROR' END,
-      CASE WHEN invoice_date IS NULL THEN 'NOT_CHECKED' WHEN invoice_date = 'soon' THEN 'WARNING' ELSE 'PASS' END,
-      CASE WHEN currency = '' THEN NULL WHEN upper(currency) = 'USD' THEN 'PASS' WHEN currency = 'XYZ' THEN 'WARNING' ELSE 'ERROR' END,
-      CASE WHEN supplier_tax_id IS NULL THEN NULL WHEN length(supplier_tax_id) = 15 THEN 'PASS' ELSE 'WARNING' END,
-      CASE WHEN ad_code = '' THEN NULL WHEN length(ad_code) = 15 THEN 'PASS' ELSE 'WARNING' END,
-      CASE WHEN iec_number IS NULL THEN NULL WHEN length(iec_number) = 10 THEN 'PASS' ELSE 'WARNING' END]) AS s FROM {H} h) z WHERE s IS NOT NULL"""
-)
+@query(f"{checks_sql.WITH} SELECT doc_id, field, status, actual FROM checks WHERE rule = 'FORMAT_TYPE' AND item IS NULL")
 def format_types(spark, sf_dir):
-    return rules.document_checks(items(spark, sf_dir), headers(spark, sf_dir), rules=["FORMAT_TYPE"]).select("doc_id", "field", "status")
+    return rules.document_checks(items(spark, sf_dir), headers(spark, sf_dir), rules=["FORMAT_TYPE"]).select("doc_id", "field", "status", "actual")
 
 
 @query(
@@ -235,40 +218,55 @@ def _raw_items(spark, sf_dir):
 
 _RAW = f"(SELECT *, CASE WHEN part % 41 = 0 THEN 'Stainless rod' ELSE description END AS d FROM {I} i)"
 _CLEAN = f"""SELECT doc_id, pos, d AS product_description, part_number, CASE WHEN part % 43 = 0 THEN CASE WHEN m = '' THEN '47 OHMS' ELSE m || ' (47 OHMS)' END ELSE m END AS model_or_type, quantity, unit_price, CAST(line_amount AS DECIMAL(18,6)) AS line_total,
-  CASE WHEN part % 15 = 0 THEN 'GNX200' END AS end_use_code, CASE WHEN part % 15 > 1 THEN 'F1' END AS fta_code, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS VARCHAR) AS item_ser_no
+  CASE WHEN part % 15 = 0 THEN 'GNX200' END AS end_use_code, CASE WHEN part % 15 > 1 THEN 'F1' END AS fta_code, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS VARCHAR) AS item_ser_no,
+  CASE WHEN quantity > 0 AND unit_price > 0 AND line_amount = 0 THEN 'free_of_cost' WHEN quantity > 0 AND unit_price > 0 AND line_amount > 0 AND abs(CAST(quantity AS DECIMAL(18,6)) * unit_price - line_amount) > greatest(1, line_amount * CAST(0.02 AS DECIMAL(4,2))) THEN 'math_discrepancy' ELSE '' END AS warnings
 FROM (SELECT *, CASE WHEN length(d) > 8 AND contains(lower(d), lower(model_or_type)) THEN '' ELSE model_or_type END AS m FROM {_RAW} r) z WHERE NOT (contains(upper(d), 'LESS') AND quantity IS NULL)"""
 
 
 @query(_CLEAN)
 def clean_items(spark, sf_dir):
     d = clean.items(_raw_items(spark, sf_dir))
-    return d.select("doc_id", "pos", "product_description", "part_number", "model_or_type", "quantity", F.col("unit_price").cast("decimal(18,2)").alias("unit_price"), "line_total", "end_use_code", "fta_code", "item_ser_no")
+    return d.select("doc_id", "pos", "product_description", "part_number", "model_or_type", "quantity", F.col("unit_price").cast("decimal(18,2)").alias("unit_price"), "line_total", "end_use_code", "fta_code", "item_ser_no", F.array_join("warnings", ",").alias("warnings"))
+
+
+_CODES = "MAP {" + ", ".join(f"'{k}': '{x}'" for k, x in t.CURRENCY_ALIASES.items()) + "}"
 
 
 @query(
-    f"""SELECT doc_id, CASE WHEN o % 3 = 0 THEN '27ABCDE1234F1Z5' WHEN o % 3 = 1 THEN '27ABCDE1234F1Z' END AS supplier_tax_id, CASE WHEN o % 3 = 0 THEN '27' WHEN o % 10 <> 0 THEN '7' END AS state_code,
-    CASE WHEN o % 4 = 0 THEN 'EUR' WHEN o % 4 = 1 THEN 'XYZ' WHEN o % 4 = 3 THEN 'USD' END AS currency, 'N' AS reward_scheme_claim, TRY_CAST(nullif(invoice_total, '') AS DECIMAL(18,6)) AS invoice_total_dec, len(CASE WHEN o % 3 = 0 THEN CASE WHEN o % 10 <> 0 THEN ['a'] ELSE [] END WHEN o % 3 = 1 THEN ['b'] ELSE [] END) AS n_warnings FROM (SELECT *, doc_id AS o FROM {H} h) z"""
+    f"""SELECT doc_id, nullif(tax, '') AS supplier_tax_id, CASE WHEN prefix IS NOT NULL AND (own IS NULL OR lpad(own, 2, '0') <> prefix) THEN prefix ELSE own END AS state_code,
+    coalesce({_CODES}[upper(replace(money, '.', ''))], CASE WHEN regexp_full_match(money, '[A-Za-z]{{3}}') THEN upper(money) ELSE money END) AS currency, 'N' AS reward_scheme_claim, TRY_CAST(nullif(trim(invoice_total), '') AS DECIMAL(18,6)) AS invoice_total_dec,
+    CAST(CASE WHEN tax <> '' AND prefix IS NULL THEN 1 ELSE 0 END + CASE WHEN own IS NOT NULL AND lpad(own, 2, '0') <> prefix THEN 1 ELSE 0 END AS BIGINT) AS n_warnings
+    FROM (SELECT *, CASE WHEN regexp_matches(tax, '{t.GSTIN}') THEN left(tax, 2) END AS prefix, nullif(coalesce(nullif(regexp_extract(state_code, '\\b(\\d{{1,2}})\\b', 1), ''), trim(state_code)), '') AS own, nullif(trim(currency), '') AS money FROM (SELECT *, upper(trim(coalesce(supplier_tax_id, ''))) AS tax FROM {H} h) a) z"""
 )
 def clean_header(spark, sf_dir):
     raw = headers(spark, sf_dir)
     return clean.headers(raw).select("doc_id", "supplier_tax_id", "state_code", "currency", "reward_scheme_claim", "invoice_total_dec", F.size("warnings").cast("long").alias("n_warnings"))
 
 
-@query(
-    f"""SELECT c.doc_id, pos, item_ser_no AS "Item_Ser_No", product_description AS "Item_Desc", coalesce(end_use_code, '') AS "Item_End_Use", coalesce(fta_code, '') AS "FTA Code", CASE WHEN h.state_code = '' THEN '' ELSE h.state_code END AS "State Code", CASE WHEN coalesce(h.country_of_origin, '') = '' THEN '' ELSE h.country_of_origin END AS "Itm_Source_Cntry", CAST(48 AS BIGINT) AS n_columns
-    FROM ({_CLEAN}) c LEFT JOIN {H} h USING (doc_id)"""
-)
+_NONE = "(upper(trim({})) IN ('NA', 'N/A', '-', 'NIL', 'NONE', ''))"
+_ORIGIN = f"CASE WHEN h.country_of_origin IS NULL OR h.country_of_origin = '0' OR {_NONE.format('h.country_of_origin')} THEN '' ELSE h.country_of_origin END"
+_TEXT = lambda c: f"coalesce(CAST(CAST({c} AS DECIMAL(18,6)) AS VARCHAR), '')"
+_BOTH = {"hsn": "i.hsn", "description": "product_description", "quantity": _TEXT("c.quantity"), "unit_price": _TEXT("c.unit_price"), "line_amount": _TEXT("c.line_total"), "unit": "i.unit", "tariff_qty": _TEXT("c.quantity"), "tariff_unit": "i.unit", "ser_no": "item_ser_no", "country_of_origin": _ORIGIN}
+_MAPPED = {
+    "export": {t.CONCEPTS["export"][k]: x for k, x in _BOTH.items()} | {"Item_End_Use": "coalesce(end_use_code, '')", "FTA Code": "coalesce(fta_code, '')", "State Code": "CASE WHEN h.state_code = '0' THEN '' ELSE coalesce(h.state_code, '') END", "ItmTotpkg": "CASE WHEN h.total_packages = '0' THEN '' ELSE coalesce(h.total_packages, '') END"},
+    "import": {t.CONCEPTS["import"][k]: x for k, x in _BOTH.items()} | {"Item_End_Use": "coalesce(end_use_code, '')", "Model": "c.model_or_type", "COO Country": _ORIGIN},
+}
+
+
+def _wide_sql(shipment: str, columns) -> str:
+    """All columns of a sheet; those that nothing is mapped to are empty."""
+    cells = ", ".join(f"""{_MAPPED[shipment].get(c, "''")} AS "{c}\"""" for c in columns)
+    return f"SELECT c.doc_id, c.pos, {cells}, c.part_number, c.model_or_type, i.order_number FROM ({_CLEAN}) c JOIN {I} i USING (doc_id, pos) LEFT JOIN {H} h ON h.doc_id = c.doc_id"
+
+
+@query(_wide_sql("export", t.ITEM_COLUMNS))
 def map_export(spark, sf_dir):
-    d = clean.sheet(clean.items(_raw_items(spark, sf_dir)), headers(spark, sf_dir), "export")
-    return d.select("doc_id", "pos", "Item_Ser_No", "Item_Desc", "Item_End_Use", "`FTA Code`", "`State Code`", "Itm_Source_Cntry", F.lit(len(d.columns) - 2).cast("long").alias("n_columns"))
+    return clean.sheet(clean.items(_raw_items(spark, sf_dir)), headers(spark, sf_dir), "export")
 
 
-@query(
-    f"""SELECT c.doc_id, pos, item_ser_no AS "SL_No", product_description AS "Item_Desc1", coalesce(h.country_of_origin, '') AS "COO Country", model_or_type AS "Model", CAST(89 AS BIGINT) AS n_columns FROM ({_CLEAN}) c LEFT JOIN {H} h USING (doc_id)"""
-)
+@query(_wide_sql("import", t.BOE_COLUMNS))
 def map_import(spark, sf_dir):
-    d = clean.sheet(clean.items(_raw_items(spark, sf_dir)), headers(spark, sf_dir), "import")
-    return d.select("doc_id", "pos", "SL_No", "Item_Desc1", "`COO Country`", "Model", F.lit(len(d.columns) - 2).cast("long").alias("n_columns"))
+    return clean.sheet(clean.items(_raw_items(spark, sf_dir)), headers(spark, sf_dir), "import")
 
 
 _PACK = f"(SELECT doc_id, pos, part, CAST(q AS DECIMAL(18,6)) AS quantity, 'PN-' || (part % 5) AS part_number, CASE WHEN part % 2 = 0 THEN NULL ELSE p END AS unit_price FROM ({duck(ORDERED)}) o)"
@@ -412,7 +410,15 @@ def _stamped(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(lead, "text").alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 4 WHEN doc_id % 6 = 1 THEN 1 ELSE 0 END AS export_score, CASE WHEN doc_id % 6 = 1 THEN 3 ELSE 0 END AS import_score FROM documents")
+_STAMPED = "(SELECT doc_id, lower(CASE doc_id % 6 WHEN 0 THEN 'Shipping  Bill' || chr(10) || 'MEIS ' WHEN 1 THEN 'into bond egm ' WHEN 2 THEN 'Country of origin: India │ Final destination: Germany' || chr(10) WHEN 3 THEN 'Buyer: ACME, Pune, India' || chr(10) WHEN 4 THEN 'Exporter: ACME, Pune, India' || chr(10) ELSE '' END || text) AS low FROM documents)"
+
+
+def _points(phrases, points: int) -> str:
+    wide = [r"\s+".join(p.split()) if " " in p else rf"\b{p}\b" for p in phrases]
+    return " + ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN {points} ELSE 0 END" for p in wide)
+
+
+@query(f"SELECT doc_id, {_points(t.EXPORT_STRONG, t.STRONG_POINTS)} + {_points(t.EXPORT_WEAK, t.WEAK_POINTS)} AS export_score, {_points(t.IMPORT_STRONG, t.STRONG_POINTS)} + {_points(t.IMPORT_WEAK, t.WEAK_POINTS)} AS import_score FROM {_STAMPED} z")
 def phrase_score(spark, sf_dir):
     return classify.keyword_scores(_stamped(spark, sf_dir)).select("doc_id", "export_score", "import_score")
 
