@@ -240,3 +240,20 @@ def one_of_each(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) ->
     if groups.count() <= BROADCAST_ROWS:
         groups = F.broadcast(groups)
     return docs.join(groups, docs["doc_id"] == groups[gone], "left_anti")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), one AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM w WHERE len(ws) >= 5), five AS (
+  SELECT doc_id, string_agg(word, ' ') OVER span AS words, count(*) OVER span AS n FROM one WINDOW span AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, words FROM five WHERE n = 5 UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), sized AS MATERIALIZED (SELECT s.doc_id, words, n FROM s JOIN sizes USING (doc_id)), links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sized a JOIN sized b ON a.words = b.words AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach AS (
+  SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT id, b FROM reach JOIN ways ON a = r
+)
+SELECT id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN sizes ON sizes.doc_id = id GROUP BY id
+"""

@@ -9,7 +9,7 @@ from .common import read
 
 
 def op1_url_filter(spark, sf_dir):
-    return url_filter.judge(read(spark, sf_dir, "pages"))
+    return url_filter.judge(read(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
 def op2_byte_bpe(spark, sf_dir):
@@ -51,4 +51,4 @@ def op10_secret_scan(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_byte_bpe, op3_neighbours, op4_toxicity, op5_ngram_join, op6_decontamination, op7_line_dedup, op8_token_counts, op9_substring_dedup, op10_secret_scan)}
 
-ORACLE_SQL = {"op3_neighbours": neighbours.SQL, "op7_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op1_url_filter": url_filter.SQL, "op3_neighbours": neighbours.SQL, "op5_ngram_join": ngram_join.SQL, "op7_line_dedup": line_dedup.SQL, "op9_substring_dedup": substring_dedup.SQL}

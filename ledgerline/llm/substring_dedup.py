@@ -404,3 +404,21 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     found = _beside(own, spans.withColumnRenamed("spans", marks), F.length(marks), doc, text)
     return common.map_batches(found.select(*map(common.column, columns), marks), run, docs.schema)
+
+
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)
+), windows AS (
+  SELECT *, string_agg(word, ' ') OVER span AS words, count(*) OVER span AS n
+  FROM w WINDOW span AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), late AS (
+  SELECT doc_id, i, word, n = 20 AND row_number() OVER (PARTITION BY n = 20, words ORDER BY doc_id, i) > 1 AS late FROM windows
+), covered AS (
+  SELECT *, bool_or(late) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM late
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM covered GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""

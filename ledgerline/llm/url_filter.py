@@ -131,3 +131,34 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     found = own.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).join(scores, "host", "left")
     bad = F.coalesce((F.col("distrust") > 0) & (F.col("distrust") > threshold * F.col("trust")), F.lit(False))
     return found.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
+
+
+_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+#: Scores as sums over walks of every length, up to 300 edges.
+SQL = rf"""
+WITH RECURSIVE rules(rh, rp, rv) AS (VALUES {_VALUES}), p AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), fits AS (
+  SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS verdict
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id
+), hosts AS (SELECT host, count(*) AS pages FROM p WHERE host <> '' GROUP BY host), links AS (
+  SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '(?i)href\s*=\s*["'']?((?:https?:)?//[^"''\s>]+)', 1))) AS url FROM p WHERE host <> ''
+), raw AS (
+  SELECT src, translate(regexp_extract(substr(url, strpos(url, '//') + 2), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst, 1 AS n FROM links
+  UNION ALL SELECT host, regexp_extract(host, '^[^.]+\.(.+\..+)$', 1), 1 FROM hosts
+), edges AS MATERIALIZED (
+  SELECT src, dst, sum(n) / sum(sum(n)) OVER (PARTITION BY src) AS w FROM raw WHERE dst <> '' AND src <> dst GROUP BY src, dst
+), back AS MATERIALIZED (SELECT dst AS src, src AS dst, w / sum(w) OVER (PARTITION BY dst) AS w FROM edges), seeds AS (
+  SELECT host, verdict, pages / sum(pages) OVER (PARTITION BY verdict) AS seed FROM (SELECT DISTINCT host, pages, rv AS verdict FROM hosts JOIN rules ON host = rh OR ends_with(host, '.' || rh))
+), trust AS (
+  SELECT host, 0 AS k, {round(1 - DAMPING, 9)} * seed AS m FROM seeds WHERE verdict = 'allow'
+  UNION ALL SELECT dst, k + 1, sum({DAMPING} * w * m) FROM trust JOIN edges ON src = host WHERE k < 300 GROUP BY dst, k + 1
+), distrust AS (
+  SELECT host, 0 AS k, {round(1 - DAMPING, 9)} * seed AS m FROM seeds WHERE verdict = 'block'
+  UNION ALL SELECT dst, k + 1, sum({DAMPING} * w * m) FROM distrust JOIN back ON src = host WHERE k < 300 GROUP BY dst, k + 1
+), bad AS (
+  SELECT d.host FROM (SELECT host, sum(m) AS d FROM distrust GROUP BY host) d LEFT JOIN (SELECT host, sum(m) AS t FROM trust GROUP BY host) t USING (host) WHERE d > 0 AND d > {THRESHOLD} * coalesce(t, 0)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN fits USING (page_id)
+"""
