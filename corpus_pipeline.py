@@ -2,6 +2,12 @@
 
 Every stage is (name, function); a function takes (spark, docs, sf_dir) and gives
 a DataFrame, which is written as Parquet and read again as the next stage's docs.
+
+All stages but the last keep every column of their input, whatever its name. An empty
+table stays empty. Rows with a null or empty text pass all filters: they score as
+clean, have no key line, no shingle and no passage, and encode to no tokens. Rows that
+repeat an id are judged by their own texts, but for the n-gram join: there the rows
+of an id go together if any of their sets is linked to a smaller id; rows with a null id stay.
 """
 
 from __future__ import annotations
@@ -14,9 +20,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import bpe, common, decontamination, line_dedup, ngram_join, toxicity
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic go."""
     return toxicity.clean(docs, common.read(spark, sf_dir, "labels"))
@@ -59,11 +62,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    place = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = common.read(spark, sf_dir, "documents")
+    """All stages over `documents`, each written to the shared folder and read again. What a stage wrote goes once the next one is written; the last one's input stays."""
+    place = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = common.read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
+        if last is not None:
+            removed(spark, last)
+        last = f"{place}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
