@@ -70,11 +70,28 @@ def _found(keys: Column, line: Column) -> Column:
     return F.exists(keys, lambda k: line.contains(k))
 
 
+#: Items of a document from which on lines and items meet by the last characters of keys, not all with all.
+MANY_ITEMS, GRAM = 200, 4
+
+
+def _met(printed: DataFrame, items: DataFrame) -> DataFrame:
+    """`printed` (doc_id, line_no, plain, ...) with the pos of each item that a line holds a key of.
+
+    In documents of up to MANY_ITEMS items every line is tried with every item. Beyond that a line
+    meets only items whose key ends in GRAM characters that it has somewhere (keys are never shorter).
+    """
+    keyed = items.select("doc_id", "pos", row_keys("part_number", "product_description").alias("keys")).filter(F.size("keys") > 0)
+    many = keyed.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > MANY_ITEMS).select("doc_id")
+    few = printed.join(keyed.join(many, "doc_id", "left_anti"), "doc_id").filter(_found(F.col("keys"), F.col("plain"))).drop("keys")
+    tails = keyed.join(many, "doc_id", "left_semi").select("doc_id", "pos", F.explode("keys").alias("__key")).withColumn("__gram", F.substring("__key", -GRAM, GRAM))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("plain") - (GRAM - 1)), lambda i: F.substring("plain", i, F.lit(GRAM))))
+    wide = printed.join(many, "doc_id", "left_semi").filter(F.length("plain") >= GRAM).withColumn("__gram", F.explode(grams)).join(tails, ["doc_id", "__gram"]).filter(F.col("plain").contains(F.col("__key")))
+    return few.unionByName(wide.drop("__gram", "__key").dropDuplicates(["doc_id", "pos", "line_no"]))
+
+
 def source_lines(items: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, pos, line_no, line): the printed lines of each item. `items`: doc_id, pos, part_number, product_description."""
-    keyed = items.select("doc_id", "pos", row_keys("part_number", "product_description").alias("keys")).filter(F.size("keys") > 0)
-    printed = lines(texts).withColumn("plain", v.squashed("line"))
-    return printed.join(keyed, "doc_id").filter(_found(F.col("keys"), F.col("plain"))).select("doc_id", "pos", "line_no", "line")
+    return _met(lines(texts).withColumn("plain", v.squashed("line")), items).select("doc_id", "pos", "line_no", "line")
 
 
 def ends_block(line) -> Column:
@@ -87,8 +104,7 @@ def source_blocks(items: DataFrame, texts: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("line_no")
     printed = lines(texts).select("*", F.lead("line", 1).over(order).alias("one"), F.lead("line", 2).over(order).alias("two"))
     printed = printed.withColumn("block", F.when(ends_block("one"), F.col("line")).when(ends_block("two"), F.concat_ws("\n", "line", "one")).otherwise(F.concat_ws("\n", "line", "one", "two")))
-    keyed = items.select("doc_id", "pos", row_keys("part_number", "product_description").alias("keys")).filter(F.size("keys") > 0)
-    return printed.join(keyed, "doc_id").filter(_found(F.col("keys"), v.squashed("line"))).select("doc_id", "pos", "line_no", "block")
+    return _met(printed.select("doc_id", "line_no", "block", v.squashed("line").alias("plain")), items).select("doc_id", "pos", "line_no", "block")
 
 
 def joined_blocks(blocks: DataFrame) -> DataFrame:

@@ -111,6 +111,18 @@ def test_repairs_come_from_the_items_own_row(spark):
     assert (got[4]["hsn_code"], got[4]["price_note"], got[4]["amount_note"]) == ("12", None, None)
 
 
+def test_many_items_meet_their_lines_by_grams(spark, monkeypatch):
+    rows = [("d", i, f"PN-{i % 40}", f"Steel  valve number {i}" if i % 3 else None) for i in range(120)] + [("e", 1, "x", "short"), ("e", 2, None, "abcdefgh")]
+    items = spark.createDataFrame(rows, "doc_id string, pos int, part_number string, product_description string")
+    text = "\n".join(f"{i} │ xPN-{i % 50} │ STEEL valve  number {i}" for i in range(90)) + "\n\nab\n"
+    texts = spark.createDataFrame([("d", text), ("e", "the ABCDEFGH\nx")], "doc_id string, text string")
+    plain = sorted(map(tuple, tx.source_lines(items, texts).collect()))
+    blocks = sorted(map(tuple, tx.source_blocks(items, texts).collect()))
+    monkeypatch.setattr(tx, "MANY_ITEMS", 1)
+    assert plain and sorted(map(tuple, tx.source_lines(items, texts).collect())) == plain
+    assert sorted(map(tuple, tx.source_blocks(items, texts).collect())) == blocks
+
+
 def test_pages_chunks_headings_and_waybills(spark):
     text = TABLE + "=== PAGE 2 OF 2 (a) ===\nAir Waybill\nShipper's name and address\nNotify party\n"
     d = spark.createDataFrame([("d", text), ("e", "no page at all")], "doc_id string, text string")
