@@ -137,7 +137,9 @@ def signals_udf():
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, shipment_type, export_score, import_score, signal, matched)."""
-    d = keyword_scores(docs, text).withColumn("s", signals_udf()(F.col(text)))
+    # Structure tells a side only by the home country, so only texts that name it go through Python whole.
+    own = F.when(F.lower(F.col(text)).contains(t.HOME), F.col(text))
+    d = keyword_scores(docs, text).withColumn("s", signals_udf()(own))
     phrases = [F.when(has_phrase(text, p), F.lit(f"{side}:{p}")) for side, group in (("export", (*t.EXPORT_STRONG, *t.EXPORT_WEAK)), ("import", (*t.IMPORT_STRONG, *t.IMPORT_WEAK))) for p in group]
     out_bound, in_bound = F.col("s.origin_home") & ~F.col("s.destination_home"), F.col("s.destination_home") & ~F.col("s.origin_home")
     to_home, from_home = (F.col("s.buyer_home") > 0) & (F.col("s.supplier_home") == 0), (F.col("s.supplier_home") > 0) & (F.col("s.buyer_home") == 0)
