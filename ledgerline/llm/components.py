@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -12,13 +12,16 @@ from . import common
 HUB_EDGES, MAX_HUBS = 1_000_000, 100_000
 
 
-def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
-    """`edges` (u, ...) with `m` of `least` (u, m, n). Edges of hubs stay where they are: a hub's row goes to them.
+def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
+    """`edges` (u, v) with `m`, the least v of each u.
 
-    So many edges a hub needs that no more than MAX_HUBS vertices can have them. Fewer edges than that have no hub.
+    So few edges that no vertex can be a hub are dealt by u once. Else the least are aggregated before the
+    shuffle and joined, and edges of hubs stay where they are: a hub's row goes to them.
+    So many edges a hub needs that no more than MAX_HUBS vertices can have them.
     """
     if 2 * n_edges < HUB_EDGES:
-        return edges.join(least.select("u", "m"), "u")
+        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     hubs = F.broadcast(least.filter(F.col("n") > max(HUB_EDGES, 2 * n_edges // MAX_HUBS)).select("u", "m"))
     return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(least.select("u", "m"), "u"))
 
@@ -28,8 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Rounds of large-star and small-star on the edges: each vertex's larger
     neighbours, then its smaller ones, move to its smallest neighbour. A path
-    shrinks geometrically. Every round is two aggregates and two joins whose
-    partial results are made before the shuffle, and is checkpointed. Rounds end when
+    shrinks geometrically. Every round is checkpointed. Rounds end when
     one changes no edge, which only stars survive. Loops and repeated edges count
     once, edges with a null end not at all.
     """
@@ -38,10 +40,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     signature, n = None, edges.count()
     while n:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _with_least(both, least, n).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, least, n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, n).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v")
+        small = _with_least(large, n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = common.checkpointed(small.filter("u <> v").distinct())
         row = tuple(edges.agg(*told).first())
         if row == signature:
