@@ -167,7 +167,10 @@ BATCH_ROWS = 1000
 
 
 def bounded_batches(spark) -> None:
-    """Fewer rows in an Arrow batch: texts are long, and a batch is held several times over on its way."""
+    """Fewer rows in an Arrow batch: texts are long, and a batch is held several times over on its way.
+
+    This sets the session's value, and leaves it set, as batches are cut when a plan runs and not when it is made. A value that the user chose stays.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) == 10_000:
         spark.conf.set(key, BATCH_ROWS)

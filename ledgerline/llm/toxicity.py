@@ -317,10 +317,9 @@ def one_of_each_family(rows: DataFrame, hashes: int = 4) -> DataFrame:
 
     rows = common.checkpointed(rows)
     keys = rows.select("doc_id", "text").mapInArrow(signed, "doc_id long, key long, i int")
-    first = keys.groupBy("i", "key").agg(F.min("doc_id").alias("first"))
-    if rows.count() <= SAMPLE:
-        first = F.broadcast(first)  # at most `hashes` short rows for each
-    later = keys.join(first, ["i", "key"]).filter(F.col("doc_id") > F.col("first")).select("doc_id").distinct()
+    # A group's ids are no more than the sample's, and are put together before the shuffle.
+    groups = keys.groupBy("i", "key").agg(F.collect_set("doc_id").alias("ids")).filter(F.size("ids") > 1)
+    later = groups.select(F.explode(F.filter("ids", lambda x: x > F.array_min("ids"))).alias("doc_id")).distinct()
     return rows.join(later, "doc_id", "left_anti").select("text", "toxic")
 
 
