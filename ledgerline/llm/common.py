@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words: space and 0x09-0x0D.
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes of text handled at once inside one Arrow batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 IS_WHITE = np.zeros(256, bool)
