@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, line_dedup, neighbours, ngram_join, secrets, substring_dedup, token_counts, toxicity, url_filter
+from . import bpe, chat_format, decontamination, divergence, line_dedup, neighbours, ngram_join, secrets, spelling, substring_dedup, token_counts, toxicity, url_filter
 from .common import read
 
 
@@ -49,6 +49,20 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_byte_bpe, op3_neighbours, op4_toxicity, op5_ngram_join, op6_decontamination, op7_line_dedup, op8_token_counts, op9_substring_dedup, op10_secret_scan)}
+def op11_chat_format(spark, sf_dir):
+    texts, links = chat_format.chain(chat_format.with_planted(read(spark, sf_dir, "conversations")))
+    # A chain is one path, so no text is shared by two.
+    return chat_format.digests(chat_format.formatted(texts, links, once=False))
 
-ORACLE_SQL = {"op1_url_filter": url_filter.SQL, "op3_neighbours": neighbours.SQL, "op5_ngram_join": ngram_join.SQL, "op7_line_dedup": line_dedup.SQL, "op9_substring_dedup": substring_dedup.SQL}
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.groups(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_byte_bpe, op3_neighbours, op4_toxicity, op5_ngram_join, op6_decontamination, op7_line_dedup, op8_token_counts, op9_substring_dedup, op10_secret_scan, op11_chat_format, op12_source_divergence, op13_spelling_variants)}
+
+ORACLE_SQL = {"op1_url_filter": url_filter.SQL, "op3_neighbours": neighbours.SQL, "op5_ngram_join": ngram_join.SQL, "op7_line_dedup": line_dedup.SQL, "op9_substring_dedup": substring_dedup.SQL, "op11_chat_format": chat_format.SQL, "op12_source_divergence": divergence.SQL, "op13_spelling_variants": spelling.SQL}
