@@ -114,8 +114,9 @@ def _jumps(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         if 1 << len(rounds) > 2 * rows:  # a path holds each message once: what still has an ancestor is on or below a cycle
             break
         above = state.select(F.col("tree").alias("t"), F.col("id").alias("at"), F.col("jump").alias("next"), F.col("steps").alias("more"), F.col("total").alias("sum"))
-        met = state.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("jump") == F.col("at")), "left")
-        state = common.checkpointed(met.select("tree", "id", F.col("next").alias("jump"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total")))
+        met = state.filter("jump is not null").join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("jump") == F.col("at")))
+        moved = met.select("tree", "id", F.col("next").alias("jump"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("total") + F.col("sum")).alias("total"))
+        state = common.checkpointed(moved.unionByName(state.filter("jump is null")))
     return rounds, state.filter("jump is null").select("tree", "id", "steps", (F.col("total") / F.col("steps")).alias("score"))
 
 
