@@ -413,19 +413,21 @@ def _stamped(spark, sf_dir):
 _STAMPED = "(SELECT doc_id, lower(CASE doc_id % 6 WHEN 0 THEN 'Shipping  Bill' || chr(10) || 'MEIS ' WHEN 1 THEN 'into bond egm ' WHEN 2 THEN 'Country of origin: India │ Final destination: Germany' || chr(10) WHEN 3 THEN 'Buyer: ACME, Pune, India' || chr(10) WHEN 4 THEN 'Exporter: ACME, Pune, India' || chr(10) ELSE '' END || text) AS low FROM documents)"
 
 
-def _points(phrases, points: int) -> str:
-    wide = [r"\s+".join(p.split()) if " " in p else rf"\b{p}\b" for p in phrases]
-    return " + ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN {points} ELSE 0 END" for p in wide)
-
-
-@query(f"SELECT doc_id, {_points(t.EXPORT_STRONG, t.STRONG_POINTS)} + {_points(t.EXPORT_WEAK, t.WEAK_POINTS)} AS export_score, {_points(t.IMPORT_STRONG, t.STRONG_POINTS)} + {_points(t.IMPORT_WEAK, t.WEAK_POINTS)} AS import_score FROM {_STAMPED} z")
+@query(f"SELECT doc_id, {made.phrase_points(t.EXPORT_STRONG, t.STRONG_POINTS)} + {made.phrase_points(t.EXPORT_WEAK, t.WEAK_POINTS)} AS export_score, {made.phrase_points(t.IMPORT_STRONG, t.STRONG_POINTS)} + {made.phrase_points(t.IMPORT_WEAK, t.WEAK_POINTS)} AS import_score FROM {_STAMPED} z")
 def phrase_score(spark, sf_dir):
     return classify.keyword_scores(_stamped(spark, sf_dir)).select("doc_id", "export_score", "import_score")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 2, 4) THEN 'export' WHEN doc_id % 6 = 3 THEN 'import' ELSE 'unknown' END AS shipment_type, CASE WHEN doc_id % 6 < 2 THEN 'keyword' WHEN doc_id % 6 < 5 THEN 'structural' ELSE 'none' END AS signal FROM documents")
+@query(made.SHIPMENT_SQL)
 def shipment_type(spark, sf_dir):
-    return classify.detect(_stamped(spark, sf_dir)).select("doc_id", "shipment_type", "signal")
+    return classify.detect(frame(spark, sf_dir, made.ADDRESSED)).drop("matched")
+
+
+@query(made.PARTY_SQL)
+def party_signals(spark, sf_dir):
+    d = frame(spark, sf_dir, made.ADDRESSED)
+    met = d.select("doc_id").join(classify.party_signals(d), "doc_id", "left")
+    return met.select("doc_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("origin_home", "destination_home")), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("buyer_home", "supplier_home")))
 
 
 # --- layout -------------------------------------------------------------------------

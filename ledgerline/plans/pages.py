@@ -108,3 +108,57 @@ _STRINGS = ", ".join(f"'{c}'" for c in t.ALWAYS_STRING)
 _WORDS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in t.ABBREVIATIONS.items()) + "}"
 TEMPLATE_SQL = f"""SELECT sheet, CAST(pos AS INTEGER) AS pos, name, CASE WHEN lower(name) IN ({_STRINGS}) OR contains(lower(name), 'date') THEN 'string' WHEN regexp_matches(lower(name), '{"|".join(t.NUMBER_HINTS)}') THEN 'number' ELSE 'string' END AS type,
   array_to_string(list_transform(list_filter(string_split(replace(name, '_', ' '), ' '), lambda w: w <> ''), lambda w: coalesce({_WORDS}[lower(w)], upper(w[1]) || lower(w[2:]))), ' ') AS alias, replace(lower(name), ' ', '_') IN ({", ".join(f"'{c}'" for c in t.LINK_COLUMNS)}) AS is_link FROM (VALUES {_ROWS}) v(sheet, pos, name)"""
+
+# --- parties, routes and phrases put into texts ----------------------------------------------
+
+_FILL = "repeat('x ', CAST(doc_id % 500 AS INT))"
+#: Leads that turn on columns, references, stops, distances and the order of labels, before the documents' own texts.
+ADDRESSED = f"""SELECT doc_id, concat(
+  CASE WHEN floor(doc_id / 16) % 5 = 0 THEN concat('Shipping  Bill', chr(10), 'MEIS ') WHEN floor(doc_id / 16) % 5 = 1 THEN 'into bond egm swcs ' WHEN floor(doc_id / 16) % 5 = 2 THEN concat('BCD,', chr(10), 'cvd ') ELSE '' END, chr(10),
+  CASE WHEN doc_id % 16 = 0 THEN 'Buyer: ACME, Pune, India' WHEN doc_id % 16 = 1 THEN concat('Exporter: ', {_FILL}, 'India') WHEN doc_id % 16 = 2 THEN concat('Seller: HYVE │ Buyer: FOO', chr(10), 'London │ Pune, India')
+    WHEN doc_id % 16 = 3 THEN 'Buyers Order No: 5 India' WHEN doc_id % 16 = 4 THEN 'FCA Seller Premises India' WHEN doc_id % 16 = 5 THEN concat('Ship From: Changzhou To India', CASE WHEN floor(doc_id / 16) % 2 = 0 THEN ' India' ELSE '' END)
+    WHEN doc_id % 16 = 6 THEN concat('Consignee: Acme Hungary', chr(10), 'Country of Origin of Goods: India') WHEN doc_id % 16 = 7 THEN concat('Country of Origin Country of Final Destination', chr(10), 'India   │  Republic of Korea')
+    WHEN doc_id % 16 = 8 THEN concat('Port of import: France', chr(10), 'port of  export: India') WHEN doc_id % 16 = 9 THEN concat('Country of origin: Germanys ', repeat('y', CAST(doc_id % 200 AS INT)), ' India')
+    WHEN doc_id % 16 = 10 THEN 'Final destination: indiana, India' WHEN doc_id % 16 = 11 THEN concat('Sold-To │ Bank', chr(10), 'Pune │ India', CASE WHEN floor(doc_id / 16) % 2 = 0 THEN concat(chr(10), 'India') ELSE '' END)
+    WHEN doc_id % 16 = 12 THEN concat('Shipper: A, India', chr(10), 'Receiver: B, India') WHEN doc_id % 16 = 13 THEN concat('Country of origin Final destination', chr(10), 'India and Germany')
+    WHEN doc_id % 16 = 14 THEN concat('Bill  to', chr(10), 'x │ India', chr(10), 'Manufacturer - Berlin') ELSE '' END, chr(10), text) AS text FROM {{documents}}"""
+
+
+def _regex(words: str) -> str:
+    return words.replace("'", "''")
+
+
+LABEL_GAP = r"[\s\-]+"
+_COUNTRY = r"\b(" + "|".join(t.COUNTRIES) + r")\b"
+_LABEL_ROWS = ", ".join(f"('{side}', '{label}', '{LABEL_GAP.join(label.split())}')" for side, labels in (("buyer", t.BUYER_LABELS), ("supplier", t.SUPPLIER_LABELS)) for label in labels)
+_ROUTE_ROWS = f"('route', 'origin', '{t.ORIGIN_LABEL}'), ('route', 'target', '{t.DESTINATION_LABEL}')"
+#: The texts of windows, cut by columns, and searched: no places of marks but those of labels.
+_SIGNALS = rf"""d AS MATERIALIZED (SELECT doc_id, lower(text) AS low FROM ({duck(ADDRESSED)}) z),
+pats(side, label, pat) AS (VALUES {_LABEL_ROWS}, {_ROUTE_ROWS}),
+hits AS (SELECT doc_id, low, side, label, string_split_regex(low, pat) AS gaps, regexp_extract_all(low, pat) AS said FROM d, pats WHERE contains(low, 'india') AND regexp_matches(low, pat)),
+spots AS MATERIALIZED (SELECT doc_id, low, side, label, s, s + length(said[i]) AS e FROM (SELECT *, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(said[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM (SELECT *, unnest(range(1, len(said) + 1)) AS i FROM hits) y) x),
+parties AS MATERIALIZED (SELECT * FROM spots WHERE side <> 'route' AND NOT regexp_matches(substr(low, e + 1, {t.REFERENCE_CHARS}), '^{_regex(t.REFERENCE_FIELD)}') AND NOT regexp_matches(regexp_extract(substr(low, 1, s), '[^\n│]*$'), '[a-z]{{2,}}')),
+reach AS (SELECT * EXCLUDE (nxt), least(e + {t.NEAR_CHARS}, nxt) AS stop FROM (SELECT p.doc_id, p.low, p.side, p.label, p.s, p.e, min(o.s) FILTER (WHERE (o.side = 'route' AND o.s >= p.e) OR (o.side <> 'route' AND o.s > p.e)) AS nxt
+  FROM parties p LEFT JOIN (SELECT doc_id, side, s FROM parties UNION ALL SELECT doc_id, side, s FROM spots WHERE side = 'route') o ON o.doc_id = p.doc_id AND o.side <> p.side GROUP BY p.doc_id, p.low, p.side, p.label, p.s, p.e) g),
+windows AS (SELECT *, string_split(substr(low, e + 1, stop - e), chr(10)) AS lines, len(string_split(regexp_extract(substr(low, 1, e), '[^\n]*$'), '│')) AS col FROM reach),
+near AS (SELECT DISTINCT doc_id, side, label FROM windows WHERE regexp_matches(regexp_replace(lines[1] || chr(10) || array_to_string(list_transform(lines[2:], lambda l: CASE WHEN contains(l, '│') THEN coalesce(string_split(l, '│')[col], '') ELSE l END), chr(10)), '\bto\s{{0,4}}india\b', '#', 'g'), '\bindia\b')),
+homes AS (SELECT doc_id, count(*) FILTER (WHERE side = 'buyer') AS buyer_home, count(*) FILTER (WHERE side = 'supplier') AS supplier_home FROM near GROUP BY doc_id),
+ends AS (SELECT doc_id, any_value(low) AS low, min(s) FILTER (WHERE label = 'origin') AS os, arg_min(e, s) FILTER (WHERE label = 'origin') AS oe, min(s) FILTER (WHERE label = 'target') AS ts, arg_min(e, s) FILTER (WHERE label = 'target') AS te FROM spots WHERE side = 'route' GROUP BY doc_id),
+direct AS (SELECT *, regexp_extract(substr(low, oe + 1, CASE WHEN ts IS NULL THEN {t.SINGLE_LABEL_CHARS} WHEN ts > oe THEN ts - oe ELSE length(low) END), '{_COUNTRY}', 1) AS a,
+  regexp_extract(substr(low, te + 1, CASE WHEN os IS NULL THEN {t.SINGLE_LABEL_CHARS} WHEN os > te THEN os - te ELSE length(low) END), '{_COUNTRY}', 1) AS b, CASE WHEN os IS NOT NULL AND ts IS NOT NULL THEN substr(low, least(os, ts) + 1) ELSE '' END AS rest FROM ends),
+paired AS (SELECT *, regexp_extract_all(rest, '{_COUNTRY}', 1) AS two, trim(regexp_replace(trim(replace(trim(regexp_extract(rest, '(?s)^.*?{_COUNTRY}(.*?){_COUNTRY}', 2), chr(32) || chr(10)), '│', ''), chr(32) || chr(10)), '{_regex(t.FORMAL_PREFIX)}', ''), chr(32) || chr(10)) AS gap FROM direct),
+routes AS (SELECT doc_id, coalesce(CASE WHEN p THEN CASE WHEN os <= ts THEN two[1] ELSE two[2] END ELSE a END = '{t.HOME}', false) AS origin_home, coalesce(CASE WHEN p THEN CASE WHEN os <= ts THEN two[2] ELSE two[1] END ELSE b END = '{t.HOME}', false) AS destination_home FROM (SELECT *, rest <> '' AND (a = '' OR b = '') AND len(two) >= 2 AND gap = '' AS p FROM paired) q),
+signals AS MATERIALIZED (SELECT doc_id, low, coalesce(origin_home, false) AS origin_home, coalesce(destination_home, false) AS destination_home, CAST(coalesce(buyer_home, 0) AS INTEGER) AS buyer_home, CAST(coalesce(supplier_home, 0) AS INTEGER) AS supplier_home FROM d LEFT JOIN homes USING (doc_id) LEFT JOIN routes USING (doc_id))"""
+PARTY_SQL = f"WITH {_SIGNALS} SELECT doc_id, origin_home, destination_home, buyer_home, supplier_home FROM signals"
+
+
+def phrase_points(phrases, points: int) -> str:
+    wide = [r"\s+".join(p.split()) if " " in p else rf"\b{p}\b" for p in phrases]
+    return " + ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN {points} ELSE 0 END" for p in wide)
+
+
+SHIPMENT_SQL = f"""WITH {_SIGNALS},
+k AS (SELECT *, {phrase_points(t.EXPORT_STRONG, t.STRONG_POINTS)} + {phrase_points(t.EXPORT_WEAK, t.WEAK_POINTS)} AS ek, {phrase_points(t.IMPORT_STRONG, t.STRONG_POINTS)} + {phrase_points(t.IMPORT_WEAK, t.WEAK_POINTS)} AS ik FROM signals),
+s AS (SELECT *, origin_home AND NOT destination_home AS o1, destination_home AND NOT origin_home AS o2, buyer_home > 0 AND supplier_home = 0 AS p2, supplier_home > 0 AND buyer_home = 0 AS p1 FROM k),
+n AS (SELECT *, ek + {t.STRONG_POINTS} * (o1::INT + p1::INT) AS es, ik + {t.STRONG_POINTS} * (o2::INT + p2::INT) AS ims, ek > 0 OR ik > 0 AS kw, o1 OR o2 OR p1 OR p2 AS st FROM s)
+SELECT doc_id, CASE WHEN es - ims >= {t.MARGIN} THEN 'export' WHEN ims - es >= {t.MARGIN} THEN 'import' ELSE 'unknown' END AS shipment_type, CAST(es AS INTEGER) AS export_score, CAST(ims AS INTEGER) AS import_score, CASE WHEN kw AND st THEN 'both' WHEN kw THEN 'keyword' WHEN st THEN 'structural' ELSE 'none' END AS signal FROM n"""
