@@ -1,10 +1,11 @@
 """Source divergence audit: how far the word use of each source of a language lies from that of the others.
 
-Terms are counted once for each (lang, source, term) and pivoted into one row
-for each (lang, term) with an array of (source's place, count); sources in
-which a term never occurs have no entry. Higher-order functions turn each
-array into contributions of pairs of sources, and partial aggregates sum them
-before anything is shuffled.
+Terms are counted once for each (lang, source, term), within each task first (a
+translation of bytes and a split find them; counters of bounded size), and pivoted
+into one row for each (lang, term) with an array of (source's place, count);
+sources in which a term never occurs have no entry. Higher-order functions turn
+each entry and those behind it into contributions of pairs of sources, and
+partial aggregates sum them before anything is shuffled.
 
 A term that does not occur in a source has the source's least share there, a
 constant b of the source, so the absent entries are never spelled out. For
@@ -27,6 +28,9 @@ gives no rows. Extra columns are ignored. doc_id is never used.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +43,11 @@ SCALE = 1_000_000_000
 #: (lang, source) groups up to this number are broadcast. The result has a row for each pair of sources of a language, so they are few by its size.
 BROADCAST_GROUPS = 500_000
 
-#: Characters that are no part of a term: ASCII but letters.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Counters of a task are handed on and begun anew once they hold so many (group, term) entries.
+HELD_TERMS = 600_000
+
+#: Terms are of ASCII letters, made lower case, and of everything beyond ASCII: all other bytes become spaces.
+_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def _f(p: str, q: str) -> str:
@@ -59,13 +65,36 @@ def _groups(rows: DataFrame) -> DataFrame:
     return common.checkpointed(rows.select("lang", "source").distinct().withColumn("at", place))
 
 
+def _counts(batches):
+    """Occurrences and documents of each (lang, place, term) of some documents."""
+    held: dict[tuple, tuple[Counter, Counter]] = {}
+
+    def flush():
+        for (lang, at), (n, d) in held.items():
+            columns = [pa.repeat(lang, len(n)), pa.repeat(pa.scalar(at, pa.int32()), len(n)), pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array(list(map(d.__getitem__, n)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "at", "term", "n", "d"])
+        held.clear()
+
+    for batch in batches:
+        langs, places = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for a, b, data, offsets in common.text_slices(batch.column(2)):
+            raw = data.tobytes().translate(_TERMS)
+            for k in range(b - a):
+                terms = raw[offsets[k] : offsets[k + 1]].split()
+                if terms:
+                    n, d = held.setdefault((langs[a + k], places[a + k]), (Counter(), Counter()))
+                    n.update(terms)
+                    d.update(set(terms))
+            if sum(len(n) for n, _ in held.values()) >= HELD_TERMS:
+                yield from flush()
+    yield from flush()
+
+
 def term_vectors(rows: DataFrame, groups: DataFrame, few: bool, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, total, vec): kept terms, vec an array of (at, n) by place, only of sources that have the term."""
     placed = rows.join(F.broadcast(groups) if few else groups, ["lang", "source"])
-    terms = placed.select("lang", "at", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("terms"))
-    # Every occurrence counts for n, the first of a document for d.
-    entries = F.expr("concat(transform(terms, t -> struct(t as term, 1L as n, 0L as d)), transform(array_distinct(terms), t -> struct(t as term, 0L as n, 1L as d)))")
-    counted = terms.select("lang", "at", F.explode(entries).alias("e")).groupBy("lang", "at", F.col("e.term").alias("term")).agg(F.sum("e.n").alias("n"), F.sum("e.d").alias("d"))
+    counted = placed.select("lang", "at", "text").mapInArrow(_counts, "lang string, at int, term string, n long, d long")
+    counted = counted.groupBy("lang", "at", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     wide = counted.groupBy("lang", "term").agg(F.sum("d").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("at", "n")).alias("vec"))
     return wide.filter(F.col("docs") >= min_docs).select("lang", "term", "total", F.sort_array("vec").alias("vec"))
 
@@ -92,8 +121,10 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
     )
     both = f"{_f('x.p', 'y.p')} - {_f('x.p', 'y.b')} - {_f('x.b', 'y.p')} + {_f('x.b', 'y.b')}"
     back = f"{_f('y.p', 'x.p')} - {_f('y.p', 'x.b')} - {_f('y.b', 'x.p')} + {_f('y.b', 'x.b')}"
-    emitted = F.expr(f"flatten(transform(vec, (x, k) -> transform(slice(vec, k + 2, size(vec)), y -> struct(x.at as i, y.at as j, {both} as there, {back} as back))))")
-    met = shares.filter(F.size("vec") > 1).select("lang", F.explode(emitted).alias("c")).groupBy("lang", "c.i", "c.j").agg(F.sum("c.there").alias("there"), F.sum("c.back").alias("back"))
+    # An entry meets those behind it, so a row holds one entry's pairs, not all of a term's.
+    heads = shares.filter(F.size("vec") > 1).select("lang", "vec", F.posexplode("vec").alias("k", "x")).filter(F.col("k") + 1 < F.size("vec"))
+    emitted = heads.select("lang", F.explode(F.expr("transform(slice(vec, k + 2, size(vec)), y -> struct(x as x, y as y))")).alias("c")).select("lang", "c.x", "c.y")
+    met = emitted.select("lang", F.col("x.at").alias("i"), F.col("y.at").alias("j"), F.expr(both).alias("there"), F.expr(back).alias("back")).groupBy("lang", "i", "j").agg(F.sum("there").alias("there"), F.sum("back").alias("back"))
     met = met.select("lang", F.explode(F.array(F.struct("i", "j", F.col("there").alias("s")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("back").alias("s")))).alias("c")).select("lang", "c.i", "c.j", "c.s")
 
     histogram = entries.groupBy("lang", "at", "n").agg(F.count("*").alias("m")).join(hint(langs), "lang")
