@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sheets
 from ..functions import tables as t
 from ..functions import values as v
-from ..operators import classify, clean, layout, repair, retry, rules
+from ..operators import classify, clean, layout, likeness, repair, retry, rules
 from ..operators import text as tx
 from ..sources import extractors, folders
 from . import checks_sql
@@ -430,6 +430,13 @@ def party_signals(spark, sf_dir):
     return met.select("doc_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("origin_home", "destination_home")), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("buyer_home", "supplier_home")))
 
 
+@query(made.NAMES_SQL)
+def fuzzy_repeats(spark, sf_dir):
+    n = frame(spark, sf_dir, made.NAMES)
+    pairs = likeness.like_pairs(n.select("size", "part", "name"), n.select("size", F.col("part").alias("other"), F.col("misread").alias("name")), ["size"], "part", "other", "name", 0.6)
+    return pairs.select("size", "part", "other", F.when(F.col("likeness") >= 0.85, "same").otherwise("like").alias("kind"))
+
+
 # --- layout -------------------------------------------------------------------------
 
 _SEGMENTS = "SELECT l_orderkey AS doc_id, 1 AS page_no, CAST(l_partkey % 600 AS INT) AS x1, CAST(l_suppkey % 800 AS INT) AS y1, CAST(l_partkey % 600 + l_linenumber * 40 - 100 AS INT) AS x2, CAST(l_suppkey % 800 + l_quantity AS INT) AS y2, 600 AS width, 800 AS height FROM {lineitem}"

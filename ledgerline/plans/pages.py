@@ -162,3 +162,29 @@ k AS (SELECT *, {phrase_points(t.EXPORT_STRONG, t.STRONG_POINTS)} + {phrase_poin
 s AS (SELECT *, origin_home AND NOT destination_home AS o1, destination_home AND NOT origin_home AS o2, buyer_home > 0 AND supplier_home = 0 AS p2, supplier_home > 0 AND buyer_home = 0 AS p1 FROM k),
 n AS (SELECT *, ek + {t.STRONG_POINTS} * (o1::INT + p1::INT) AS es, ik + {t.STRONG_POINTS} * (o2::INT + p2::INT) AS ims, ek > 0 OR ik > 0 AS kw, o1 OR o2 OR p1 OR p2 AS st FROM s)
 SELECT doc_id, CASE WHEN es - ims >= {t.MARGIN} THEN 'export' WHEN ims - es >= {t.MARGIN} THEN 'import' ELSE 'unknown' END AS shipment_type, CAST(es AS INTEGER) AS export_score, CAST(ims AS INTEGER) AS import_score, CASE WHEN kw AND st THEN 'both' WHEN kw THEN 'keyword' WHEN st THEN 'structural' ELSE 'none' END AS signal FROM n"""
+
+# --- names that are nearly the same ----------------------------------------------------------
+
+#: Part names of a size, misread on one side: letters for digits, missing letters, words turned or added.
+NAMES = f"""SELECT p_partkey AS part, p_size AS size, upper(p_name) AS name,
+  CASE WHEN p_partkey % 6 = 0 THEN concat(substring(upper(p_name), 1, 3), substring(upper(p_name), 5, 40)) WHEN p_partkey % 6 = 1 THEN replace(replace(upper(p_name), 'O', '0'), 'I', '1') WHEN p_partkey % 6 = 2 THEN concat(upper(p_name), ' TYPE ', CAST(p_partkey % 10 AS VARCHAR(9)))
+    WHEN p_partkey % 6 = 3 THEN concat('* ', p_brand, ' / ', p_type, ' / ', upper(p_name)) WHEN p_partkey % 6 = 4 THEN concat(p_type, ', ', upper(p_name), ' ', p_brand) ELSE lower(p_name) END AS misread
+FROM {{part}}"""
+
+_PLAIN = "trim(regexp_replace(upper({}), '[^A-Z0-9]+', ' ', 'g'))"
+_LONGEST = "list_max(list_filter(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda k: {'k': k, 'i': -i}))), lambda s: contains(b, substr(a, -s.i, s.k))))"
+#: Matching blocks by recursion: the longest common piece, the first one of these, then what is left and right of it.
+NAMES_SQL = f"""WITH RECURSIVE n AS MATERIALIZED (SELECT part, size, {_PLAIN.format('name')} AS name, {_PLAIN.format('misread')} AS misread FROM ({duck(NAMES)}) z),
+texts AS MATERIALIZED (SELECT DISTINCT l.name AS x, r.misread AS y FROM n l JOIN n r USING (size) WHERE l.name <> '' AND r.misread <> ''),
+words AS MATERIALIZED (SELECT DISTINCT u, v FROM (SELECT unnest(string_split(x, ' ')) AS u, y FROM texts) p, (SELECT DISTINCT y AS y2, unnest(string_split(y, ' ')) AS v FROM texts) q WHERE p.y = q.y2 UNION SELECT DISTINCT v, u FROM (SELECT unnest(string_split(x, ' ')) AS u, y FROM texts) p, (SELECT DISTINCT y AS y2, unnest(string_split(y, ' ')) AS v FROM texts) q WHERE p.y = q.y2),
+met AS MATERIALIZED (SELECT x, y FROM texts UNION SELECT u, v FROM words),
+blocks AS (
+  SELECT x, y, x AS a, y AS b, {_LONGEST.replace('a,', 'x,').replace('(a)', '(x)').replace('contains(b', 'contains(y')} AS best FROM met
+  UNION ALL SELECT x, y, a, b, {_LONGEST} FROM (
+    SELECT x, y, unnest([substr(a, 1, -best.i - 1), substr(a, -best.i + best.k)]) AS a, unnest([substr(b, 1, instr(b, substr(a, -best.i, best.k)) - 1), substr(b, instr(b, substr(a, -best.i, best.k)) + best.k)]) AS b FROM blocks WHERE best IS NOT NULL) s WHERE a <> '' AND b <> ''),
+ratios AS MATERIALIZED (SELECT x, y, 2.0::DOUBLE * sum(coalesce(best.k, 0)) / (length(x) + length(y)) AS r FROM blocks GROUP BY x, y),
+of_words AS (SELECT x AS u, y AS v FROM ratios WHERE r >= 0.8),
+sides AS (SELECT x, y, CASE WHEN len(string_split(x, ' ')) <= len(string_split(y, ' ')) THEN string_split(x, ' ') ELSE string_split(y, ' ') END AS few, CASE WHEN len(string_split(x, ' ')) <= len(string_split(y, ' ')) THEN string_split(y, ' ') ELSE string_split(x, ' ') END AS many FROM texts),
+near AS (SELECT x, y, few_n, count(DISTINCT i) AS shared FROM (SELECT x, y, i, few_n, few[i] AS w, unnest(many) AS v FROM (SELECT *, len(few) AS few_n, unnest(range(1, len(few) + 1)) AS i FROM sides) f) g JOIN of_words ON u = w AND of_words.v = g.v GROUP BY x, y, few_n),
+like_texts AS MATERIALIZED (SELECT x, y, greatest(r, CASE WHEN shared >= 2 THEN shared::DOUBLE / few_n ELSE 0 END) AS likeness FROM texts JOIN ratios USING (x, y) LEFT JOIN near USING (x, y))
+SELECT size, l.part AS part, r.part AS other, CASE WHEN likeness >= 0.85 THEN 'same' ELSE 'like' END AS kind FROM n l JOIN n r USING (size) JOIN like_texts ON x = l.name AND y = r.misread WHERE likeness >= 0.6"""
