@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sheets
 from ..functions import tables as t
 from ..functions import values as v
-from ..operators import classify, clean, layout, likeness, repair, retry, rules
+from ..operators import classify, clean, layout, likeness, lines, repair, retry, rules
 from ..operators import text as tx
 from ..sources import extractors, folders
 from . import checks_sql
@@ -450,6 +450,11 @@ def skew_cluster(spark, sf_dir):
     return layout.skew_clusters(frame(spark, sf_dir, _SEGMENTS))
 
 
+@query(made.HOUGH_SQL)
+def hough_votes(spark, sf_dir):
+    return lines.peaks(lines.votes(frame(spark, sf_dir, made.INK), made.INK_TILTS), made.INK_LEAST)
+
+
 @query(made.CLIPPED_SQL)
 def edge_clipping(spark, sf_dir):
     return layout.clipped_edges(frame(spark, sf_dir, made.RULED)).select("doc_id", "page_no", F.array_join("clipped_edges", ",").alias("edges"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import tables as t
 from ..operators import layout as x
+from ..operators import lines
 from .invoices import ORDERED, duck
 
 # --- a table of three columns a page: one row an item ------------------------------
@@ -188,3 +189,20 @@ sides AS (SELECT x, y, CASE WHEN len(string_split(x, ' ')) <= len(string_split(y
 near AS (SELECT x, y, few_n, count(DISTINCT i) AS shared FROM (SELECT x, y, i, few_n, few[i] AS w, unnest(many) AS v FROM (SELECT *, len(few) AS few_n, unnest(range(1, len(few) + 1)) AS i FROM sides) f) g JOIN of_words ON u = w AND of_words.v = g.v GROUP BY x, y, few_n),
 like_texts AS MATERIALIZED (SELECT x, y, greatest(r, CASE WHEN shared >= 2 THEN shared::DOUBLE / few_n ELSE 0 END) AS likeness FROM texts JOIN ratios USING (x, y) LEFT JOIN near USING (x, y))
 SELECT size, l.part AS part, r.part AS other, CASE WHEN likeness >= 0.85 THEN 'same' ELSE 'like' END AS kind FROM n l JOIN n r USING (size) JOIN like_texts ON x = l.name AND y = r.misread WHERE likeness >= 0.6"""
+
+
+# --- ruled lines as ink ------------------------------------------------------------------------
+
+_PLACES = "SELECT p_partkey AS i FROM {part} WHERE p_partkey < 160"
+#: Ten parts make a page: of each a line, flat or up, some tilted, some with a gap, some pixels missing, some twice as thick.
+INK = f"""SELECT DISTINCT doc_id, page_no, CAST(CASE WHEN k % 3 = 0 THEN across ELSE i END AS INT) AS x, CAST(CASE WHEN k % 3 = 0 THEN i ELSE across END AS INT) AS y FROM (
+  SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS doc_id, 1 AS page_no, p_partkey AS k, i, floor(p_partkey % 10 * 37 + p_size + i * (p_partkey % 5 - 2) * 0.008 + thick) AS across
+  FROM {{part}} JOIN ({_PLACES}) places ON i < 90 + p_size JOIN (SELECT 0 AS thick UNION ALL SELECT 1) t ON thick = 0 OR p_partkey % 4 = 0
+  WHERE NOT (p_partkey % 6 = 1 AND i BETWEEN 40 AND 52) AND (i + p_partkey) % 11 <> 0) z"""
+INK_TILTS, INK_LEAST = range(-8, 9), 60
+_SLOPES = ", ".join(f"({k}, CAST({v!r} AS DOUBLE))" for k, v in lines.slopes(INK_TILTS).items())
+HOUGH_SQL = f"""WITH p AS (SELECT doc_id, page_no, 'flat' AS axis, x AS a, y AS c FROM ({duck(INK)}) q UNION ALL SELECT doc_id, page_no, 'up', y, x FROM ({duck(INK)}) r),
+v AS (SELECT doc_id, page_no, axis, tilt, CAST(c - floor(s * a + 0.5) AS INTEGER) AS level, count(*) AS votes FROM p, (VALUES {_SLOPES}) t(tilt, s) GROUP BY ALL HAVING count(*) >= {INK_LEAST}),
+b AS (SELECT doc_id, page_no, axis, arg_max(tilt, struct_pack(v := votes, low := -tilt)) AS tilt FROM v GROUP BY ALL),
+l AS (SELECT v.* FROM v JOIN b USING (doc_id, page_no, axis, tilt))
+SELECT l.* FROM l WHERE NOT EXISTS (SELECT 1 FROM l o WHERE o.doc_id = l.doc_id AND o.axis = l.axis AND abs(o.level - l.level) <= {lines.APART} AND (o.votes > l.votes OR (o.votes = l.votes AND o.level < l.level)))"""

@@ -1,7 +1,8 @@
 """Page images: dark lines on bright paper as segments, and the checks of a scan that follow from them.
 
 A page is a grey image (rows of 0 to 255). Rendering a page is a function that is
-given; the rest is numpy here and `layout.scan_quality` on the segments.
+given, and numpy tells its ink; ruled lines are found in the pixels by
+`operators.lines`, and `layout.scan_quality` judges them.
 """
 
 from __future__ import annotations
@@ -13,12 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import layout
+from ..operators import layout, lines
 
-#: Side of the neighbourhood and how much darker than its mean ink is; share of the short side that a line has at least; pixels it may skip.
-NEIGHBOURHOOD, DARKER, LENGTH_SHARE, LINE_SKIP = 25, 15, 0.25, 15
-#: Quarter degrees that are tried to either side of the axes, and the ink a line needs.
-TILTS, INK = np.arange(-80, 81) / 4.0, 120
+#: Side of the neighbourhood and how much darker than its mean ink is.
+NEIGHBOURHOOD, DARKER = 25, 15
 
 #: A function from a document's bytes and a page number (from 0) to the grey image, or None where there is no such page.
 Render = Callable[[bytes, int], np.ndarray | None]
@@ -34,84 +33,39 @@ def ink(grey: np.ndarray) -> np.ndarray:
     return grey < means - DARKER
 
 
-def _stretches(on: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """(first, last) of the places that are on, gaps up to LINE_SKIP closed, `least` long or more."""
-    at = np.flatnonzero(on)
-    if len(at):
-        cut = np.flatnonzero(np.diff(at) > LINE_SKIP + 1)
-        for a, b in zip(at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])], strict=True):
-            if b - a >= least:
-                yield int(a), int(b)
-
-
-def segments(dark: np.ndarray, share: float = LENGTH_SHARE) -> list[tuple[int, int, int, int]]:
-    """(x1, y1, x2, y2) of straight lines near the axes, by a Hough transform.
-
-    Every ink pixel votes for the lines through it, one tilt after another. At the tilt of
-    the line with most votes all lines with INK votes are taken, most votes first; their
-    pixels no longer vote, and so on until no line has INK votes.
-    """
-    height, width = dark.shape
-    least = int(min(height, width) * share)
-    found = []
-    for turned in (False, True):
-        rows, columns = np.nonzero(dark.T if turned else dark)
-        across = height if turned else width
-        shifts = np.round(np.outer(np.tan(np.radians(TILTS)), np.arange(across))).astype(np.int64)
-        shifts -= shifts.min()
-        reach = int(shifts.max())
-        while len(rows):
-            tallies = [np.bincount(rows - shifts[k, columns] + reach) for k in range(len(TILTS))]
-            k = int(np.argmax([x.max() for x in tallies]))
-            votes = tallies[k]
-            if votes.max() < INK:
-                break
-            level = rows - shifts[k, columns] + reach
-            free = np.ones(len(rows), bool)
-            for top in np.argsort(-votes, kind="stable")[: int((votes >= INK).sum())].tolist():
-                on = free & (np.abs(level - top) <= 1)
-                if on.sum() < INK:
-                    continue
-                line = np.zeros(across, bool)
-                line[columns[on]] = True
-                free &= ~on
-                start = top - reach
-                ends = [(a, start + int(shifts[k, a]), b, start + int(shifts[k, b])) for a, b in _stretches(line, least)]
-                found += [(y1, x1, y2, x2) if turned else (x1, y1, x2, y2) for x1, y1, x2, y2 in ends]
-            rows, columns = rows[free], columns[free]
-    return found
-
-
-def page_segments(docs: DataFrame, render: Render, page: int = 0) -> DataFrame:
-    """(doc_id, page_no, x1, y1, x2, y2, width, height, error) of one page of each document (doc_id, content); a page without lines has one row of nulls."""
+def page_pixels(docs: DataFrame, render: Render, page: int = 0) -> DataFrame:
+    """(doc_id, page_no, x, y, width, height, error) of one page of each document (doc_id, content): a row for the page, without x and y, and one for each ink pixel."""
     key = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "page_no", "x", "y", "width", "height", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for doc, content in zip(batch["doc_id"], batch["content"], strict=True):
+                size, why, x, y = (None, None), None, [], []
                 try:
                     grey = render(bytes(content), page)
-                    size = (None, None) if grey is None else (grey.shape[1], grey.shape[0])
-                    lines = [] if grey is None else segments(ink(grey))
-                    rows += [(doc, page + 1, *x, *size, None) for x in lines] or [(doc, page + 1, None, None, None, None, *size, None if grey is not None else "no such page")]
+                    if grey is None:
+                        why = "no such page"
+                    else:
+                        size = grey.shape[1], grey.shape[0]
+                        y, x = np.nonzero(ink(grey))
                 except Exception as e:  # a page that cannot be drawn is that page's status
-                    rows.append((doc, page + 1, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            frame = pd.DataFrame(rows, columns=["doc_id", "page_no", "x1", "y1", "x2", "y2", "width", "height", "error"])
-            yield frame.astype({c: "Int32" for c in ("page_no", "x1", "y1", "x2", "y2", "width", "height")})
+                    why = f"{type(e).__name__}: {e}"
+                frame = pd.DataFrame({"doc_id": [doc] * (len(x) + 1), "page_no": page + 1, "x": [None, *x], "y": [None, *y], "width": size[0], "height": size[1], "error": [why] + [None] * len(x)}, columns=names)
+                yield frame.astype({c: "Int32" for c in ("page_no", "x", "y", "width", "height")})
 
-    return docs.select("doc_id", "content").mapInPandas(run, f"doc_id {key}, page_no int, x1 int, y1 int, x2 int, y2 int, width int, height int, error string")
+    return docs.select("doc_id", "content").mapInPandas(run, f"doc_id {key}, page_no int, x int, y int, width int, height int, error string")
 
 
 def scan_checks(docs: DataFrame, render: Render, page: int = 0) -> DataFrame:
     """`layout.scan_quality` of one page of each document; documents whose page cannot be drawn have nulls and an error."""
     from .folders import checkpointed
 
-    drawn = checkpointed(page_segments(docs, render, page))
-    lines = drawn.filter(F.col("x1").isNotNull()).drop("error")
-    pages = drawn.groupBy("doc_id", "page_no").agg(F.max("error").alias("error"))
-    quality = layout.scan_quality(pages.filter(F.col("error").isNull()).drop("error"), lines)
-    return pages.join(quality, ["doc_id", "page_no"], "left")
+    drawn = checkpointed(page_pixels(docs, render, page))
+    pages = drawn.filter(F.col("x").isNull()).select("doc_id", "page_no", "width", "height", "error")
+    ruled = checkpointed(lines.segments(drawn.filter(F.col("x").isNotNull()), pages))
+    quality = layout.scan_quality(pages.filter(F.col("error").isNull()).select("doc_id", "page_no"), ruled)
+    return pages.select("doc_id", "page_no", "error").join(quality, ["doc_id", "page_no"], "left")
 
 
 def page_skew(docs: DataFrame, render: Render, page: int = 0) -> DataFrame:
