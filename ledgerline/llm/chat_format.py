@@ -138,48 +138,52 @@ def paths(links: DataFrame, keep: int | None = None) -> DataFrame:
     return out
 
 
-def _writer(batches):
-    """Sorted turns as parts of formatted conversations."""
-    names = [x.split()[0] for x in _FORMATTED.split(", ")[:6]] + ["loss"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.string(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))]
-    rows: list[tuple] = []
-    held = 0
-    now: tuple | None = None
-    part = length = 0
-    pieces: list[str] = []
-    loss: list[dict] = []
-
-    def close():
-        nonlocal held, part, length, pieces, loss
-        rows.append((*now, part, "".join(pieces), loss))
-        held += length
-        part, length, pieces, loss = part + 1, 0, [], []
-
-    def flush():
-        nonlocal rows, held
-        columns = list(zip(*rows, strict=True))
-        rows, held = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    for batch in batches:
-        for *key, role, text, learned in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6, 7)), strict=True):
-            if now is None or key[:2] != list(now[:2]):
-                if now is not None and pieces:
+def _writer(part_chars: int):
+    """Sorted turns as parts of formatted conversations, parts of at least so many characters but the last."""
+
+    def run(batches):
+        names = [x.split()[0] for x in _FORMATTED.split(", ")[:6]] + ["loss"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.string(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))]
+        rows: list[tuple] = []
+        held = 0
+        now: tuple | None = None
+        part = length = 0
+        pieces: list[str] = []
+        loss: list[dict] = []
+
+        def close():
+            nonlocal held, part, length, pieces, loss
+            rows.append((*now, part, "".join(pieces), loss))
+            held += length
+            part, length, pieces, loss = part + 1, 0, [], []
+
+        def flush():
+            nonlocal rows, held
+            columns = list(zip(*rows, strict=True))
+            rows, held = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for *key, role, text, learned in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6, 7)), strict=True):
+                if now is None or key[:2] != list(now[:2]):
+                    if now is not None and pieces:
+                        close()
+                    now, part = tuple(key), 0
+                head, body = f"{HEAD}{escape_role(role)}{COLON}", escape(text)
+                if learned and role == LEARNED:
+                    loss.append({"from": length + len(head), "to": length + len(head) + len(body)})
+                pieces += (head, body, END)
+                length += len(head) + len(body) + len(END)
+                if length >= part_chars:
                     close()
-                now, part = tuple(key), 0
-            head, body = f"{HEAD}{escape_role(role)}{COLON}", escape(text)
-            if learned and role == LEARNED:
-                loss.append({"from": length + len(head), "to": length + len(head) + len(body)})
-            pieces += (head, body, END)
-            length += len(head) + len(body) + len(END)
-            if length >= PART_CHARS:
-                close()
-            if held >= BATCH_CHARS:
-                yield flush()
-    if now is not None and pieces:
-        close()
-    if rows:
-        yield flush()
+                if held >= BATCH_CHARS:
+                    yield flush()
+        if now is not None and pieces:
+            close()
+        if rows:
+            yield flush()
+
+    return run
 
 
 def formatted(texts: DataFrame, links: DataFrame, keep: int | None = None, once: bool = True) -> DataFrame:
@@ -197,7 +201,7 @@ def formatted(texts: DataFrame, links: DataFrame, keep: int | None = None, once:
         chosen = chosen.withColumn("learned", F.lit(True))
     said = texts.select(F.col("tree").alias("t"), F.col("id").alias("i"), "role", "text")
     turns = chosen.join(said, F.col("tree").eqNullSafe(F.col("t")) & F.col("node").eqNullSafe(F.col("i"))).select("tree", "leaf", "rank", "score", "pos", "role", "text", "learned")
-    return turns.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "pos").mapInArrow(_writer, _FORMATTED)
+    return turns.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "pos").mapInArrow(_writer(PART_CHARS), _FORMATTED)
 
 
 def _reader(batches):

@@ -65,35 +65,39 @@ def _groups(rows: DataFrame) -> DataFrame:
     return common.checkpointed(rows.select("lang", "source").distinct().withColumn("at", place))
 
 
-def _counts(batches):
-    """Occurrences and documents of each (lang, place, term) of some documents."""
-    held: dict[tuple, tuple[Counter, Counter]] = {}
-
-    def flush():
-        for (lang, at), (n, d) in held.items():
-            columns = [pa.repeat(lang, len(n)), pa.repeat(pa.scalar(at, pa.int32()), len(n)), pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array(list(map(d.__getitem__, n)), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "at", "term", "n", "d"])
-        held.clear()
-
-    for batch in batches:
-        langs, places = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b, data, offsets in common.text_slices(batch.column(2)):
-            raw = data.tobytes().translate(_TERMS)
-            for k in range(b - a):
-                terms = raw[offsets[k] : offsets[k + 1]].split()
-                if terms:
-                    n, d = held.setdefault((langs[a + k], places[a + k]), (Counter(), Counter()))
-                    n.update(terms)
-                    d.update(set(terms))
-            if sum(len(n) for n, _ in held.values()) >= HELD_TERMS:
-                yield from flush()
-    yield from flush()
+def _counts(most: int):
+    """Occurrences and documents of each (lang, place, term) of some documents, counters being handed on once they hold `most` entries."""
+
+    def run(batches):
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+
+        def flush():
+            for (lang, at), (n, d) in held.items():
+                columns = [pa.repeat(lang, len(n)), pa.repeat(pa.scalar(at, pa.int32()), len(n)), pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array(list(map(d.__getitem__, n)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "at", "term", "n", "d"])
+            held.clear()
+
+        for batch in batches:
+            langs, places = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b, data, offsets in common.text_slices(batch.column(2)):
+                raw = data.tobytes().translate(_TERMS)
+                for k in range(b - a):
+                    terms = raw[offsets[k] : offsets[k + 1]].split()
+                    if terms:
+                        n, d = held.setdefault((langs[a + k], places[a + k]), (Counter(), Counter()))
+                        n.update(terms)
+                        d.update(set(terms))
+                if sum(len(n) for n, _ in held.values()) >= most:
+                    yield from flush()
+        yield from flush()
+
+    return run
 
 
 def term_vectors(rows: DataFrame, groups: DataFrame, few: bool, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, total, vec): kept terms, vec an array of (at, n) by place, only of sources that have the term."""
     placed = rows.join(F.broadcast(groups) if few else groups, ["lang", "source"])
-    counted = placed.select("lang", "at", "text").mapInArrow(_counts, "lang string, at int, term string, n long, d long")
+    counted = placed.select("lang", "at", "text").mapInArrow(_counts(HELD_TERMS), "lang string, at int, term string, n long, d long")
     counted = counted.groupBy("lang", "at", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     wide = counted.groupBy("lang", "term").agg(F.sum("d").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("at", "n")).alias("vec"))
     return wide.filter(F.col("docs") >= min_docs).select("lang", "term", "total", F.sort_array("vec").alias("vec"))

@@ -89,15 +89,20 @@ def deletion_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate([word, np.arange(len(sizes))]), np.concatenate([lo - begin, none]), np.concatenate([hi - begin, none]), np.concatenate([gone, whole])
 
 
-def _keys(batches):
-    for batch in batches:
-        ids = batch.column(0).to_numpy()
-        letters = [w.encode("latin-1") for w in batch.column(1).to_pylist()]
-        offsets = np.cumsum([0, *map(len, letters)])
-        data = np.frombuffer(b"".join(letters), np.uint8)
-        for a, b in common.row_slices(offsets):
-            word, lo, hi, key = deletion_keys(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            yield pa.RecordBatch.from_arrays([common.int64(key), pa.array(ids[a:b][word]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["key", "id", "lo", "hi"])
+def _keys(bits: int):
+    """Keys of batches of words, of so many bits."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            letters = [w.encode("latin-1") for w in batch.column(1).to_pylist()]
+            offsets = np.cumsum([0, *map(len, letters)])
+            data = np.frombuffer(b"".join(letters), np.uint8)
+            for a, b in common.row_slices(offsets):
+                word, lo, hi, key = deletion_keys(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([common.int64(key >> np.uint64(64 - bits)), pa.array(ids[a:b][word]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["key", "id", "lo", "hi"])
+
+    return run
 
 
 def _shared(batches):
@@ -184,9 +189,9 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "near", "n", "word"])
 
 
-def near_words(words: DataFrame) -> DataFrame:
-    """(id, n_near, best_n, best): words (id, word, n) that have any word one edit away, with how many and the most frequent."""
-    keys = words.select("id", "word").mapInArrow(_keys, _KEYS)
+def near_words(words: DataFrame, bits: int = 64) -> DataFrame:
+    """(id, n_near, best_n, best): words (id, word, n) that have any word one edit away, with how many and the most frequent. Fewer bits of a key only make more collisions."""
+    keys = words.select("id", "word").mapInArrow(_keys(bits), _KEYS)
     shared = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, _KEYS)
     met = shared.join(words.select("id", "n", "word"), "id").select("key", "id", "lo", "hi", "n", "word")
     found = met.repartition("key").sortWithinPartitions("key").mapInArrow(_verified, _NEAR)
@@ -205,11 +210,11 @@ def roots(forms: DataFrame) -> DataFrame:
         links = links.select("word", "root")
 
 
-def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
+def variants(words: DataFrame, ratio: int = RATIO, bits: int = 64) -> DataFrame:
     """word, form, root, n, n_near, form_n of counted words (word, n)."""
     numbered = common.checkpointed(words.withColumn("id", F.monotonically_increasing_id()))
     far = F.col("best_n") >= ratio * F.col("n")
-    judged = common.checkpointed(numbered.join(near_words(numbered), "id", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(far, F.col("best")).alias("form"), F.when(far, F.col("best_n")).alias("form_n")))
+    judged = common.checkpointed(numbered.join(near_words(numbered, bits), "id", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(far, F.col("best")).alias("form"), F.when(far, F.col("best_n")).alias("form_n")))
     ends = roots(judged.filter("form is not null"))
     return judged.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
