@@ -207,6 +207,20 @@ def retry_loop_accept(spark, sf_dir):
     return retry.accepted(new, old, totals)
 
 
+@query(made.ROUNDS_SQL)
+def reextraction_rounds(spark, sf_dir):
+    heads = frame(spark, sf_dir, made.READ_TOTALS)
+    read_again = lambda attempt, pending: frame(spark, sf_dir, made.read_items(attempt)).join(pending, "doc_id", "left_semi")
+
+    def judge(rows):
+        checks = rules.item_checks(rows.withColumnRenamed("line_total", "line_amount"), heads, rules=["QTY_X_UNIT_PRICE"], fields=("rule", "status"))
+        return checks.groupBy("doc_id").agg((F.count_if(F.col("status") == "ERROR") == 0).alias("valid"), F.bool_or("retryable").alias("again"))
+
+    rows, verdicts = retry.rounds(frame(spark, sf_dir, made.read_items(1)), read_again, judge, heads, 2)
+    sums = rows.groupBy("doc_id").agg(F.sum("line_total").cast("decimal(28,2)").alias("amount"))
+    return verdicts.join(sums, "doc_id").select("doc_id", "attempts", F.when(F.col("valid"), "validated").otherwise("validation_failed").alias("status"), "amount")
+
+
 # --- cleaning --------------------------------------------------------------------
 
 
