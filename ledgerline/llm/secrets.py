@@ -5,8 +5,10 @@ runs. The method adds spans of kind `guess`: a value in a credential context (an
 assignment, a longer list of credential words, or user:value@ in a URL, with any user or none) is cut
 into words, dates, sequences, repeats, keyboard walks and brute-force characters
 so that the product of the segments' guesses is least; words are those that guessers try
-first and then those of the public tokenizers' vocabularies, which are ranked by frequency; values that still need
-10^GUESS_LOG10 guesses or more are reported. Values of any length are segmented
+first and then those of the public tokenizers' vocabularies, which are ranked by frequency, and
+the pieces of longer words; a separator between segments is one of a few, a repeated block costs what
+its own cheapest segmentation costs. Values that still need 10^GUESS_LOG10 guesses or more are reported:
+eight random letters and digits do, phrases such as your_api_key_here do not. Values of any length are segmented
 whole, from left to right, and no further than until every segmentation is known
 to cost the limit. Offsets are in code points, ends exclusive.
 
@@ -31,10 +33,12 @@ from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Values that take at least 10 to this power of guesses are reported.
-GUESS_LOG10 = 8.0
+GUESS_LOG10 = 11.0
 MIN_VALUE, MIN_HEX, MIN_ACCESS = 6, 24, 20
-#: Longest block that counts as repeated. Longer ones cost more than the limit by themselves (16 letters cost 10^18).
+#: Longest block that counts as repeated.
 BLOCK = 16
+#: Signs that separate words of a phrase, and the guesses one of them takes.
+SEPARATORS, SEPARATOR_GUESSES = frozenset("_-./:+ "), 2
 #: Longest keyboard walk that is one segment; longer ones are several.
 WALK = 32
 
@@ -49,9 +53,12 @@ CONTEXT_HINTS = (*ASSIGN_HINTS, "pwd", "pass", "credential", "private", "access"
 # Words that guessers try first, most frequent first (fixed values).
 COMMON_WORDS = (
     "password", "admin", "welcome", "login", "letmein", "master", "monkey", "dragon", "secret", "token", "test", "guest", "root", "user", "hello", "love", "sunshine", "princess", "football", "baseball", "shadow", "superman", "batman", "trustno", "iloveyou", "access", "default", "changeme", "example", "placeholder", "dummy", "sample", "temp", "qwerty", "summer", "winter", "spring", "autumn", "demo", "server", "database", "system", "private", "public", "api", "key", "pass", "word", "null", "none", "true", "false", "your", "here", "insert", "replace", "todo", "abc", "foo", "bar", "the", "and", "for",
+    "passwort", "kennwort", "geheim", "geheimes", "mein", "neues", "beispiel", "mot", "passe", "exemple", "secrete", "votre", "contrasena", "clave", "ejemplo", "nueva", "senha",
 )
-#: Vocabularies whose pieces that begin a word follow, by rank.
+#: Vocabularies whose pieces follow by rank: those that begin a word, and those within words, which come after one another.
 VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
+#: What a segment costs besides its guesses: the choice to cut there.
+SEGMENT = 1.5
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4@301$57!", "aaeoissti")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
@@ -80,8 +87,8 @@ def word_ranks() -> tuple[dict[str, int], int]:
         with open(public_tokenizers.path(name), "rb") as lines:
             for line in lines:
                 word = base64.b64decode(line.split()[0]).decode(errors="replace")
-                low = word[1:].lower()
-                if word[0] == " " and len(low) >= 3 and low.isalpha() and low not in seen:
+                low = (word[1:] if word[0] == " " else word).lower()
+                if len(low) >= 3 and low.isalpha() and low not in seen:
                     seen.add(low)
                     rank += 1
                     out[low] = min(rank, out.get(low, rank))
@@ -115,6 +122,8 @@ def _segments(value: str) -> Iterator[list[tuple[int, float]]]:
     rows = [_reaches(n, lambda i, step=step: ord(low[i + 1]) - ord(low[i]) == step and low[i + 1].isalnum()) for step in (1, -1)]
     for i in range(n):
         out = []
+        if value[i] in SEPARATORS:  # its segment has no price of its own
+            out.append((i + 1, math.log10(SEPARATOR_GUESSES / SEGMENT)))
         for j in range(i + 3, min(n, i + longest) + 1):
             rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
@@ -130,7 +139,7 @@ def _segments(value: str) -> Iterator[list[tuple[int, float]]]:
                 block, j = low[i : i + size], i + 2 * size
                 while low.startswith(block, j):
                     j += size
-                out.append((j, size * math.log10(26) * 0.8 + math.log10((j - i) // size)))
+                out.append((j, guess_log10(value[i : i + size]) + math.log10((j - i) // size)))
         for k in range(i + 4, min(walks[i], i + WALK) + 1):
             out.append((k, math.log10(47) + (k - i) * math.log10(1.6)))
         for reach in rows:
@@ -155,7 +164,7 @@ def guess_log10(value: str, enough: float = math.inf) -> float:
             return least
         best[i + 1] = min(best[i + 1], best[i] + brute)
         for j, cost in segments:
-            over[j] = min(over.get(j, math.inf), best[i] + cost + math.log10(1.5))
+            over[j] = min(over.get(j, math.inf), best[i] + cost + math.log10(SEGMENT))
     return min(best[n], over.get(n, math.inf))
 
 

@@ -266,21 +266,34 @@ def test_retrieval_finds_what_an_exhaustive_search_finds(spark, monkeypatch):
     rows = [" ".join(mixed(r.randint(20, 300))) for _ in range(150)] + [x for _, item in items for x in variants(r, item, mixed)]
     d, b = docs_of(spark, list(enumerate(rows))), spark.createDataFrame(items, "item_id long, text string")
     found = {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(d, b).collect()}
+    monkeypatch.setattr(decontamination, "ITEMS", 25)  # four parts or so, in one pass and in several
+    in_parts = {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(d, b).collect()}
+    monkeypatch.setattr(decontamination, "PARTS", 2)
+    assert {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(d, b).collect()} == in_parts
+    monkeypatch.undo()
     monkeypatch.setattr(decontamination, "MIN_COSINE", -2.0)  # every passage is compared with every item
     every = {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(d, b).collect()}
     assert len(every) > 80 and found <= every and len(found) >= 0.95 * len(every)
+    assert in_parts <= every and len(in_parts) >= 0.95 * len(every)
     assert all((150 + 4 * k, k) in found for k in range(40))
 
 
+def test_items_of_a_few_words_are_found_in_a_row(spark):
+    items = [(1, "Who wrote it?"), (2, "Who wrote it yesterday evening?"), (3, "x y z")]
+    rows = [(1, "someone asked: who wrote it yesterday evening? nobody knew " * 2), (2, "who wrote it"), (3, "who then wrote it"), (4, "x y\nz"), (5, "x y"), (6, "z x y")]
+    d, b = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(d, b).collect()} == {(1, 1), (1, 2), (2, 1), (4, 3)}
+
+
 def test_decontamination_of_short_items_and_odd_tables(spark):
     items = [(1, "What is it?"), (2, "yes"), (3, "  "), (4, "what IS it"), (5, None), (None, "so long and thanks for fish")]
     rows = [(1, "a\n what is it \nb"), (2, "what is it now"), (3, "Yes."), (4, "yes it is"), (5, ""), (6, None), (None, "x y\nYES"), (1, "other"), (3, "Yes."), (7, "and so long and thanks for fish he said " * 3)]
     d = spark.createDataFrame([(*x, i, i, i) for i, x in enumerate(rows)], "doc_id long, text string, __doc int, __gone int, item_id int").repartition(3)
     b = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")
     got = sorted((str(x["doc_id"]), str(x["item_id"])) for x in decontamination.contaminated(d, b).collect())
-    assert got == [("1", "1"), ("1", "4"), ("3", "2"), ("3", "2"), ("7", "None"), ("None", "2")]
+    assert got == [("1", "1"), ("1", "4"), ("2", "1"), ("2", "4"), ("3", "2"), ("3", "2"), ("4", "2"), ("7", "None"), ("None", "2")]
     kept = decontamination.clean(d, b)
-    assert kept.columns == d.columns and sorted(x["__doc"] for x in kept.collect()) == [1, 3, 4, 5, 7]
+    assert kept.columns == d.columns and sorted(x["__doc"] for x in kept.collect()) == [4, 5, 7]
     assert decontamination.clean(d.limit(0), b).count() == 0 and decontamination.contaminated(d.limit(0), b).count() == 0
 
 

@@ -5,6 +5,7 @@ import functools
 import hashlib
 import math
 import random
+import string
 import re
 import struct
 
@@ -175,7 +176,7 @@ def test_guess_costs_are_the_least_of_all_segmentations():
         def least(i, value=value, segments=segments, brute=brute):
             if i == len(value):
                 return 0.0
-            return min([brute + least(i + 1), *(cost + math.log10(1.5) + least(j) for j, cost in segments[i])])
+            return min([brute + least(i + 1), *(cost + math.log10(secrets.SEGMENT) + least(j) for j, cost in segments[i])])
 
         want = functools.cache(least)(0)
         assert abs(secrets.guess_log10(value) - want) < 1e-9
@@ -191,6 +192,19 @@ def test_guess_costs_of_long_values():
     assert secrets.guessed_spans(text, text.lower()) == [(8, 3, 8 + len(long))]
 
 
+PLACEHOLDERS = """your_api_key_here not_a_real_secret process.env.API_TOKEN my_database_connection meinGeheimesPasswort mot_de_passe_exemple changeme123 Password1234 example-token-value insert_your_token_here REPLACE_WITH_YOUR_KEY
+placeholder_secret test_password_2024 passwordpassword1 qwertyuiop123 aaaaaaaaaaaa 1234567890 contrasena_de_ejemplo dummy-api-key summer2023! secret_token_value os.environ.get your-secret-here my_secret_password config.api_key
+settings.SECRET_KEY ein_neues_passwort abcabcabcabc localhost:8080 votre_cle_api 01/02/2023 example.com/token hunter2hunter2 default_admin_password user_access_token getSecretValue hunter2_hunter2_hunter2""".split()
+
+
+def test_placeholders_are_told_from_random_values():
+    r = random.Random(11)
+    assert sum(not secrets.hard(x) for x in PLACEHOLDERS) >= 0.9 * len(PLACEHOLDERS)
+    for letters, n in ((string.ascii_letters + string.digits, 9), (string.ascii_lowercase + string.digits, 10), ("0123456789abcdef", 12), (string.ascii_letters + string.digits + "+/_-", 20)):
+        values = ["".join(r.choice(letters) for _ in range(n)) for _ in range(300)]
+        assert sum(map(secrets.hard, values)) >= 0.95 * len(values), (letters, n)
+
+
 def brute_base_spans(text):
     """The contract's expressions one by one; failing matches are dropped after matching."""
     out = []
