@@ -10,6 +10,10 @@ unit_price, line_total (texts). Texts: doc_id, text.
 
 from __future__ import annotations
 
+import re
+from re import _parser as regex
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,21 +117,78 @@ def line_items(items: DataFrame, texts: DataFrame) -> DataFrame:
 # --- headers ------------------------------------------------------------------------
 
 
-#: Formats up to this many are broadcast to the suppliers' names; more are joined without.
+#: Formats without three letters in a row that a name must have are tried on every name; they are broadcast up to this number.
 BROADCAST_FORMATS = 10_000
 
 
+def literals(pattern: str) -> list[str]:
+    """Lower-case strings of three letters or more that every match of a pattern holds; none where that cannot be told."""
+    out, run = [], []
+
+    def close():
+        if len(run) >= 3:
+            out.append("".join(run).lower())
+        run.clear()
+
+    def walk(parsed):
+        for op, value in parsed:
+            if op is regex.LITERAL:
+                run.append(chr(value))
+            elif op is regex.SUBPATTERN:
+                walk(value[-1])
+            elif op in (regex.MAX_REPEAT, regex.MIN_REPEAT, regex.POSSESSIVE_REPEAT):
+                close()
+                if value[0]:  # once at least, but what follows need not follow the first time
+                    walk(value[2])
+                    close()
+            elif op is not regex.AT:
+                close()
+
+    try:
+        walk(regex.parse(pattern))
+    except (re.error, OverflowError):
+        return []
+    close()
+    return out
+
+
+def _trigrams(text: Column) -> Column:
+    return F.array_distinct(F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
+
+
+def fitting_formats(names: DataFrame, rules: DataFrame, name: str, pattern: str) -> DataFrame:
+    """Rows of `names` with the rows of `rules` whose pattern is found in the name.
+
+    An index of the strings that patterns need: each pattern waits for the one of its trigrams
+    that fewest names have, and is tried on those names alone. A pattern of which no name has some
+    trigram fits none.
+    """
+
+    @F.pandas_udf("array<string>")
+    def needed(patterns: pd.Series) -> pd.Series:
+        return patterns.map(lambda p: sorted({w[i : i + 3] for w in literals(p) for i in range(len(w) - 2)}))
+
+    known = names.withColumn("__gram", F.explode(_trigrams(F.lower(F.col(name)))))
+    often = known.groupBy("__gram").agg(F.count("*").alias("__often"))
+    keyed = rules.withColumn("__need", needed(F.col(pattern)))
+    waits = keyed.filter(F.size("__need") > 0).select(*rules.columns, F.explode("__need").alias("__gram")).join(often, "__gram", "left").groupBy(*rules.columns).agg(F.min(F.struct(F.coalesce("__often", F.lit(0)).alias("n"), F.col("__gram").alias("g"))).alias("__w"))
+    met = known.join(waits.filter("__w.n > 0").select(*rules.columns, F.col("__w.g").alias("__gram")), "__gram").drop("__gram")
+    rest = keyed.filter(F.size("__need") == 0).drop("__need")
+    tried = names.join(F.broadcast(rest) if rest.count() <= BROADCAST_FORMATS else rest, F.rlike(F.col(name), F.col(pattern)))
+    return met.filter(F.rlike(F.col(name), F.col(pattern))).unionByName(tried)
+
+
 def supplier_numbers(headers: DataFrame, formats: DataFrame) -> DataFrame:
     """Invoice numbers whose prefix OCR misread, repaired by their supplier's format; and number_note.
 
     `formats`: supplier (pattern of the name), valid, misread (its first group is the core)
     and prefix. A part changes if its core is in the text. Patterns are tried on each distinct
-    name once; of several formats that fit a name the first by their patterns is taken.
+    name that can fit them once; of several formats that fit a name the first by their patterns is taken.
     """
     wanted = ("supplier", "valid", "misread", "prefix")
     rules = formats.select(*[F.col(c).alias(f"__{c}") for c in wanted]).distinct()
     names = headers.select("supplier_name").filter(v.filled("supplier_name").isNotNull()).distinct()
-    fits = names.join(F.broadcast(rules) if rules.count() <= BROADCAST_FORMATS else rules, F.rlike(F.col("supplier_name"), F.col("__supplier")))
+    fits = fitting_formats(names, rules, "supplier_name", "__supplier")
     chosen = fits.groupBy("supplier_name").agg(F.min(F.struct(*[f"__{c}" for c in wanted])).alias("__f")).select("supplier_name", "__f.*")
     d = headers.join(chosen, "supplier_name", "left")
     core = lambda x: F.regexp_extract_all(x, F.col("__misread"), F.lit(1))[0]

@@ -417,6 +417,11 @@ def collapse_invoice_refs(spark, sf_dir):
     return repair.collapsed_references(d).select("doc_id", "invoice_number", "collapsed")
 
 
+@query(made.SUPPLIED_SQL)
+def supplier_formats(spark, sf_dir):
+    return repair.supplier_numbers(frame(spark, sf_dir, made.SUPPLIED), frame(spark, sf_dir, made.FORMATS)).select("doc_id", "invoice_number", "number_note")
+
+
 def _stamped(spark, sf_dir):
     """Documents with the words of trade put in."""
     k = F.col("doc_id")
@@ -497,6 +502,12 @@ def layout_canvas(spark, sf_dir):
     return layout.document_text(pages).select("doc_id", F.md5("text").alias("h"))
 
 
+@query(made.GLYPH_CANVAS_SQL)
+def glyph_canvas(spark, sf_dir):
+    pages = layout.page_canvas(frame(spark, sf_dir, made.CELL_GLYPHS))
+    return layout.document_text(pages).select("doc_id", F.md5("text").alias("h"))
+
+
 @query(made.GLYPHS_SQL)
 def glyph_dedupe(spark, sf_dir):
     kept = layout.without_overlaid_glyphs(frame(spark, sf_dir, made.GLYPHS))

@@ -14,23 +14,27 @@ CELLS = f"""SELECT doc_id, 1 AS page_no, pos, k, text, x0, CAST(x0 + 6 * length(
   UNION ALL SELECT doc_id, pos, 1 AS k, CAST(CAST(q AS INT) AS VARCHAR(20)) AS text, CAST(150 + part % 5 * 3 AS DOUBLE) AS x0 FROM ({ORDERED}) b
   UNION ALL SELECT doc_id, pos, 2 AS k, CAST(supp AS VARCHAR(20)) AS text, CAST(CASE WHEN part % 7 = 0 THEN 190 ELSE 300 + supp % 4 * 2 END AS DOUBLE) AS x0 FROM ({ORDERED}) c) d"""
 
-_WIDTH = x.CHAR_WIDTH
 #: Boundaries: an anchor is the least edge beyond the last anchor's band.
-_BOUNDARIES = f"""w AS MATERIALIZED (SELECT *, lead(x0) OVER line AS nxt, lag(x1) OVER line AS prev FROM ({duck(CELLS)}) cells WINDOW line AS (PARTITION BY doc_id, pos ORDER BY x0, x1)),
-edges AS MATERIALIZED (SELECT doc_id, unnest([(x1 + nxt) / 2, nxt - {_WIDTH}]) AS x FROM w WHERE nxt - x1 >= {_WIDTH * x.GAP_WIDTHS}),
-anchors AS (SELECT doc_id, min(x) AS a FROM edges GROUP BY doc_id UNION ALL SELECT anchors.doc_id, min(x) FROM anchors JOIN edges ON edges.doc_id = anchors.doc_id AND x > a + {2 * _WIDTH} GROUP BY anchors.doc_id),
+def _boundaries(cells: str, width: float) -> str:
+    return f"""w AS MATERIALIZED (SELECT *, lead(x0) OVER line AS nxt, lag(x1) OVER line AS prev FROM ({cells}) cells WINDOW line AS (PARTITION BY doc_id, pos ORDER BY x0, x1)),
+edges AS MATERIALIZED (SELECT doc_id, unnest([(x1 + nxt) / 2, nxt - {width}]) AS x FROM w WHERE nxt - x1 >= {width * x.GAP_WIDTHS}),
+anchors AS (SELECT doc_id, min(x) AS a FROM edges GROUP BY doc_id UNION ALL SELECT anchors.doc_id, min(x) FROM anchors JOIN edges ON edges.doc_id = anchors.doc_id AND x > a + {2 * width} GROUP BY anchors.doc_id),
 lines AS (SELECT doc_id, count(DISTINCT pos) AS n FROM w GROUP BY doc_id),
-found AS (SELECT doc_id, list(DISTINCT mid ORDER BY mid) AS boundaries FROM (SELECT doc_id, round(avg(x), 1) AS mid, count(*) AS hits, any_value(n) AS n FROM anchors JOIN edges USING (doc_id) JOIN lines USING (doc_id) WHERE x BETWEEN a AND a + {2 * _WIDTH} GROUP BY doc_id, a) bands
+found AS (SELECT doc_id, list(DISTINCT mid ORDER BY mid) AS boundaries FROM (SELECT doc_id, round(avg(x), 1) AS mid, count(*) AS hits, any_value(n) AS n FROM anchors JOIN edges USING (doc_id) JOIN lines USING (doc_id) WHERE x BETWEEN a AND a + {2 * width} GROUP BY doc_id, a) bands
   WHERE hits >= greatest({x.RECUR_LEAST}, floor(n * {x.RECUR_SHARE})) GROUP BY doc_id)"""
-BOUNDARIES_SQL = f"WITH RECURSIVE {_BOUNDARIES} SELECT doc_id, CAST(1 AS INTEGER) AS page_no, coalesce(array_to_string(list_transform(boundaries, lambda b: CAST(b AS VARCHAR)), ','), '') AS boundaries FROM lines LEFT JOIN found USING (doc_id)"
 
-#: A word's column is the greatest of all starts before it moved on by what is written since: a running maximum instead of a fold.
-CANVAS_SQL = f"""WITH RECURSIVE {_BOUNDARIES},
-placed AS (SELECT w.*, coalesce(x0 - prev >= {_WIDTH * x.MARK_WIDTHS} AND len(list_filter(boundaries, lambda b: b BETWEEN prev AND x0)) > 0, false) AS mark, CAST(round_even(x0 / {_WIDTH}, 0) AS BIGINT) AS col, coalesce(sum(length(text) + 1) OVER (PARTITION BY w.doc_id, pos ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved FROM w LEFT JOIN found USING (doc_id)),
+
+def _drawn(width: float) -> str:
+    """Lines of words set in columns. A word's column is the greatest of all starts before it moved on by what is written since: a running maximum instead of a fold."""
+    return f"""placed AS (SELECT w.*, coalesce(x0 - prev >= {width * x.MARK_WIDTHS} AND len(list_filter(boundaries, lambda b: b BETWEEN prev AND x0)) > 0, false) AS mark, CAST(round_even(x0 / {width}, 0) AS BIGINT) AS col, coalesce(sum(length(text) + 1) OVER (PARTITION BY w.doc_id, pos ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved FROM w LEFT JOIN found USING (doc_id)),
 spots AS (SELECT *, moved + max(col - moved) OVER (PARTITION BY doc_id, pos ORDER BY x0, x1) AS start FROM placed),
 gaps AS (SELECT *, coalesce(lag(start + length(text)) OVER (PARTITION BY doc_id, pos ORDER BY x0, x1), 0) AS used FROM spots),
-drawn AS (SELECT doc_id, pos, string_agg(CASE WHEN mark AND (used + start) // 2 < start THEN repeat(' ', CAST((used + start) // 2 - used AS BIGINT)) || '{t.COLUMN_MARK}' || repeat(' ', CAST(start - (used + start) // 2 - 1 AS BIGINT)) ELSE repeat(' ', CAST(start - used AS BIGINT)) END || text, '' ORDER BY x0, x1) AS line FROM gaps GROUP BY doc_id, pos)
-SELECT doc_id, md5('=================================== PAGE 1 OF 1 (' || doc_id || ') ===================================' || chr(10) || string_agg(rtrim(line), chr(10) ORDER BY pos)) AS h FROM drawn GROUP BY doc_id"""
+drawn AS (SELECT doc_id, pos, string_agg(CASE WHEN mark AND (used + start) // 2 < start THEN repeat(' ', CAST((used + start) // 2 - used AS BIGINT)) || '{t.COLUMN_MARK}' || repeat(' ', CAST(start - (used + start) // 2 - 1 AS BIGINT)) ELSE repeat(' ', CAST(start - used AS BIGINT)) END || text, '' ORDER BY x0, x1) AS line FROM gaps GROUP BY doc_id, pos)"""
+
+
+_PAGE_TEXT = """SELECT doc_id, md5('=================================== PAGE 1 OF 1 (' || doc_id || ') ===================================' || chr(10) || string_agg(rtrim(line), chr(10) ORDER BY pos)) AS h FROM drawn GROUP BY doc_id"""
+BOUNDARIES_SQL = f"WITH RECURSIVE {_boundaries(duck(CELLS), x.CHAR_WIDTH)} SELECT doc_id, CAST(1 AS INTEGER) AS page_no, coalesce(array_to_string(list_transform(boundaries, lambda b: CAST(b AS VARCHAR)), ','), '') AS boundaries FROM lines LEFT JOIN found USING (doc_id)"
+CANVAS_SQL = f"WITH RECURSIVE {_boundaries(duck(CELLS), x.CHAR_WIDTH)},\n{_drawn(x.CHAR_WIDTH)}\n{_PAGE_TEXT}"
 
 # --- glyphs: some printed twice, some with a blank inside -----------------------------
 
@@ -49,6 +53,27 @@ walk AS (
 single AS MATERIALIZED (SELECT g.*, row_number() OVER (PARTITION BY g.doc_id ORDER BY g.n) AS place FROM g JOIN walk USING (doc_id, n) WHERE stays)
 SELECT doc_id, count(*) AS n, string_agg(text, '' ORDER BY place) AS text FROM single s WHERE NOT (blank AND EXISTS (SELECT 1 FROM single o WHERE o.doc_id = s.doc_id AND NOT o.blank AND abs(o.place - s.place) <= {x.LOOK_BACK} AND abs(o.top - s.top) <= greatest(1.0, {x.SAME_TOP_SHARE} * (o.bottom - o.top)) AND least(s.x1, o.x1) - greatest(s.x0, o.x0) >= {x.INSIDE_SHARE} * (s.x1 - s.x0))) GROUP BY doc_id"""
 
+#: The words of CELLS as glyphs, five points wide and one apart; whole lines printed twice, spaces on letters.
+CELL_GLYPHS = f"""SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, k, kind, i) AS INT) AS seq, CASE WHEN kind = 2 THEN ' ' ELSE substring(text, i, 1) END AS text,
+  CAST(top + CASE WHEN kind = 1 THEN 0.5 ELSE 0 END AS DOUBLE) AS top, CAST(top + 8 AS DOUBLE) AS bottom, CAST(x0 + 6 * (i - 1) + CASE WHEN kind = 1 THEN 0.5 WHEN kind = 2 THEN 1 ELSE 0 END AS DOUBLE) AS x0, CAST(x0 + 6 * (i - 1) + CASE WHEN kind = 1 THEN 5.5 WHEN kind = 2 THEN 4 ELSE 5 END AS DOUBLE) AS x1
+  FROM ({CELLS}) c CROSS JOIN (SELECT 0 AS kind UNION ALL SELECT 1 UNION ALL SELECT 2) kinds CROSS JOIN (SELECT 1 AS i UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10) places
+  WHERE i <= length(text) AND (kind = 0 OR (kind = 1 AND (doc_id + pos) % 2 = 0) OR (kind = 2 AND pos % 3 = 0 AND i = 2))"""
+
+
+def _single(glyphs: str) -> str:
+    """Glyphs without doubles (`single`) and without spaces on letters (`shown`): one step a glyph of every page, with the last glyphs that stayed."""
+    steps = GLYPHS_SQL[GLYPHS_SQL.index("g AS MATERIALIZED") :].replace(duck(GLYPHS), glyphs)
+    steps, shown = steps[: steps.index("SELECT doc_id, count(*) AS n, string_agg")], steps[steps.index("FROM single s WHERE") : steps.rindex(" GROUP BY doc_id")]
+    return f"{steps.rstrip()}, shown AS MATERIALIZED (SELECT s.* {shown})"
+
+
+#: Words where letters follow each other, lines where tops do: islands, and not a walk with running means.
+GLYPH_WORDS = f"""WITH RECURSIVE {_single(duck(CELL_GLYPHS))},
+rows_ AS (SELECT *, sum(CASE WHEN falls THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY top, x0, seq) AS pos FROM (SELECT *, coalesce(top - lag(top) OVER (PARTITION BY doc_id ORDER BY top, x0, seq) > 3, true) AS falls FROM shown) f),
+starts AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, pos ORDER BY x0) AS word FROM (SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY doc_id, pos ORDER BY x0) > {x.WORD_REACH}, true) AS apart FROM rows_) a)
+SELECT doc_id, 1 AS page_no, pos, string_agg(text, '' ORDER BY x0) AS text, min(x0) AS x0, max(x1) AS x1 FROM starts GROUP BY doc_id, pos, word"""
+GLYPH_CANVAS_SQL = f"WITH RECURSIVE cell_words AS MATERIALIZED ({GLYPH_WORDS}),\n{_boundaries('SELECT * FROM cell_words', 5.0)},\n{_drawn(5.0)}\n{_PAGE_TEXT}"
+
 # --- ruled lines that run off a page ---------------------------------------------------
 
 RULED = f"SELECT doc_id, 1 AS page_no, CASE WHEN part % 3 = 0 THEN 40 ELSE 0 END AS x1, CAST(part % 780 AS INT) AS y1, CAST(CASE WHEN part % 4 = 0 THEN 599 ELSE 300 + part % 100 END AS INT) AS x2, CAST(part % 780 + CASE WHEN part % 5 = 0 THEN 6 ELSE 0 END AS INT) AS y2, 600 AS width, 800 AS height FROM ({ORDERED}) o"
@@ -234,3 +259,14 @@ loop AS (
     WHERE attempt < 3 AND len(list_filter(list_zip(its, a), lambda z: abs(CAST(z[1].q * z[1].p AS DECIMAL(18,2)) - z[2]) > 0.05)) > 0) n)
 SELECT doc_id, attempt AS attempts, CASE WHEN len(list_filter(list_zip(its, a), lambda z: abs(CAST(z[1].q * z[1].p AS DECIMAL(18,2)) - z[2]) > 0.05)) = 0 THEN 'validated' ELSE 'validation_failed' END AS status, CAST(list_sum(a) AS DECIMAL(28,2)) AS amount
 FROM (SELECT doc_id, max(attempt) AS attempt, arg_max(a, attempt) AS a FROM loop GROUP BY doc_id) f JOIN base USING (doc_id)"""
+
+
+# --- suppliers with formats of their own ------------------------------------------------------
+
+#: A format for each customer's number, and some that any name with two digits fits only by its end.
+FORMATS = """SELECT concat('(?i)^SUPPLIER#', lpad(CAST(c_custkey AS VARCHAR(20)), 9, '0'), '$') AS supplier, '^SI[0-9]{{6}}$' AS valid, '^[S5][I1l]([0-9]{{6}})$' AS misread, CASE WHEN c_custkey % 2 = 0 THEN 'SI' ELSE 'SX' END AS prefix FROM {customer}"""
+SUPPLIED = """SELECT s_suppkey AS doc_id, s_name AS supplier_name, concat(CASE WHEN s_suppkey % 4 = 0 THEN 'SI' WHEN s_suppkey % 4 = 1 THEN '51' WHEN s_suppkey % 4 = 2 THEN '5l' ELSE 'Q-' END, lpad(CAST(s_suppkey AS VARCHAR(20)), 6, '0'), CASE WHEN s_suppkey % 5 = 0 THEN ' / 5I000777' ELSE '' END) AS invoice_number,
+  concat('no. ', CASE WHEN s_suppkey % 3 = 0 THEN 'none' ELSE lpad(CAST(s_suppkey AS VARCHAR(20)), 6, '0') END, ' 000777') AS invoice_text FROM {supplier}"""
+SUPPLIED_SQL = f"""WITH s AS (SELECT s.*, string_split(invoice_number, ' / ') AS parts, f.prefix FROM ({duck(SUPPLIED)}) s LEFT JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'SI' ELSE 'SX' END AS prefix FROM customer) f ON k = CAST(substr(supplier_name, 10) AS BIGINT)),
+n AS (SELECT doc_id, invoice_number AS was, CASE WHEN prefix IS NULL THEN invoice_number ELSE array_to_string(list_transform(parts, lambda p: CASE WHEN NOT regexp_matches(p, '^SI[0-9]{{6}}$') AND regexp_matches(p, '^[S5][I1l][0-9]{{6}}$') AND contains(invoice_text, p[3:]) THEN prefix || p[3:] ELSE p END), ' / ') END AS invoice_number FROM s)
+SELECT doc_id, invoice_number, CASE WHEN invoice_number <> was THEN 'supplier_format' END AS number_note FROM n"""
