@@ -268,9 +268,7 @@ def totals(documents: DataFrame) -> tuple[DataFrame, list[Check]]:
     d = documents.withColumn("total", v.header_total("invoice_total", "invoice_number"))
     gap = F.abs(F.col("line_sum") - F.col("total"))
     apart = F.coalesce(gap > tolerance(), F.lit(False))
-    met = d.filter(~apart).withColumn("candidates", F.lit(None).cast("array<struct<label:string,amount:decimal(18,2)>>"))
-    rest = d.filter(apart).withColumn("candidates", adjustments("invoice_text"))
-    d = met.unionByName(rest)
+    d = d.withColumn("candidates", F.when(apart, adjustments("invoice_text")))
     d = d.withColumn("bridge", F.when(F.size("candidates") > 0, bridging(F.col("line_sum"), F.col("total"), F.col("candidates")))).drop("candidates")
     bridged = F.aggregate(F.col("bridge"), F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x["amount"]).cast("decimal(28,2)"))
     d = d.withColumn("reached", F.when(F.col("bridge").isNotNull(), F.col("line_sum") + bridged).otherwise(F.col("line_sum")))
