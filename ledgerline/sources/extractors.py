@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import base64
+import functools
 import json
 import re
 import time
@@ -195,6 +196,39 @@ def with_backoff(call: Callable[[str], str], tries: int = 4, first: float = 2.0,
     return patient
 
 
+#: Letters of a request that count as one token where a service has not said yet how many there were.
+LETTERS_A_TOKEN = 4
+
+
+class Pace:
+    """Spaces requests so that no more than `per_minute` tokens, and one request, begin in any minute.
+
+    A request of n tokens keeps the next one waiting for n shares of a minute. What a response says it
+    took replaces the estimate: the wait is longer or shorter by the difference.
+    """
+
+    def __init__(self, per_minute: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        if per_minute <= 0:
+            raise ValueError("a pace is over 0 tokens a minute")
+        self.seconds, self.clock, self.sleep = 60.0 / per_minute, clock, sleep
+        self.free = clock()
+
+    def call(self, call: Callable[[str], str], body: str) -> str:
+        estimate = len(body) / LETTERS_A_TOKEN
+        if (wait := self.free - self.clock()) > 0:
+            self.sleep(wait)
+        self.free = max(self.free, self.clock()) + estimate * self.seconds
+        response = call(body)
+        try:
+            told = json.loads(response).get("usage") or {}
+            took = float(told.get("prompt_tokens") or 0) + float(told.get("completion_tokens") or 0)
+        except (ValueError, AttributeError, TypeError):
+            took = 0.0
+        if took:
+            self.free += (took - estimate) * self.seconds
+        return response
+
+
 def http_call(url: str, key: str | None = None, seconds: float = 300.0) -> Callable[[str], str]:
     """Posts a request's body to a chat service and gives the response's text."""
 
@@ -211,20 +245,23 @@ def http_call(url: str, key: str | None = None, seconds: float = 300.0) -> Calla
 class Service:
     """Answers of a model: `call` takes a request's body and gives the response's JSON. At most `tasks` requests run at a time. Off unless given.
 
-    A request that fails for good is an answer without a value and counts no tokens. What every
+    With `tokens_per_minute` each task has its share of them, and so has every try of a request. Requests are
+    dealt to tasks by chance and worked off from the largest, so that shares end together. A request that fails for good is an answer without a value and counts no tokens. What every
     document spent is in `spent()`.
     """
 
-    def __init__(self, call: Callable[[str], str], fields=t.HEADER_FIELDS, model: str = t.PRICES[-1][0], tasks: int = 4, tries: int = 4, first: float = 2.0):
-        self.call, self.fields, self.model, self.tasks = with_backoff(call, tries, first), fields, model, tasks
+    def __init__(self, call: Callable[[str], str], fields=t.HEADER_FIELDS, model: str = t.PRICES[-1][0], tasks: int = 4, tries: int = 4, first: float = 2.0, tokens_per_minute: float | None = None):
+        self.plain, self.tries, self.first, self.fields, self.model, self.tasks = call, tries, first, fields, model, tasks
+        self.share = None if tokens_per_minute is None else tokens_per_minute / tasks
         self.usages: list[DataFrame] = []
 
     def __call__(self, kind: str, attempt: int, pending: DataFrame) -> DataFrame:
         from .folders import checkpointed
 
-        call, key = self.call, pending.schema["doc_id"].dataType.simpleString()
+        plain, tries, first, share, key = self.plain, self.tries, self.first, self.share, pending.schema["doc_id"].dataType.simpleString()
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            call = with_backoff(plain if share is None else functools.partial(Pace(share).call, plain), tries, first)
             for batch in batches:
                 responses, errors = [], []
                 for body in batch["body"]:
@@ -238,7 +275,8 @@ class Service:
 
         asked = pending.withColumn("chunk_no", F.lit(0)) if kind == "header" else item_chunks(pending)
         bodies = asked.select("doc_id", "chunk_no", requests(asked, kind, self.model).alias("body"))
-        got = checkpointed(bodies.repartition(self.tasks).mapInPandas(run, f"doc_id {key}, chunk_no int, response string, error string"))
+        dealt = bodies.repartition(self.tasks, F.xxhash64("doc_id", "chunk_no")).sortWithinPartitions(F.desc(F.length("body")), "doc_id", "chunk_no")
+        got = checkpointed(dealt.mapInPandas(run, f"doc_id {key}, chunk_no int, response string, error string"))
         self.usages.append(got.select("doc_id", F.lit(kind).alias("kind"), F.lit(attempt).alias("attempt"), "error", usage("response").alias("u")).select("doc_id", "kind", "attempt", "error", "u.*"))
         answers = parsed(got.select("doc_id", "chunk_no", F.get_json_object("response", "$.choices[0].message.content").alias("answer")))
         if kind == "header":
