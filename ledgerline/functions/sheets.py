@@ -22,9 +22,13 @@ def template_columns(spark: SparkSession, sheets: dict[str, tuple[str, ...]] | N
     """(sheet, pos, name, type, alias, is_link) of every column, pos from 0; the built-in item sheets unless others are given."""
     sheets = sheets or {t.EXPORT_SHEET: t.ITEM_COLUMNS, t.IMPORT_SHEET: t.BOE_COLUMNS}
     rows = [(sheet, i, name) for sheet, names in sheets.items() for i, name in enumerate(names)]
-    d = spark.createDataFrame(rows, "sheet string, pos int, name string")
+    return described(spark.createDataFrame(rows, "sheet string, pos int, name string"))
+
+
+def described(names: DataFrame) -> DataFrame:
+    """Column names (sheet, pos, name) with what they say: a type, an alias, and whether they link sheets."""
     link = F.lower(F.replace("name", F.lit(" "), F.lit("_"))).isin(*t.LINK_COLUMNS)
-    return d.select("sheet", "pos", "name", v.column_type("name").alias("type"), v.column_alias("name").alias("alias"), link.alias("is_link"))
+    return names.select("sheet", "pos", "name", v.column_type("name").alias("type"), v.column_alias("name").alias("alias"), link.alias("is_link"))
 
 
 def sheet_schema(columns: DataFrame, sheet: str) -> T.StructType:

@@ -557,5 +557,29 @@ def batch_summary(spark, sf_dir):
 
 @query(made.TEMPLATE_SQL)
 def template_schema(spark, sf_dir):
-    """All template columns with their types, aliases and link column."""
-    return sheets.template_columns(spark)
+    """All template columns, and names made of parts, with their types, aliases and link column."""
+    return sheets.template_columns(spark).unionByName(sheets.described(frame(spark, sf_dir, made.TEMPLATE_NAMES)))
+
+
+@query(made.DOMAIN_SQL)
+def domain_rules(spark, sf_dir):
+    rows = clean.domain_cleaned(frame(spark, sf_dir, made.DOMAIN))
+    named = {"FTA Code": "fta", "Cess Rate": "cess", "State Code": "state"}
+    return rows.select("doc_id", "pos", "n", *(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(named.get(c, c)) for c in rows.columns if c not in ("doc_id", "pos", "n")))
+
+
+@query(made.DATES_SQL)
+def date_forms(spark, sf_dir):
+    return frame(spark, sf_dir, made.DATES).select("doc_id", F.date_format(v.parsed_date("written"), "yyyy-MM-dd").alias("day"))
+
+
+@query(made.CODES_SQL)
+def code_repairs(spark, sf_dir):
+    d = frame(spark, sf_dir, made.CODES).withColumn("ad", v.repaired_ad_code("ad_code"))
+    return d.select("doc_id", v.repaired_gstin("tax_id").alias("tax_id"), F.col("ad").alias("ad_code"), v.is_ad_code("ad").alias("ad_code_fits"), v.without_tariff_tail("description").alias("description"))
+
+
+@query(made.COMPARED_SQL)
+def result_comparison(spark, sf_dir):
+    rows = extractors.compared(frame(spark, sf_dir, made.READINGS), frame(spark, sf_dir, made.READINGS_AGAIN), made.COMPARED)
+    return rows.withColumnsRenamed({"left": "left_", "right": "right_"})

@@ -132,8 +132,12 @@ SELECT doc_id, CASE WHEN coalesce(fob, '') <> '' AND abs(total - CAST(replace(fo
 _ROWS = ", ".join(f"('{sheet}', {i}, '{name}')" for sheet, names in ((t.EXPORT_SHEET, t.ITEM_COLUMNS), (t.IMPORT_SHEET, t.BOE_COLUMNS)) for i, name in enumerate(names))
 _STRINGS = ", ".join(f"'{c}'" for c in t.ALWAYS_STRING)
 _WORDS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in t.ABBREVIATIONS.items()) + "}"
+#: Names like a template's, by part: words of all kinds, with and without hints, and names that are texts always.
+TEMPLATE_NAMES = """SELECT p_brand AS sheet, CAST(p_partkey AS INT) AS pos, CASE WHEN p_partkey % 14 = 0 THEN concat(replace(p_name, ' ', '_'), '_Qty') WHEN p_partkey % 14 = 1 THEN concat(upper(p_name), ' Desc') WHEN p_partkey % 14 = 2 THEN concat('Itm_', p_name, '_Amt') WHEN p_partkey % 14 = 3 THEN concat(p_type, '_Mfd Date')
+  WHEN p_partkey % 14 = 4 THEN concat(p_name, '_per') WHEN p_partkey % 14 = 5 THEN 'Item_Ser_No' WHEN p_partkey % 14 = 6 THEN 'SL No' WHEN p_partkey % 14 = 7 THEN 'item_Cess' WHEN p_partkey % 14 = 8 THEN 'CESS Per' WHEN p_partkey % 14 = 9 THEN concat('Val ', p_name)
+  WHEN p_partkey % 14 = 10 THEN concat('__', p_name, '__Regn_No') WHEN p_partkey % 14 = 11 THEN 'ItmIGSTPer' WHEN p_partkey % 14 = 12 THEN concat('Item_Rate_', p_type) ELSE p_name END AS name FROM {part}"""
 TEMPLATE_SQL = f"""SELECT sheet, CAST(pos AS INTEGER) AS pos, name, CASE WHEN lower(name) IN ({_STRINGS}) OR contains(lower(name), 'date') THEN 'string' WHEN regexp_matches(lower(name), '{"|".join(t.NUMBER_HINTS)}') THEN 'number' ELSE 'string' END AS type,
-  array_to_string(list_transform(list_filter(string_split(replace(name, '_', ' '), ' '), lambda w: w <> ''), lambda w: coalesce({_WORDS}[lower(w)], upper(w[1]) || lower(w[2:]))), ' ') AS alias, replace(lower(name), ' ', '_') IN ({", ".join(f"'{c}'" for c in t.LINK_COLUMNS)}) AS is_link FROM (VALUES {_ROWS}) v(sheet, pos, name)"""
+  array_to_string(list_transform(list_filter(string_split(replace(name, '_', ' '), ' '), lambda w: w <> ''), lambda w: coalesce({_WORDS}[lower(w)], upper(w[1]) || lower(w[2:]))), ' ') AS alias, replace(lower(name), ' ', '_') IN ({", ".join(f"'{c}'" for c in t.LINK_COLUMNS)}) AS is_link FROM (SELECT * FROM (VALUES {_ROWS}) v(sheet, pos, name) UNION ALL SELECT * FROM ({duck(TEMPLATE_NAMES)}) w)"""
 
 # --- parties, routes and phrases put into texts ----------------------------------------------
 
@@ -270,3 +274,48 @@ SUPPLIED = """SELECT s_suppkey AS doc_id, s_name AS supplier_name, concat(CASE W
 SUPPLIED_SQL = f"""WITH s AS (SELECT s.*, string_split(invoice_number, ' / ') AS parts, f.prefix FROM ({duck(SUPPLIED)}) s LEFT JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'SI' ELSE 'SX' END AS prefix FROM customer) f ON k = CAST(substr(supplier_name, 10) AS BIGINT)),
 n AS (SELECT doc_id, invoice_number AS was, CASE WHEN prefix IS NULL THEN invoice_number ELSE array_to_string(list_transform(parts, lambda p: CASE WHEN NOT regexp_matches(p, '^SI[0-9]{{6}}$') AND regexp_matches(p, '^[S5][I1l][0-9]{{6}}$') AND contains(invoice_text, p[3:]) THEN prefix || p[3:] ELSE p END), ' / ') END AS invoice_number FROM s)
 SELECT doc_id, invoice_number, CASE WHEN invoice_number <> was THEN 'supplier_format' END AS number_note FROM n"""
+
+
+# --- rules of the export sheet's domain --------------------------------------------------------
+
+#: Rows that reach every branch: container numbers and blanks, codes of three kinds, claims, yes and no in all spellings, zero cess, states.
+DOMAIN = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS pos, l_partkey % 1000 AS n,
+  CASE WHEN l_partkey % 5 = 0 THEN concat('Valve ', CAST(l_suppkey AS VARCHAR(20)), ' 84818090A TAPS') WHEN l_partkey % 5 = 1 THEN '84818090A TAPS' ELSE 'Valve' END AS Item_Desc,
+  CASE WHEN l_partkey % 6 = 0 THEN concat('msc', 'u', substring(CAST(1000000 + l_partkey AS VARCHAR(20)), 1, 7)) WHEN l_partkey % 6 = 1 THEN ' n/a ' WHEN l_partkey % 6 = 2 THEN '020-12345675' WHEN l_partkey % 6 = 3 THEN 'TGHX1234567' WHEN l_partkey % 6 = 4 THEN '' END AS ItmHawb,
+  CASE WHEN l_suppkey % 8 = 0 THEN 'GNX200' WHEN l_suppkey % 8 = 1 THEN ' EU12' WHEN l_suppkey % 8 = 2 THEN 'AD Code 6550002' WHEN l_suppkey % 8 = 3 THEN '6550002-2900009' WHEN l_suppkey % 8 = 4 THEN '6550002' WHEN l_suppkey % 8 = 5 THEN '655000' WHEN l_suppkey % 8 = 6 THEN 'F1' END AS `FTA Code`,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'GNX100' END AS Item_End_Use, CASE WHEN l_partkey % 4 = 0 THEN ' nil' WHEN l_partkey % 4 = 1 THEN 'IN' WHEN l_partkey % 4 = 2 THEN '-' END AS Itm_Transit_Cntry, 'DE' AS Itm_Source_Cntry,
+  CASE WHEN l_partkey % 11 = 0 THEN 'true' WHEN l_partkey % 11 = 1 THEN 'Yes' WHEN l_partkey % 11 = 2 THEN '1' WHEN l_partkey % 11 = 3 THEN 'yep' WHEN l_partkey % 11 = 4 THEN 'No' WHEN l_partkey % 11 = 5 THEN '0.0' WHEN l_partkey % 11 = 6 THEN 'maybe' WHEN l_partkey % 11 = 7 THEN 'NA' WHEN l_partkey % 11 = 8 THEN 'n' WHEN l_partkey % 11 = 9 THEN '' END AS item_Cess,
+  CASE WHEN l_partkey % 7 = 0 THEN 'claimed under RoDTEP' WHEN l_partkey % 7 = 1 THEN 'meis' WHEN l_partkey % 7 = 2 THEN 'none' WHEN l_partkey % 7 = 3 THEN 'Y' WHEN l_partkey % 7 = 4 THEN 'no scheme' END AS Item_Reward,
+  CASE WHEN l_partkey % 4 = 0 THEN '0' WHEN l_partkey % 4 = 1 THEN '0.0' WHEN l_partkey % 4 = 2 THEN '5' END AS `Cess Rate`,
+  CASE WHEN l_suppkey % 6 = 0 THEN 'Gujarat (24)' WHEN l_suppkey % 6 = 1 THEN 'code 7, zone 12' WHEN l_suppkey % 6 = 2 THEN 'Delhi' WHEN l_suppkey % 6 = 3 THEN ' 27 ' WHEN l_suppkey % 6 = 4 THEN 'zone 123 (4)' END AS `State Code` FROM {lineitem}"""
+_NA = "(" + ", ".join(f"'{x}'" for x in t.NA_LIKE) + ")"
+DOMAIN_SQL = rf"""WITH d AS (SELECT * FROM ({duck(DOMAIN).replace(chr(96) + "FTA Code" + chr(96), "fta").replace(chr(96) + "Cess Rate" + chr(96), "cess").replace(chr(96) + "State Code" + chr(96), "state")}) z)
+SELECT doc_id, pos, n, CASE WHEN regexp_matches(Item_Desc, '^.+\s+\d{{4,8}}[A-Z]\s+[A-Z]') THEN trim(regexp_extract(Item_Desc, '^(.*?)\s+\d{{4,8}}[A-Z]\s', 1)) ELSE Item_Desc END AS Item_Desc,
+  CASE WHEN regexp_matches(upper(trim(ItmHawb)), '^[A-Z]{{3}}[UJZ]\d{{6,7}}$') OR upper(trim(ItmHawb)) IN {_NA} THEN '' ELSE coalesce(ItmHawb, '') END AS ItmHawb,
+  CASE WHEN regexp_matches(trim(fta), '^(GNX|EU)') OR contains(upper(fta), 'AD CODE') OR regexp_matches(trim(fta), '^\d{{7,}}$|^\d{{6,8}}[- ]\d{{6,8}}$') THEN '' ELSE coalesce(fta, '') END AS fta,
+  CASE WHEN coalesce(Item_End_Use, '') = '' AND regexp_matches(trim(fta), '^(GNX|EU)') THEN trim(fta) ELSE coalesce(Item_End_Use, '') END AS Item_End_Use,
+  CASE WHEN upper(trim(Itm_Transit_Cntry)) IN {_NA} THEN '' ELSE coalesce(Itm_Transit_Cntry, '') END AS Itm_Transit_Cntry, Itm_Source_Cntry,
+  CASE WHEN upper(trim(item_Cess)) IN ('TRUE', 'YES', '1', 'Y') OR upper(trim(item_Cess)) LIKE 'Y%' THEN 'Y' ELSE '' END AS item_Cess,
+  CASE WHEN regexp_matches(upper(Item_Reward), 'RODTEP|MEIS|REWARD|CLAIM|SCHEME') OR upper(Item_Reward) = 'Y' THEN 'Y' ELSE '' END AS Item_Reward,
+  CASE WHEN cess IN ('0', '0.0') THEN '' ELSE coalesce(cess, '') END AS cess,
+  CASE WHEN state IS NULL THEN '' WHEN regexp_matches(state, '\(\d{{1,2}}\)') THEN regexp_extract(state, '\((\d{{1,2}})\)', 1) WHEN regexp_matches(state, '\b\d{{1,2}}\b') THEN regexp_extract(state, '\b(\d{{1,2}})\b', 1) ELSE trim(state) END AS state FROM d"""
+
+# --- dates, codes and readings ------------------------------------------------------------------
+
+#: The day of an order in all eight forms, some with blanks, some that are no date.
+DATES = """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 11 = 0 THEN concat(y, '-', m, '-', d) WHEN o_orderkey % 11 = 1 THEN concat(d, '-', m, '-', y) WHEN o_orderkey % 11 = 2 THEN concat(d, '/', m, '/', y) WHEN o_orderkey % 11 = 3 THEN concat(m, '/', CAST(13 + o_orderkey % 15 AS VARCHAR(9)), '/', y)
+  WHEN o_orderkey % 11 = 4 THEN concat(d, '-', mon, '-', y) WHEN o_orderkey % 11 = 5 THEN concat(' ', d, ' ', mon, ' ', y, ' ') WHEN o_orderkey % 11 = 6 THEN concat(d, '.', m, '.', y) WHEN o_orderkey % 11 = 7 THEN concat(y, '/', m, '/', d) WHEN o_orderkey % 11 = 8 THEN concat('31/2/', y) WHEN o_orderkey % 11 = 9 THEN concat(mon, ' ', d) END AS written
+FROM (SELECT o_orderkey, CAST(1992 + o_custkey % 30 AS VARCHAR(9)) AS y, CAST(1 + o_orderkey % 12 AS VARCHAR(9)) AS m, CAST(1 + o_custkey % 28 AS VARCHAR(9)) AS d, substring('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(o_orderkey % 12 * 3 + 1 AS INT), 3) AS mon FROM {orders}) o"""
+DATES_SQL = f"""SELECT doc_id, strftime(coalesce(try_strptime(w, '%Y-%m-%d'), try_strptime(w, '%d-%m-%Y'), try_strptime(w, '%d/%m/%Y'), try_strptime(w, '%m/%d/%Y'), try_strptime(w, '%d-%b-%Y'), try_strptime(w, '%d %b %Y'), try_strptime(w, '%d.%m.%Y'), try_strptime(w, '%Y/%m/%d')), '%Y-%m-%d') AS day FROM (SELECT doc_id, trim(written) AS w FROM ({duck(DATES)}) z) y"""
+
+CODES = """SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 5 = 0 THEN concat('27abcde', CAST(1000 + s_suppkey % 9000 AS VARCHAR(9)), 'F1Z5') WHEN s_suppkey % 5 = 1 THEN concat('27 ABCDE', CAST(1000 + s_suppkey % 9000 AS VARCHAR(9)), 'F1Z5Q') WHEN s_suppkey % 5 = 2 THEN '27ABBCDE1234F1Z5' WHEN s_suppkey % 5 = 3 THEN '' END AS tax_id,
+  CASE WHEN s_suppkey % 4 = 0 THEN '66555500000022--22990000000099' WHEN s_suppkey % 4 = 1 THEN '6550002-2900009' WHEN s_suppkey % 4 = 2 THEN '65500022900009' ELSE '112233' END AS ad_code, concat(s_name, CASE WHEN s_suppkey % 2 = 0 THEN ' 8481A TAPS' ELSE ' 848A' END) AS description FROM {supplier}"""
+CODES_SQL = rf"""WITH c AS (SELECT *, replace(upper(trim(tax_id)), ' ', '') AS v, array_to_string([ad_code[i] FOR i IN range(1, length(ad_code) + 1, 2)], '') AS half FROM ({duck(CODES)}) z)
+SELECT doc_id, CASE WHEN length(v) = 16 AND regexp_matches(v[:15], '{t.GSTIN}') THEN v[:15] ELSE v END AS tax_id, CASE WHEN length(replace(ad_code, '-', '')) <> 14 AND regexp_matches(half, '{t.AD_CODE}') AND length(replace(half, '-', '')) = 14 THEN half ELSE ad_code END AS ad_code,
+  length(replace(half, '-', '')) = 14 OR length(replace(ad_code, '-', '')) = 14 AS ad_code_fits, CASE WHEN doc_id % 2 = 0 THEN replace(description, ' 8481A TAPS', '') ELSE description END AS description FROM c"""
+
+#: Two readings of the same headers; some documents are in one of them only.
+READINGS = """SELECT o_orderkey AS doc_id, concat('INV-', CAST(o_orderkey AS VARCHAR(20))) AS invoice_number, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'USD' END AS currency, CAST(o_custkey AS VARCHAR(20)) AS buyer_name FROM {orders} WHERE o_orderkey % 10 <> 1"""
+READINGS_AGAIN = """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN concat('1NV-', CAST(o_orderkey AS VARCHAR(20))) ELSE concat('INV-', CAST(o_orderkey AS VARCHAR(20))) END AS invoice_number, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'USD' END AS currency, CAST(o_custkey AS VARCHAR(20)) AS buyer_name FROM {orders} WHERE o_orderkey % 10 <> 2"""
+COMPARED = ("invoice_number", "currency", "buyer_name")
+COMPARED_SQL = " UNION ALL ".join(f"SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, '{c}' AS field, a.{c} AS left_, b.{c} AS right_, a.{c} IS NOT DISTINCT FROM b.{c} AS same FROM ({duck(READINGS)}) a FULL JOIN ({duck(READINGS_AGAIN)}) b ON a.doc_id = b.doc_id" for c in COMPARED)
