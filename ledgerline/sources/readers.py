@@ -7,12 +7,17 @@ the operators, which start from texts, words or segments in tables.
 from __future__ import annotations
 
 import importlib.util
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import values as v
+from ..operators import layout
+from ..operators import text as tx
+
 #: A function from a document's bytes to its page texts, with the name of its method.
 Reader = tuple[str, Callable[[bytes], list[str]]]
 
@@ -108,12 +113,8 @@ def page_texts(docs: DataFrame, readers: list[Reader], least_chars: int = 40) ->
     return docs.select("doc_id", "content").mapInPandas(run, f"doc_id {key}, page_no int, text string, method string, error string")
 
 
-def routed_texts(docs: DataFrame, digital, container=None, images=None, force: bool | None = None, least_chars: int = 40) -> DataFrame:
-    """(doc_id, text, method, seconds, error): every document by `ocr.routed`; failures are rows."""
-    import time
-
-    from . import ocr
-
+def readings(docs: DataFrame, read: Callable[[bytes], tuple[list[str], str]]) -> DataFrame:
+    """(doc_id, pages, method, seconds, error): what `read` makes of every document (doc_id, content); failures are rows."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,20 +123,77 @@ def routed_texts(docs: DataFrame, digital, container=None, images=None, force: b
             for doc, content in zip(batch["doc_id"], batch["content"], strict=True):
                 start = time.perf_counter()
                 try:
-                    pages, method = ocr.routed(bytes(content), digital, container, images, force, least_chars)
-                    text = headed(pages, str(doc)) if method in ("2d_layout_canvas", "ocrmypdf_docker") else "\n\n".join(pages)
-                    rows.append((doc, text or None, method, time.perf_counter() - start, None if text else "no text"))
+                    pages, method = read(bytes(content))
+                    rows.append((doc, list(pages), method, time.perf_counter() - start, None))
                 except Exception as e:  # a broken file is that file's status
-                    rows.append((doc, None, None, time.perf_counter() - start, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "method", "seconds", "error"])
+                    rows.append((doc, [], None, time.perf_counter() - start, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_id", "pages", "method", "seconds", "error"])
+
+    return docs.select("doc_id", "content").mapInPandas(run, f"doc_id {key}, pages array<string>, method string, seconds double, error string")
+
 
-    return docs.select("doc_id", "content").mapInPandas(run, f"doc_id {key}, text string, method string, seconds double, error string")
+DIGITAL, CONTAINER = "2d_layout_canvas", "ocrmypdf_docker"
 
 
-def headed(pages: list[str], name: str) -> str:
-    """Pages that have text, each under the heading of layout.document_text."""
+def routed_texts(docs: DataFrame, digital, container=None, images=None, force: bool | None = None, least_chars: int = 40, again: Callable[[bytes], str] | None = None) -> DataFrame:
+    """(doc_id, text, method, seconds, error): the best of each document's readings; failures are rows.
+
+    Readings are a table, and their rank decides: the text layer; a container that skips pages with text; a
+    container that reads all anew; `images`; a text layer that looked like a scan's. A reading counts from
+    `least_chars` characters on. Each reader gets only the documents that no better one has settled, and
+    among them only those its rank is for:
+
+        force    text layer first    container, skipping text    container, all anew
+        None     unless a scan's     unless pages are partial    yes
+        False    yes                 yes                         no
+        True     no                  no                          yes
+
+    Garbled readings that are no text layer give way to `again` (content -> text), if that is better.
+    """
+    from .folders import checkpointed
+
+    stripped = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    enough = F.length(stripped(F.array_join("pages", "\n"))) >= least_chars
+    ranked = lambda d, rank, usable: d.withColumns({"rank": F.lit(rank), "usable": usable})
+
+    own = checkpointed(readings(docs.limit(0) if force is True else docs, lambda content: (digital(content), DIGITAL)))
+    pages = own.select("doc_id", F.posexplode("pages").alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("page_no"), "text")
+    seen = docs.select("doc_id").join(layout.scanned(layout.page_stats(pages)), "doc_id", "left")
+    seen = checkpointed(seen.select("doc_id", F.coalesce("is_scanned", F.lit(True)).alias("scan"), F.coalesce("has_partial_pages", F.lit(False)).alias("partial")))
+    trusted = F.lit(True) if force is False else ~F.col("scan")
+    found = ranked(own.join(seen, "doc_id"), 1, enough & trusted).drop("scan", "partial")
+
+    by_container = lambda anew: lambda content: ((digital(made), CONTAINER) if (made := container(content, anew)) else ([], CONTAINER))
+    by_images = lambda content: ([x] if (x := (told := images(content))[0]) else [], f"ocr_{told[1]}")
+    readers = [
+        (2, container and by_container(False), F.lit(force is False) | (F.lit(force is None) & ~F.col("partial")), enough),
+        (3, container and by_container(True), F.lit(force is not False), enough),
+        (4, images and by_images, F.lit(True), F.size("pages") > 0),
+    ]
+    for rank, read, wanted, usable in readers:
+        if read is not None:
+            left = docs.join(seen.filter(wanted).select("doc_id"), "doc_id", "left_semi").join(found.filter("usable").select("doc_id"), "doc_id", "left_anti")
+            found = found.unionByName(ranked(checkpointed(readings(left, read)), rank, usable))
+    found = found.unionByName(ranked(own, 5, enough).withColumns({"seconds": F.lit(0.0), "error": F.lit(None).cast("string")}))
+
+    best = F.min_by(F.when(F.col("usable"), F.struct("pages", "method")), F.when(F.col("usable"), F.col("rank")))
+    chosen = checkpointed(found.groupBy("doc_id").agg(best.alias("b"), F.sum("seconds").alias("seconds"), F.max("error").alias("error")).select("doc_id", "b.pages", "b.method", "seconds", "error"))
+    texts = chosen.select("doc_id", F.array_join("pages", "\n\n").alias("text"), "method")
+    if again is not None:
+        doubtful = texts.filter((F.col("method") != DIGITAL) & tx.looks_garbled("text"))
+        turned = checkpointed(readings(docs.join(doubtful.select("doc_id"), "doc_id", "left_semi"), lambda content: ([again(content)], "")))
+        texts = layout.recovered(texts, turned.select("doc_id", F.array_join("pages", "").alias("text")))
+    d = docs.select("doc_id").join(chosen.drop("method"), "doc_id", "left").join(texts, "doc_id", "left")
+    text = v.filled(F.when(F.col("method").isin(DIGITAL, CONTAINER), headed("pages", F.col("doc_id"))).otherwise(F.col("text")))
+    error = F.when(text.isNull(), F.coalesce("error", F.lit("no text")))
+    return d.select("doc_id", text.alias("text"), F.when(text.isNotNull(), F.col("method")).alias("method"), F.coalesce("seconds", F.lit(0.0)).alias("seconds"), error.alias("error"))
+
+
+def headed(pages, name) -> Column:
+    """An array of pages as one text: those that have any, each under the heading of layout.document_text."""
     rule = "=" * 35
-    return "\n".join(f"\n{rule} PAGE {i} OF {len(pages)} ({name}) {rule}\n{p}" for i, p in enumerate(pages, 1) if p.strip()).strip()
+    page = lambda p, i: F.when(p.rlike(r"\S"), F.concat(F.lit(f"\n{rule} PAGE "), (i + 1).cast("string"), F.lit(" OF "), F.size(pages).cast("string"), F.lit(" ("), name.cast("string"), F.lit(f") {rule}\n"), p))
+    return F.regexp_replace(F.array_join(F.array_compact(F.transform(pages, page)), "\n"), r"^\s+|\s+$", "")
 
 
 def compared(docs: DataFrame, readers: list[Reader]) -> DataFrame:

@@ -220,29 +220,39 @@ def test_engines_lines_and_choices():
     assert ocr.in_container(b"abc", ["cat"]) == b"abc" and ocr.in_container(b"", ["no-such-runtime"]) is None and ocr.in_container(b"", ["sleep", "5"], 0.2) is None and ocr.in_container(b"", ["false"]) is None
     reads = {(b"1", 0): "a b", (b"1", 90): "good words", (b"1", 180): "fine words", (b"1", 270): "", (b"2", 90): "more"}
     assert ocr.best_rotation([b"1", b"2"], lambda image, turn: reads[image, turn]) == ("good words\n\nmore", 90)
-    garbled = "a b c d e " * 10
-    assert ocr.recovered(garbled, "m", lambda: "clean words here") == ("clean words here", "m+rotation_recovered") and ocr.recovered(garbled, "m", lambda: "x y") == (garbled, "m") and ocr.recovered("fine text", "m", None) == ("fine text", "m")
-
-
-def test_the_order_of_readers():
-    rich = [" ".join(["word"] * 60)]
-    asked = []
-
-    def container(content, force):
-        asked.append(force)
-        return b"made" if force else None
-
-    digital = lambda content: rich if content in (b"rich", b"made") else ["few words"] if content == b"partial" else []
-    images = lambda content: ("read from pixels", "engine")
-    assert ocr.routed(b"rich", digital, container, images) == (rich, "2d_layout_canvas") and asked == []
-    assert ocr.routed(b"empty", digital, container, images) == (rich, "ocrmypdf_docker") and asked == [False, True]
-    asked.clear()
-    assert ocr.routed(b"partial", digital, container, images) == (rich, "ocrmypdf_docker") and asked == [True]
-    asked.clear()
-    assert ocr.routed(b"rich", digital, container, images, force=True) == (rich, "ocrmypdf_docker") and asked == [True]
-    asked.clear()
-    assert ocr.routed(b"empty", digital, container, images, force=False) == (["read from pixels"], "ocr_engine") and asked == [False]
-    assert ocr.routed(b"empty", digital, None, None) == ([], None)
+
+
+def test_ranked_readers(spark, tmp_path):
+    rich, garbled = " ".join(["word"] * 60), "a b c d e " * 10
+
+    def digital(content):
+        if content == b"broken":
+            raise ValueError("no such form")
+        return {b"rich": [rich], b"made": [rich], b"made garbled": [garbled], b"partial": ["few words"], b"thin": ["forty characters and a few more of them, so"]}.get(content, [])
+
+    def asked(route, force, again=None, images=lambda content: ("read from pixels" if content != b"thin" else "", "engine")):
+        """(document: method and start of its text) and (document, flag) of the container's calls."""
+        told = tmp_path / route
+        told.mkdir()
+
+        def container(content, anew):
+            (told / f"{content.decode()}-{anew}").touch()
+            return None if content in (b"empty", b"broken", b"thin") else b"made garbled" if content == b"doubled" else b"made" if anew else None
+
+        names = ("rich", "partial", "empty", "broken", "thin", "doubled")
+        docs = spark.createDataFrame([(n, bytearray(n.encode())) for n in names], "doc_id string, content binary")
+        got = {x["doc_id"]: x for x in readers.routed_texts(docs, digital, container, images, force, again=again).collect()}
+        return {k: (x["method"], (x["text"] or x["error"])[-14:]) for k, x in got.items()}, {f.name for f in told.iterdir()}
+
+    got, calls = asked("auto", None, lambda content: "clean words here" if content == b"doubled" else "")
+    assert got == {"rich": ("2d_layout_canvas", rich[-14:]), "partial": ("ocrmypdf_docker", rich[-14:]), "empty": ("ocr_engine", "ad from pixels"), "broken": ("ocr_engine", "ad from pixels"), "thin": ("2d_layout_canvas", "re of them, so"), "doubled": ("ocrmypdf_docker+rotation_recovered", "ean words here")}
+    assert calls == {"partial-True", "empty-False", "empty-True", "broken-False", "broken-True", "thin-True", "doubled-False"}
+    got, calls = asked("anew", True)
+    assert got["rich"] == ("ocrmypdf_docker", rich[-14:]) and got["thin"] == (None, "no text") and got["doubled"][0] == "ocrmypdf_docker" and not [c for c in calls if c.endswith("False")]
+    got, calls = asked("skip", False, images=None)
+    assert got["thin"][0] == got["rich"][0] == "2d_layout_canvas" and got["empty"] == (None, "no text") and got["broken"] == (None, "r: no such form"[-14:]) and calls == {"partial-False", "empty-False", "broken-False", "doubled-False"}
+    docs = spark.createDataFrame([("e", bytearray(b"empty"))], "doc_id string, content binary")
+    assert [tuple(x)[:3] for x in readers.routed_texts(docs, digital).collect()] == [("e", None, None)]
 
 
 def workbook(sheets_):
