@@ -81,12 +81,16 @@ def _met(printed: DataFrame, items: DataFrame) -> DataFrame:
     meets only items whose key ends in GRAM characters that it has somewhere (keys are never shorter).
     """
     keyed = items.select("doc_id", "pos", row_keys("part_number", "product_description").alias("keys")).filter(F.size("keys") > 0)
-    many = keyed.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > MANY_ITEMS).select("doc_id")
-    few = printed.join(keyed.join(many, "doc_id", "left_anti"), "doc_id").filter(_found(F.col("keys"), F.col("plain"))).drop("keys")
-    tails = keyed.join(many, "doc_id", "left_semi").select("doc_id", "pos", F.explode("keys").alias("__key")).withColumn("__gram", F.substring("__key", -GRAM, GRAM))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("plain") - (GRAM - 1)), lambda i: F.substring("plain", i, F.lit(GRAM))))
-    wide = printed.join(many, "doc_id", "left_semi").filter(F.length("plain") >= GRAM).withColumn("__gram", F.explode(grams)).join(tails, ["doc_id", "__gram"]).filter(F.col("plain").contains(F.col("__key")))
-    return few.unionByName(wide.drop("__gram", "__key").dropDuplicates(["doc_id", "pos", "line_no"]))
+    crowded = F.col("__n") > MANY_ITEMS
+    # One join for both: a document of few items has one mark, '', for all lines and items; else the marks are grams.
+    own = keyed.withColumn("__n", F.count("*").over(Window.partitionBy("doc_id")))
+    apart = F.transform("keys", lambda k: F.struct(F.substr(k, F.lit(-GRAM), F.lit(GRAM)).alias("gram"), F.array(k).alias("keys")))
+    marked = own.select("doc_id", "pos", F.explode(F.when(crowded, apart).otherwise(F.array(F.struct(F.lit("").alias("gram"), F.col("keys"))))).alias("__k")).select("doc_id", "pos", F.col("__k.gram").alias("__gram"), F.col("__k.keys").alias("__keys"))
+    grams = F.when(F.length("plain") >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("plain") - (GRAM - 1)), lambda i: F.substr(F.col("plain"), i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+    sizes = keyed.groupBy("doc_id").agg(F.count("*").alias("__n"))
+    asked = printed.join(sizes, "doc_id").withColumn("__gram", F.explode(F.when(crowded, grams).otherwise(F.array(F.lit("")))))
+    met = asked.join(marked, ["doc_id", "__gram"]).filter(_found(F.col("__keys"), F.col("plain")))
+    return met.drop("__gram", "__keys", "__n").dropDuplicates(["doc_id", "pos", "line_no"])
 
 
 def source_lines(items: DataFrame, texts: DataFrame) -> DataFrame:
