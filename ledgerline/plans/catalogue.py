@@ -247,14 +247,15 @@ _CODES = "MAP {" + ", ".join(f"'{k}': '{x}'" for k, x in t.CURRENCY_ALIASES.item
 
 
 @query(
-    f"""SELECT doc_id, nullif(tax, '') AS supplier_tax_id, CASE WHEN prefix IS NOT NULL AND (own IS NULL OR lpad(own, 2, '0') <> prefix) THEN prefix ELSE own END AS state_code,
+    f"""SELECT doc_id, {", ".join(f"nullif(trim({c}), '') AS {c}" for c in ("invoice_number", "invoice_date", "ad_code", "iec_number", "country_of_origin"))},
+    regexp_replace(regexp_replace(nullif(trim(total_packages), ''), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS total_packages, nullif(tax, '') AS supplier_tax_id, CASE WHEN prefix IS NOT NULL AND (own IS NULL OR lpad(own, 2, '0') <> prefix) THEN prefix ELSE own END AS state_code,
     coalesce({_CODES}[upper(replace(money, '.', ''))], CASE WHEN regexp_full_match(money, '[A-Za-z]{{3}}') THEN upper(money) ELSE money END) AS currency, 'N' AS reward_scheme_claim, TRY_CAST(nullif(trim(invoice_total), '') AS DECIMAL(18,6)) AS invoice_total_dec,
     CAST(CASE WHEN tax <> '' AND prefix IS NULL THEN 1 ELSE 0 END + CASE WHEN own IS NOT NULL AND lpad(own, 2, '0') <> prefix THEN 1 ELSE 0 END AS BIGINT) AS n_warnings
     FROM (SELECT *, CASE WHEN regexp_matches(tax, '{t.GSTIN}') THEN left(tax, 2) END AS prefix, nullif(coalesce(nullif(regexp_extract(state_code, '\\b(\\d{{1,2}})\\b', 1), ''), trim(state_code)), '') AS own, nullif(trim(currency), '') AS money FROM (SELECT *, upper(trim(coalesce(supplier_tax_id, ''))) AS tax FROM {H} h) a) z"""
 )
 def clean_header(spark, sf_dir):
     raw = headers(spark, sf_dir)
-    return clean.headers(raw).select("doc_id", "supplier_tax_id", "state_code", "currency", "reward_scheme_claim", "invoice_total_dec", F.size("warnings").cast("long").alias("n_warnings"))
+    return clean.headers(raw).select("doc_id", "invoice_number", "invoice_date", "ad_code", "iec_number", "country_of_origin", "total_packages", "supplier_tax_id", "state_code", "currency", "reward_scheme_claim", "invoice_total_dec", F.size("warnings").cast("long").alias("n_warnings"))
 
 
 _NONE = "(upper(trim({})) IN ('NA', 'N/A', '-', 'NIL', 'NONE', ''))"
@@ -518,13 +519,13 @@ def glyph_dedupe(spark, sf_dir):
 # --- sources and sinks -----------------------------------------------------------------
 
 
-@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 4 = 1 THEN replace(props, '}', ', "z": null}') ELSE props END AS whole FROM events""")
 def json_repair(spark, sf_dir):
     """Answers broken in four ways, mended."""
     e = read(spark, sf_dir, "events")
     broken = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 4 == 1, F.replace("props", F.lit("}"), F.lit(", \"z\": N/A,}"))).when(F.col("event_id") % 4 == 2, F.replace("props", F.lit('"'), F.lit("'"))).otherwise(F.concat(F.lit("Here you are: "), "props"))
     answers = extractors.parsed(e.select("event_id", broken.alias("answer")))
-    return answers.select("event_id", F.get_json_object("json", "$.k").try_cast("long").alias("k"))
+    return answers.select("event_id", F.get_json_object("json", "$.k").try_cast("long").alias("k"), F.col("json").alias("whole"))
 
 
 @query(
