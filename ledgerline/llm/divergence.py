@@ -43,8 +43,8 @@ SCALE = 1_000_000_000
 #: (lang, source) groups up to this number are broadcast. The result has a row for each pair of sources of a language, so they are few by its size.
 BROADCAST_GROUPS = 500_000
 
-#: Counters of a task are handed on and begun anew once they hold so many (group, term) entries.
-HELD_TERMS = 600_000
+#: Counters of a task are handed on and begun anew once they hold so many (group, term) entries. What they hand on is summed up again in the task, so few are enough.
+HELD_TERMS = 100_000
 
 #: Terms are of ASCII letters, made lower case, and of everything beyond ASCII: all other bytes become spaces.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
