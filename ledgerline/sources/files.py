@@ -2,7 +2,8 @@
 
 Tasks write under a folder of their own attempt in a staging folder; when all tasks have succeeded the
 driver moves the files of the attempts that count to their places, and else everything staged goes. So a
-task that is tried again, or runs twice at once, leaves its files once, and a job that fails leaves none.
+task that is tried again, or runs twice at once, leaves its files once, and a job that fails leaves none
+(at most a hidden staging folder, of a task that was still running when the job was given up).
 A file that cannot be written is told in `_not_saved`, and is no failure of the job.
 """
 
@@ -14,7 +15,8 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 NAME, SCHEMA = "one_file_each", "path string, content string"
@@ -120,9 +122,13 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
     from pyarrow import fs
 
     spark, run = rows.sparkSession, uuid.uuid4().hex
+    system, root = place(folder.rstrip("/"))
+    try:
+        system.create_dir(root, recursive=True)
+    except OSError as e:  # there is no such place, so there is no file
+        return rows.select("path", F.lit(str(e)).alias("error"))
     spark.dataSource.register(Files)
     rows.select("path", "content").write.format(NAME).mode("append").option("run", run).save(folder)
-    system, root = place(folder.rstrip("/"))
     told = [x for x in system.get_file_info(fs.FileSelector(f"{root}/{NOT_SAVED}", allow_not_found=True)) if x.base_name.startswith(run)]
     if not told:
         return spark.createDataFrame([], "path string, error string")
