@@ -151,3 +151,10 @@ def test_feedback_goes_to_the_pass_that_can_mend_it(found):
 
 def test_a_document_without_items(found):
     assert statuses(found[EMPTY], "HEADER_LINE_TOTAL") == ["NOT_CHECKED"]
+
+
+def test_the_array_of_checks_is_made_once_and_compiled(spark):
+    own = spark.createDataFrame([("d", 1, "2", "3", "6")], "doc_id string, pos int, quantity string, unit_price string, line_amount string")
+    found = rules.item_checks(own, spark.createDataFrame([("d",)], "doc_id string"), rules=["QTY_X_UNIT_PRICE"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan.lower() and "size(array" not in plan
