@@ -355,3 +355,20 @@ def test_scores_go_on_until_they_settle(spark):
     for k in range(7):
         score = 0.15 * 0.85 ** (k + 1) / (1 - 0.85**7)
         assert got[f"ring{k}.test"]["verdict"] == "allow" and abs(got[f"ring{k}.test"]["trust"] - score) < 1e-5 * score
+
+
+def test_the_basis_holds_items_whole_whatever_documents_there_are():
+    import pyarrow as pa
+
+    from ledgerline.llm import common
+    from ledgerline.llm import decontamination as m
+
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefgh") + str(r.randint(0, 400)) for _ in range(90)) for _ in range(30)]
+    words, bounds = m.scan(*common.buffers(pa.array(texts)))
+    vocabulary = m.Vocabulary(words)
+    _, _, index, number, weight = m.passages(words, bounds, vocabulary, np.ones(len(vocabulary)))
+    basis = m.latent_basis((index, number, weight), vocabulary)
+    whole = np.zeros((index.max() + 1, len(vocabulary)))
+    whole[index, number] = weight
+    assert np.allclose(whole @ basis @ basis.T, whole)
