@@ -2,7 +2,7 @@
 
 Ink pixels (doc_id, page_no, x, y) vote for every line near an axis that may run
 through them: an axis, a tilt and a level, where the line crosses the page's edge.
-Votes are summed a page, partly before they are shuffled. At the tilt that has the best
+Votes are counted where their page lies, so pixels are shuffled, and votes are not. At the tilt that has the best
 line of its page and axis, the levels with most votes of their neighbourhood are lines;
 their pixels are taken out and the others vote again, until no line has enough. A line's
 pixels in order are islands between gaps, and long islands are segments.
@@ -15,10 +15,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.folders import checkpointed
+from .layout import whole_pages
 
 #: Tilts to either side of the axes are whole multiples of a quarter degree.
 TILT_STEP, TILTS = 0.25, range(-80, 81)
@@ -34,32 +38,48 @@ def slopes(tilts=TILTS) -> dict[int, float]:
     return {k: math.tan(math.radians(k * TILT_STEP)) for k in tilts}
 
 
-def _shift(tilts) -> Column:
-    """How far the line of each tilt has moved at `along`: an array by tilt."""
-    return F.array(*(F.struct(F.lit(k).alias("tilt"), (F.col("across") - F.floor(F.lit(s) * F.col("along") + 0.5)).cast("int").alias("level")) for k, s in slopes(tilts).items()))
-
-
 def _turned(pixels: DataFrame) -> DataFrame:
-    """Each pixel once for each axis, by its place along and across it."""
+    """Each pixel once for each axis, by its place along and across it. Pixels are dealt by page, where their votes are counted."""
     both = F.explode(F.array(F.struct(F.lit("flat").alias("axis"), F.col("x").alias("along"), F.col("y").alias("across")), F.struct(F.lit("up").alias("axis"), F.col("y").alias("along"), F.col("x").alias("across"))))
-    own = pixels.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*PAGE, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
+    own = pixels.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*PAGE, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).repartition(*PAGE).distinct()
     return own.select(*PAGE, both.alias("p")).select(*PAGE, "p.axis", "p.along", "p.across")
 
 
-def _votes(turned: DataFrame, tilts) -> DataFrame:
-    return turned.select(*PAGE, "axis", F.explode(_shift(tilts)).alias("v")).groupBy(*PAGE, "axis", "v.tilt", "v.level").agg(F.count("*").alias("votes"))
+def _votes(turned: DataFrame, tilts, least: int = 1) -> DataFrame:
+    """Votes of pages, each whole in one worker: all pixels of a batch of pages for one tilt after the other, so that no vote is kept or shuffled by itself."""
+    slope_of = slopes(tilts)
+
+    def count(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        page = np.repeat(np.arange(len(starts)), np.diff(starts, append=table.num_rows))
+        flat = table.column("axis").to_numpy() == "flat"
+        along, across = (table.column(c).to_numpy().astype(np.int64) for c in ("along", "across"))
+        found = []
+        for tilt, slope in slope_of.items():
+            level = across - np.floor(slope * along + 0.5).astype(np.int64)
+            low = level.min()
+            span = int(level.max() - low) + 1
+            keys, n = np.unique((page * 2 + ~flat) * span + (level - low), return_counts=True)
+            keys, n = keys[n >= least], n[n >= least]
+            found.append((keys // span, np.full(len(keys), tilt), keys % span + low, n))
+        at, tilt, level, n = (np.concatenate(c) for c in zip(*found, strict=True))
+        of = pa.array(starts[at // 2])
+        out = {c: table.column(c).take(of) for c in PAGE} | {"axis": pa.array(np.where(at % 2 == 0, "flat", "up")), "tilt": pa.array(tilt, pa.int32()), "level": pa.array(level, pa.int32()), "votes": pa.array(n, pa.int64())}
+        return pa.table(out)
+
+    schema = T.StructType([*(turned.schema[c] for c in PAGE), T.StructField("axis", T.StringType()), T.StructField("tilt", T.IntegerType()), T.StructField("level", T.IntegerType()), T.StructField("votes", T.LongType())])
+    return whole_pages(turned, ["axis", "along", "across"], count, schema)
 
 
-def votes(pixels: DataFrame, tilts=TILTS) -> DataFrame:
-    """(doc_id, page_no, axis, tilt, level, votes): how many pixels each line would have, the axis being flat or up."""
-    return _votes(_turned(pixels), tilts)
+def votes(pixels: DataFrame, tilts=TILTS, least: int = 1) -> DataFrame:
+    """(doc_id, page_no, axis, tilt, level, votes): how many pixels each line would have, the axis being flat or up; lines of fewer than `least` are left out."""
+    return _votes(_turned(pixels), tilts, least)
 
 
 def peaks(counted: DataFrame, ink: int = INK) -> DataFrame:
     """The lines of each page and axis at the tilt of its best one: the most votes within APART levels, ties to the lower level (of tilts, to the smaller)."""
-    enough = counted.filter(F.col("votes") >= ink)
-    best = enough.groupBy(*PAGE, "axis").agg(F.max_by("tilt", F.struct("votes", -F.col("tilt"))).alias("tilt"))
-    own = enough.join(best, [*PAGE, "axis", "tilt"])
+    enough = counted.filter((F.col("votes") >= ink) & F.col("doc_id").isNotNull() & F.col("page_no").isNotNull())
+    best = F.max(F.struct("votes", (-F.col("tilt")).alias("low"))).over(Window.partitionBy(*PAGE, "axis"))
+    own = enough.withColumn("best", best).filter(F.col("best.low") == -F.col("tilt")).drop("best")
     near = Window.partitionBy(*PAGE, "axis", "tilt").orderBy("level").rangeBetween(-APART, APART)
     top = F.max(F.struct("votes", (-F.col("level")).alias("low"))).over(near)
     return own.withColumn("top", top).filter((F.col("top.votes") == F.col("votes")) & (F.col("top.low") == -F.col("level"))).drop("top")
@@ -70,7 +90,7 @@ def marked(pixels: DataFrame, tilts=TILTS, ink: int = INK) -> DataFrame:
     left, found = checkpointed(_turned(pixels)), None
     shift = F.element_at(F.create_map(*(x for k, s in slopes(tilts).items() for x in (F.lit(k), F.lit(s)))), F.col("tilt"))
     while True:
-        lines = checkpointed(peaks(_votes(left, tilts), ink))
+        lines = checkpointed(peaks(_votes(left, tilts, ink), ink))
         if lines.isEmpty():
             break
         # A line's band is three levels wide, and its neighbours are further off than two bands reach.

@@ -56,3 +56,16 @@ def test_no_ink_no_lines(spark):
     none = spark.createDataFrame([], "doc_id string, page_no int, x int, y int")
     sizes = spark.createDataFrame([("d", 1, 10, 10)], "doc_id string, page_no int, width int, height int")
     assert lines.segments(none, sizes).count() == 0 and lines.votes(none).count() == 0
+
+
+def test_votes_are_not_shuffled(spark):
+    r = random.Random(3)
+    d = spark.createDataFrame([("a", p, r.randint(0, 20), r.randint(0, 20)) for p in (1, 2) for _ in range(300)], "doc_id string, page_no int, x int, y int")
+    plan = lines.votes(d, range(-8, 9))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    key = lambda x: tuple(x)
+    every = lines.votes(d, range(-8, 9))
+    assert sorted(map(key, lines.votes(d, range(-8, 9), 8).collect())) == sorted(map(key, every.filter("votes >= 8").collect()))
+    assert sorted(map(key, lines.peaks(every, 8).collect())) == sorted(map(key, lines.peaks(lines.votes(d, range(-8, 9), 8), 8).collect()))
+    # Votes are counted once: Python sees each pixel once.
+    assert lines.peaks(every, 8)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
