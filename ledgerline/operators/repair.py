@@ -2,7 +2,7 @@
 
 Nothing is invented: a value changes only to a figure on the item's own printed
 row, or elsewhere on the document where that is what the rule says. Each operator
-returns its frame with notes of what it changed; charge rows that go are what `charge_rows` gives.
+returns its frame with notes of what it changed; charge rows go.
 
 Raw items here: doc_id, pos, product_description, part_number, hsn_code, quantity,
 unit_price, line_total (texts). Texts: doc_id, text.
@@ -27,42 +27,54 @@ def _cent() -> Column:
     return F.lit("0.01").cast("decimal(18,6)")
 
 
-def hsn_on_row(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, pos, found): the only HSN printed on an item's lines; codes with spaces count first."""
-    at = tx.source_lines(items, texts)
-    spaced, plain = (F.regexp_extract_all("line", F.lit(p), F.lit(1)) for p in (t.HSN_SPACED, t.HSN_PLAIN))
-    per = at.groupBy("doc_id", "pos").agg(F.flatten(F.collect_list(spaced)).alias("s"), F.flatten(F.collect_list(plain)).alias("p"))
-    codes = F.when(F.size("s") > 0, F.col("s")).otherwise(F.col("p"))
-    distinct = F.array_distinct(F.transform(codes, lambda x: F.replace(x, F.lit(" "), F.lit(""))))
-    return per.select("doc_id", "pos", F.when(F.size(distinct) == 1, F.array_min(codes)).alias("found")).filter(F.col("found").isNotNull())
+def hsn_on_row(rows: Column) -> Column:
+    """The only HSN printed on an item's lines; codes with spaces count first."""
+    spaced, plain = (F.flatten(F.transform(rows, lambda x: F.regexp_extract_all(x, F.lit(p), F.lit(1)))) for p in (t.HSN_SPACED, t.HSN_PLAIN))
+    one = lambda codes: F.when(F.size(F.array_distinct(F.transform(codes, lambda x: F.replace(x, F.lit(" "), F.lit(""))))) == 1, F.array_min(codes))
+    return F.when(F.size(spaced) > 0, one(spaced)).otherwise(one(plain))
 
 
 def fused_hsn(raw, text) -> Column:
-    """The code that follows a fused item number of one to four digits, where the text prints it."""
+    """The code that follows a fused item number of one to four digits, where the text (its spaces single) prints it."""
     s = F.trim(F.regexp_replace(F.regexp_replace(v.col(raw), r"[^\d ]", " "), r"\s+", " "))
     lead, rest = F.substring_index(s, " ", 1), F.regexp_extract(s, r"^\d+ (.+)$", 1)
     fits = (rest != "") & (F.length(lead) <= 4) & F.length(F.replace(rest, F.lit(" "), F.lit(""))).isin(4, 6, 8)
-    return F.when(fits & F.regexp_replace(F.coalesce(v.col(text), F.lit("")), r"\s+", " ").contains(rest), rest)
+    return F.when(fits & F.coalesce(v.col(text), F.lit("")).contains(rest), rest)
 
 
-def home_hsn(raw, text) -> Column:
+def home_hsn(raw, lines) -> Column:
     """The 8-digit code that the line of a 10-digit one prints with dots, if one with the same first six digits is the only one."""
     digits = F.regexp_replace(v.col(raw), r"\D", "")
-    rows = F.filter(F.split(F.coalesce(v.col(text), F.lit("")), r"\r\n|\n|\r"), lambda x: x.contains(F.trim(v.col(raw))))
+    rows = F.filter(v.col(lines), lambda x: x.contains(F.trim(v.col(raw))))
     found = F.array_distinct(F.flatten(F.transform(rows, lambda x: F.regexp_extract_all(x, F.lit(r"((?<![\d.])\d{4}\.\d{2}\.\d{2}(?![\d.]))"), F.lit(1)))))
     same = F.filter(found, lambda x: F.substring(F.replace(x, F.lit("."), F.lit("")), 1, 6) == F.substring(digits, 1, 6))
     return F.when((F.length(digits) == 10) & (F.size(same) == 1), F.get(same, F.lit(0)))
 
 
-def hsn_codes(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """`items` with hsn_code repaired and hsn_note: fused, row or home."""
+# Steps of `line_items`. Their frame has items with what `with_texts` adds: nothing of it is shuffled, as a step joins nothing.
+
+
+def with_texts(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """`items` with their document's lines, which of those are theirs (text.with_lines), its text with single spaces and its numbers."""
+    arrays = tx.line_arrays(texts.select("doc_id", "text")).withColumns({"__spaced": F.regexp_replace("text", r"\s+", " "), "__printed": v.numbers_in("text")})
+    return tx.with_lines(items, arrays)
+
+
+def without_charge_rows(d: DataFrame) -> DataFrame:
+    """Without items that are a charge printed once below the table: a line that begins with its first word and holds one amount."""
+    name = F.upper(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("product_description", F.lit("")), "[^A-Za-z ]+", " "), r"\s+", " ")))
+    begins = F.concat(F.lit("(?i)^"), F.substring_index(name, " ", 1), F.lit(r"\b"))
+    lines = F.transform("__lines", lambda x: F.trim(F.regexp_replace(x, r"[│\s]+", " ")))
+    return d.filter(~F.coalesce(name.rlike(t.CHARGE_ROW) & F.exists(lines, lambda x: F.rlike(x, begins) & (F.regexp_count(x, F.lit(t.MONEY)) == 1)), F.lit(False)))
+
+
+def hsn_codes(d: DataFrame) -> DataFrame:
+    """With hsn_code repaired and hsn_note: fused, row or home."""
     digits = F.length(F.regexp_replace(F.coalesce("hsn_code", F.lit("")), r"\D", ""))
-    short = items.filter(digits.between(1, 3))
-    d = items.join(texts.select("doc_id", F.col("text").alias("__text")), "doc_id", "left").join(hsn_on_row(short, texts), ["doc_id", "pos"], "left")
     open_ = (digits > 0) & ~digits.isin(4, 6, 8)
-    d = d.withColumns({"__a": F.when(open_, fused_hsn("hsn_code", "__text")), "__b": F.when(digits <= 3, F.col("found")), "__c": F.when(open_, home_hsn("hsn_code", "__text"))})
+    d = d.withColumns({"__a": F.when(open_, fused_hsn("hsn_code", "__spaced")), "__b": F.when(digits.between(1, 3), hsn_on_row(F.transform("__at", tx.line_at))), "__c": F.when(open_, home_hsn("hsn_code", "__lines"))})
     note = F.when(F.col("__a").isNotNull(), "fused").when(F.col("__b").isNotNull(), "row").when(F.col("__c").isNotNull(), "home")
-    return d.withColumns({"hsn_note": note, "hsn_code": F.coalesce("__a", "__b", "__c", "hsn_code")}).drop("__a", "__b", "__c", "__text", "found")
+    return d.withColumns({"hsn_note": note, "hsn_code": F.coalesce("__a", "__b", "__c", "hsn_code")}).drop("__a", "__b", "__c")
 
 
 def price_printed(price: Column, amounts: Column, block: Column) -> Column:
@@ -71,47 +83,41 @@ def price_printed(price: Column, amounts: Column, block: Column) -> Column:
     return F.array_contains(amounts, price) | F.rlike(block, F.concat(F.lit(r"(?<![\d.,])"), cents, F.lit(r"(?![\d.,])")))
 
 
-def shifted_prices(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """`items` with unit_price and line_total replaced by the one pair its row prints (the amount twice), and price_note."""
-    q, p, a = v.loose_decimal("quantity"), v.loose_decimal("unit_price"), v.loose_decimal("line_total")
-    known = items.select("doc_id", "pos", "part_number", "product_description", q.alias("q"), p.alias("p"), a.alias("a")).filter("q > 0 and p is not null and a is not null")
-    blocks = tx.source_blocks(known, texts).withColumn("m", v.money_in("block")).join(known.select("doc_id", "pos", "q", "p", "a"), ["doc_id", "pos"])
-    right = F.array_contains("m", F.col("p").cast("decimal(18,2)")) & (F.col("p") == F.col("p").cast("decimal(18,2)")) & F.array_contains("m", F.col("a").cast("decimal(18,2)")) & (F.abs(F.col("q") * F.col("p") - F.col("a")) <= _cent())
-    twice = F.filter(F.array_distinct("m"), lambda x: F.size(F.filter("m", lambda y: y == x)) >= 2)
-    made = F.transform(twice, lambda x: F.struct(F.bround(x / F.col("q"), 2).cast("decimal(18,2)").alias("price"), x.alias("amount")))
-    fits = F.filter(made, lambda x: ((x["price"] != x["amount"]) | (F.col("q") == 1)) & (F.bround(x["price"] * F.col("q"), 2) == x["amount"]) & price_printed(x["price"], F.col("m"), F.col("block")))
-    per = blocks.select("doc_id", "pos", right.alias("right"), fits.alias("fits")).groupBy("doc_id", "pos").agg(F.bool_or("right").alias("right"), F.array_distinct(F.flatten(F.collect_list("fits"))).alias("fits"))
-    new = per.filter(~F.col("right") & (F.size("fits") == 1)).select("doc_id", "pos", F.get("fits", F.lit(0)).alias("__new"))
-    d = items.join(new, ["doc_id", "pos"], "left")
-    change = F.coalesce((F.col("__new.price") != p) | (F.col("__new.amount") != a), F.lit(False))
-    plain = lambda c: F.col(c).cast("string")
-    return d.withColumns({"price_note": F.when(change, "shifted"), "unit_price": F.when(change, plain("__new.price")).otherwise(F.col("unit_price")), "line_total": F.when(change, plain("__new.amount")).otherwise(F.col("line_total"))}).drop("__new")
-
-
-def charge_rows(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, pos) of items that are a charge printed once below the table: a line that begins with its first word and holds one amount."""
-    name = F.upper(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("product_description", F.lit("")), "[^A-Za-z ]+", " "), r"\s+", " ")))
-    charges = items.select("doc_id", "pos", name.alias("name")).filter(F.col("name").rlike(t.CHARGE_ROW)).withColumn("word", F.substring_index("name", " ", 1))
-    printed = tx.lines(texts).select("doc_id", F.trim(F.regexp_replace("line", r"[│\s]+", " ")).alias("line")).filter(F.regexp_count("line", F.lit(t.MONEY)) == 1)
-    return charges.join(printed, "doc_id").filter(F.rlike(F.col("line"), F.concat(F.lit("(?i)^"), F.col("word"), F.lit(r"\b")))).select("doc_id", "pos").distinct()
+def shifted_prices(d: DataFrame) -> DataFrame:
+    """With unit_price and line_total replaced by the one pair its row prints (the amount twice), and price_note."""
+    d = d.withColumns({"__q": v.loose_decimal("quantity"), "__p": v.loose_decimal("unit_price"), "__a": v.loose_decimal("line_total")})
+    q, p, a = F.col("__q"), F.col("__p"), F.col("__a")
+    known = (q > 0) & p.isNotNull() & a.isNotNull()
+    d = d.withColumn("__blocks", F.when(known, F.transform("__at", tx.block_at)))
+    d = d.withColumn("__blocks", F.transform("__blocks", lambda x: F.struct(x.alias("block"), v.money_in(x).alias("m"))))
+    cents = lambda x: x.cast("decimal(18,2)")
+    right = (p == cents(p)) & (F.abs(q * p - a) <= _cent()) & F.exists("__blocks", lambda x: F.array_contains(x["m"], cents(p)) & F.array_contains(x["m"], cents(a)))
 
+    def fits(x: Column) -> Column:
+        twice = F.filter(F.array_distinct(x["m"]), lambda y: F.size(F.filter(x["m"], lambda z: z == y)) >= 2)
+        made = F.transform(twice, lambda y: F.struct(cents(F.bround(y / q, 2)).alias("price"), y.alias("amount")))
+        return F.filter(made, lambda y: ((y["price"] != y["amount"]) | (q == 1)) & (F.bround(y["price"] * q, 2) == y["amount"]) & price_printed(y["price"], x["m"], x["block"]))
 
-def without_charge_rows(items: DataFrame, texts: DataFrame) -> DataFrame:
-    return items.join(charge_rows(items, texts), ["doc_id", "pos"], "left_anti")
+    d = d.withColumn("__fits", F.when(~F.coalesce(right, F.lit(False)), F.array_distinct(F.flatten(F.transform("__blocks", fits)))))
+    d = d.withColumn("__new", F.when(F.size("__fits") == 1, F.get("__fits", F.lit(0))))
+    change = F.coalesce((F.col("__new.price") != p) | (F.col("__new.amount") != a), F.lit(False))
+    new = lambda c, old: F.when(change, F.col(c).cast("string")).otherwise(F.col(old))
+    return d.withColumns({"price_note": F.when(change, "shifted"), "unit_price": new("__new.price", "unit_price"), "line_total": new("__new.amount", "line_total")}).drop("__q", "__p", "__a", "__blocks", "__fits", "__new")
 
 
-def unprinted_amounts(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """`items` with a line_total that the document does not print replaced by quantity times price, where it prints that; and amount_note."""
-    d = items.join(texts.select("doc_id", v.numbers_in("text").alias("__printed")), "doc_id", "left")
-    q, p, a = v.loose_decimal("quantity"), v.loose_decimal("unit_price"), v.loose_decimal("line_total")
+def unprinted_amounts(d: DataFrame) -> DataFrame:
+    """With a line_total that the document does not print replaced by quantity times price, where it prints that; and amount_note."""
+    d = d.withColumns({"__q": v.loose_decimal("quantity"), "__p": v.loose_decimal("unit_price"), "__a": v.loose_decimal("line_total")})
+    q, p, a = F.col("__q"), F.col("__p"), F.col("__a")
     expected = F.bround(q * p, 2).cast(v.DECIMAL)
     change = F.coalesce((q > 0) & (p > 0) & (F.abs(expected - a) > _cent()) & ~F.array_contains("__printed", a) & F.array_contains("__printed", expected), F.lit(False))
-    return d.withColumns({"amount_note": F.when(change, "unprinted"), "line_total": F.when(change, expected.cast("decimal(18,2)").cast("string")).otherwise(F.col("line_total"))}).drop("__printed")
+    return d.withColumns({"amount_note": F.when(change, "unprinted"), "line_total": F.when(change, expected.cast("decimal(18,2)").cast("string")).otherwise(F.col("line_total"))}).drop("__q", "__p", "__a")
 
 
 def line_items(items: DataFrame, texts: DataFrame) -> DataFrame:
     """All item repairs in their order: charge rows, HSN codes, shifted prices, unprinted amounts."""
-    return unprinted_amounts(shifted_prices(hsn_codes(without_charge_rows(items, texts), texts), texts), texts)
+    d = unprinted_amounts(shifted_prices(hsn_codes(without_charge_rows(with_texts(items, texts)))))
+    return d.select("doc_id", *[c for c in items.columns if c != "doc_id"], "hsn_note", "price_note", "amount_note")
 
 
 # --- headers ------------------------------------------------------------------------

@@ -74,41 +74,71 @@ def _found(keys: Column, line: Column) -> Column:
 MANY_ITEMS, GRAM = 200, 4
 
 
-def _met(printed: DataFrame, items: DataFrame) -> DataFrame:
-    """`printed` (doc_id, line_no, plain, ...) with the pos of each item that a line holds a key of.
+def ends_block(line) -> Column:
+    line = v.col(line)
+    return line.isNull() | (F.trim(line) == "") | line.rlike(t.ROW_START) | line.rlike(t.BLOCK_STOP) | line.rlike(t.HSN_SPACED) | line.rlike(t.HSN_PLAIN)
 
-    In documents of up to MANY_ITEMS items every line is tried with every item. Beyond that a line
-    meets only items whose key ends in GRAM characters that it has somewhere (keys are never shorter).
-    """
-    keyed = items.select("doc_id", "pos", row_keys("part_number", "product_description").alias("keys")).filter(F.size("keys") > 0)
-    crowded = F.col("__n") > MANY_ITEMS
-    # One join for both: a document of few items has one mark, '', for all lines and items; else the marks are grams.
-    own = keyed.withColumn("__n", F.count("*").over(Window.partitionBy("doc_id")))
-    apart = F.transform("keys", lambda k: F.struct(F.substr(k, F.lit(-GRAM), F.lit(GRAM)).alias("gram"), F.array(k).alias("keys")))
-    marked = own.select("doc_id", "pos", F.explode(F.when(crowded, apart).otherwise(F.array(F.struct(F.lit("").alias("gram"), F.col("keys"))))).alias("__k")).select("doc_id", "pos", F.col("__k.gram").alias("__gram"), F.col("__k.keys").alias("__keys"))
+
+def line_arrays(texts: DataFrame) -> DataFrame:
+    """`texts` with __lines and, of each line, __plain (as keys are searched in) and __ends (it begins something else)."""
+    d = texts.withColumn("__lines", F.split(F.coalesce(F.col("text"), F.lit("")), r"\r\n|\n|\r"))
+    return d.withColumns({"__plain": F.transform("__lines", lambda x: v.squashed(x)), "__ends": F.transform("__lines", lambda x: ends_block(x))})
+
+
+def _by_grams(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, pos, __at): a line meets only items whose key ends in GRAM characters that it has somewhere (keys are never shorter)."""
     grams = F.when(F.length("plain") >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("plain") - (GRAM - 1)), lambda i: F.substr(F.col("plain"), i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
-    sizes = keyed.groupBy("doc_id").agg(F.count("*").alias("__n"))
-    asked = printed.join(sizes, "doc_id").withColumn("__gram", F.explode(F.when(crowded, grams).otherwise(F.array(F.lit("")))))
-    met = asked.join(marked, ["doc_id", "__gram"]).filter(_found(F.col("__keys"), F.col("plain")))
-    return met.drop("__gram", "__keys", "__n").dropDuplicates(["doc_id", "pos", "line_no"])
+    asked = lines(texts).select("doc_id", "line_no", v.squashed("line").alias("plain")).withColumn("__gram", F.explode(grams))
+    marked = items.select("doc_id", "pos", F.explode("__keys").alias("__key")).withColumn("__gram", F.substr("__key", F.lit(-GRAM), F.lit(GRAM)))
+    met = asked.join(marked, ["doc_id", "__gram"]).filter(F.col("plain").contains(F.col("__key")))
+    return met.groupBy("doc_id", "pos").agg(F.sort_array(F.collect_set("line_no")).alias("__at"))
 
 
-def source_lines(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, pos, line_no, line): the printed lines of each item. `items`: doc_id, pos, part_number, product_description."""
-    return _met(lines(texts).withColumn("plain", v.squashed("line")), items).select("doc_id", "pos", "line_no", "line")
+def with_lines(items: DataFrame, arrays: DataFrame, how: str = "left") -> DataFrame:
+    """`items` with what `arrays` has of their document, and __at: the numbers of the lines that hold a key of the item.
 
+    Documents meet their items once, and each item is tried on the lines where it lies: no pair of them is a row. Documents of
+    more than MANY_ITEMS items are counted first; if there are any, theirs are found by grams.
+    """
+    keyed = items.withColumn("__keys", row_keys("part_number", "product_description"))
+    tried = F.filter(F.transform("__plain", lambda x, i: F.when(_found(F.col("__keys"), x), i)), lambda i: i.isNotNull())
+    crowded = items.groupBy("doc_id").agg(F.count("*").alias("__n")).filter(F.col("__n") > MANY_ITEMS).select("doc_id")
+    if crowded.isEmpty():
+        return keyed.join(arrays, "doc_id", how).withColumn("__at", F.when(F.size("__keys") > 0, tried)).drop("__keys")
+    own, texts = (d.join(crowded, "doc_id", "left_semi") for d in (keyed, arrays.select("doc_id", "text")))
+    d = keyed.join(crowded.withColumn("__many", F.lit(True)), "doc_id", "left").join(arrays, "doc_id", how).join(_by_grams(own, texts).withColumnRenamed("__at", "__found"), ["doc_id", "pos"], "left")
+    return d.withColumn("__at", F.when(F.col("__many"), F.col("__found")).when(F.size("__keys") > 0, tried)).drop("__keys", "__many", "__found")
 
-def ends_block(line) -> Column:
-    line = v.col(line)
-    return line.isNull() | (F.trim(line) == "") | line.rlike(t.ROW_START) | line.rlike(t.BLOCK_STOP) | line.rlike(t.HSN_SPACED) | line.rlike(t.HSN_PLAIN)
+
+def line_at(i: Column) -> Column:
+    return F.get("__lines", i)
+
+
+def block_at(i: Column) -> Column:
+    """A line with up to two lines that continue it."""
+    ends = lambda k: F.coalesce(F.get("__ends", k), F.lit(True))
+    return F.when(ends(i + 1), line_at(i)).when(ends(i + 2), F.concat_ws("\n", line_at(i), line_at(i + 1))).otherwise(F.concat_ws("\n", line_at(i), line_at(i + 1), line_at(i + 2)))
+
+
+def _met(items: DataFrame, texts: DataFrame) -> DataFrame:
+    return with_lines(items.select("doc_id", "pos", "part_number", "product_description"), line_arrays(texts.select("doc_id", "text")), "inner")
+
+
+def source_lines(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, pos, line_no, line): the printed lines of each item. `items`: doc_id, pos, part_number, product_description."""
+    found = F.transform("__at", lambda i: F.struct(i.alias("line_no"), line_at(i).alias("line")))
+    return _met(items, texts).select("doc_id", "pos", F.inline(found))
 
 
 def source_blocks(items: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, pos, line_no, block): each printed line with up to two lines that continue it."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    printed = lines(texts).select("*", F.lead("line", 1).over(order).alias("one"), F.lead("line", 2).over(order).alias("two"))
-    printed = printed.withColumn("block", F.when(ends_block("one"), F.col("line")).when(ends_block("two"), F.concat_ws("\n", "line", "one")).otherwise(F.concat_ws("\n", "line", "one", "two")))
-    return _met(printed.select("doc_id", "line_no", "block", v.squashed("line").alias("plain")), items).select("doc_id", "pos", "line_no", "block")
+    found = F.transform("__at", lambda i: F.struct(i.alias("line_no"), block_at(i).alias("block")))
+    return _met(items, texts).select("doc_id", "pos", F.inline(found))
+
+
+def item_blocks(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, pos, block): all blocks of an item as one text, in the order of their lines; items without any are left out."""
+    return _met(items, texts).filter(F.size("__at") > 0).select("doc_id", "pos", F.array_join(F.transform("__at", block_at), "\n").alias("block"))
 
 
 def joined_blocks(blocks: DataFrame) -> DataFrame:

@@ -123,6 +123,28 @@ def test_many_items_meet_their_lines_by_grams(spark, monkeypatch):
     assert sorted(map(tuple, tx.source_blocks(items, texts).collect())) == blocks
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_items_and_texts_meet_once_by_document(spark, monkeypatch):
+    rows = [(i % 7, i, f"PN-{i}", f"Steel  valve number {i}", "12", "2", "5", "10") for i in range(60)] + [(99, 1, "PN-1", "", "160 84818090", "1", "1", "1")]
+    items = spark.createDataFrame(rows, "doc_id int, pos int, part_number string, product_description string, hsn_code string, quantity string, unit_price string, line_total string")
+    texts = spark.createDataFrame([(d, "\n".join(f"{i} │ PN-{i} │ 84818090 │ 5.00\n   10.00" for i in range(60) if i % 7 == d)) for d in range(7)] + [(98, None)], "doc_id int, text string")
+    monkeypatch.setattr(tx, "MANY_ITEMS", 200)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        repaired, blocks = repair.line_items(items, texts), tx.item_blocks(items, texts)
+        assert shuffles(repaired) == 2 and shuffles(blocks) == 2
+        few = sorted(map(tuple, repaired.collect())), sorted(map(tuple, blocks.collect()))
+        assert len(few[0]) == len(rows) and few[1] == sorted(map(tuple, tx.joined_blocks(tx.source_blocks(items, texts)).collect()))
+        monkeypatch.setattr(tx, "MANY_ITEMS", 8)  # some documents are crowded, some are not
+        assert (sorted(map(tuple, repair.line_items(items, texts).collect())), sorted(map(tuple, tx.item_blocks(items, texts).collect()))) == few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_pages_chunks_headings_and_waybills(spark):
     text = TABLE + "=== PAGE 2 OF 2 (a) ===\nAir Waybill\nShipper's name and address\nNotify party\n"
     d = spark.createDataFrame([("d", text), ("e", "no page at all")], "doc_id string, text string")
