@@ -74,9 +74,13 @@ def _found(keys: Column, line: Column) -> Column:
 MANY_ITEMS, GRAM = 200, 4
 
 
+#: One pattern, so that a line is looked through once: blank, a row's start, a sum or a tariff code.
+BLOCK_END = rf"^ *\z|(?:{t.ROW_START})|(?:{t.BLOCK_STOP})|(?:{t.HSN_SPACED})|(?:{t.HSN_PLAIN})"
+
+
 def ends_block(line) -> Column:
     line = v.col(line)
-    return line.isNull() | (F.trim(line) == "") | line.rlike(t.ROW_START) | line.rlike(t.BLOCK_STOP) | line.rlike(t.HSN_SPACED) | line.rlike(t.HSN_PLAIN)
+    return line.isNull() | line.rlike(BLOCK_END)
 
 
 def line_arrays(texts: DataFrame) -> DataFrame:
@@ -143,7 +147,7 @@ def item_blocks(items: DataFrame, texts: DataFrame) -> DataFrame:
 
 def joined_blocks(blocks: DataFrame) -> DataFrame:
     """(doc_id, pos, block): all blocks of an item as one text."""
-    return blocks.groupBy("doc_id", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "block"))), lambda x: x["block"]), "\n").alias("block"))
+    return blocks.groupBy("doc_id", "pos").agg(F.array_join(F.sort_array(F.collect_list(F.struct("line_no", "block")))["block"], "\n").alias("block"))
 
 
 def money_counts(docs: DataFrame, text: str = "text") -> DataFrame:
