@@ -11,6 +11,7 @@ unit_price, line_total (texts). Texts: doc_id, text.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from re import _parser as regex
 
 import pandas as pd
@@ -158,30 +159,49 @@ def literals(pattern: str) -> list[str]:
     return out
 
 
-def _trigrams(text: Column) -> Column:
-    return F.array_distinct(F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
+#: Lengths of the strings by which names and patterns meet: a literal is looked for by those of its pieces that have the greatest length it holds.
+PIECES = (3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+
+
+def _pieces(text: Column, lengths) -> Column:
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(n) for n in lengths])) if lengths else F.array().cast("array<string>")
 
 
 def fitting_formats(names: DataFrame, rules: DataFrame, name: str, pattern: str) -> DataFrame:
-    """Rows of `names` with the rows of `rules` whose pattern is found in the name.
+    """Rows of `names` with the rows of `rules` whose pattern is found in the name."""
+    return tried_formats(names, rules, name, pattern).filter(F.rlike(F.col(name), F.col(pattern)))
+
 
-    An index of the strings that patterns need: each pattern waits for the one of its trigrams
-    that fewest names have, and is tried on those names alone. A pattern of which no name has some
-    trigram fits none.
+def tried_formats(names: DataFrame, rules: DataFrame, name: str, pattern: str) -> DataFrame:
+    """Rows of `names` with the rows of `rules` whose pattern may be found in the name.
+
+    An index of the strings that patterns need: each pattern waits for the one of its pieces (long ones
+    where it has a long string, so that names alike in every three letters are told apart) that fewest
+    names have, and is tried on those names alone. A pattern of which no name has some piece fits none.
     """
 
     @F.pandas_udf("array<string>")
     def needed(patterns: pd.Series) -> pd.Series:
-        return patterns.map(lambda p: sorted({w[i : i + 3] for w in literals(p) for i in range(len(w) - 2)}))
+        def of(p):
+            cut = [(w, max(n for n in PIECES if n <= len(w))) for w in literals(p)]
+            return sorted({w[i : i + n] for w, n in cut for i in range(len(w) - n + 1)})
+
+        return patterns.map(of)
 
-    known = names.withColumn("__gram", F.explode(_trigrams(F.lower(F.col(name)))))
-    often = known.groupBy("__gram").agg(F.count("*").alias("__often"))
     keyed = rules.withColumn("__need", needed(F.col(pattern)))
-    waits = keyed.filter(F.size("__need") > 0).select(*rules.columns, F.explode("__need").alias("__gram")).join(often, "__gram", "left").groupBy(*rules.columns).agg(F.min(F.struct(F.coalesce("__often", F.lit(0)).alias("n"), F.col("__gram").alias("g"))).alias("__w"))
-    met = known.join(waits.filter("__w.n > 0").select(*rules.columns, F.col("__w.g").alias("__gram")), "__gram").drop("__gram")
-    rest = keyed.filter(F.size("__need") == 0).drop("__need")
-    tried = names.join(F.broadcast(rest) if rest.count() <= BROADCAST_FORMATS else rest, F.rlike(F.col(name), F.col(pattern)))
-    return met.filter(F.rlike(F.col(name), F.col(pattern))).unionByName(tried)
+    told = keyed.agg(F.count_if(F.size("__need") == 0).alias("rest"), F.array_distinct(F.flatten(F.collect_set(F.transform("__need", lambda x: F.length(x))))).alias("lengths")).first()
+    found = []
+    if told["lengths"]:
+        known = names.withColumn("__gram", F.explode(_pieces(F.lower(F.col(name)), sorted(told["lengths"]))))
+        often = known.groupBy("__gram").agg(F.count("*").alias("__often"))
+        waits = keyed.filter(F.size("__need") > 0).select(*rules.columns, F.explode("__need").alias("__gram")).join(often, "__gram", "left").groupBy(*rules.columns).agg(F.min(F.struct(F.coalesce("__often", F.lit(0)).alias("n"), F.col("__gram").alias("g"))).alias("__w"))
+        met = known.join(waits.filter("__w.n > 0").select(*rules.columns, F.col("__w.g").alias("__gram")), "__gram").drop("__gram")
+        found.append(met)
+    if told["rest"] or not found:
+        rest = keyed.filter(F.size("__need") == 0).drop("__need")
+        found.append(names.crossJoin(F.broadcast(rest) if told["rest"] <= BROADCAST_FORMATS else rest))
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def supplier_numbers(headers: DataFrame, formats: DataFrame) -> DataFrame:

@@ -25,6 +25,13 @@ def test_formats_are_those_that_every_pattern_tried_on_every_name_gives(spark):
     assert got == {(n, i) for n in set(names) for i, p in enumerate(patterns) if re.search(p, n)}
 
 
+def test_patterns_wait_for_strings_long_enough_to_tell_names_apart(spark):
+    names = spark.createDataFrame([(f"Supplier#{i:09d}",) for i in range(0, 40_000, 100)], "name string")
+    rules = spark.createDataFrame([(f"(?i)^SUPPLIER#{i:09d}$",) for i in range(0, 40_000, 50)], "p string")
+    assert repair.tried_formats(names, rules, "name", "p").count() == 400  # every three letters of a number are in many names
+    assert repair.fitting_formats(names, rules, "name", "p").count() == 400
+
+
 def test_glyphs_on_one_spot_and_crowds():
     n = 30_000
     same = np.zeros(n)
