@@ -145,6 +145,15 @@ def test_items_and_texts_meet_once_by_document(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_items_are_numbered_without_their_maps(spark):
+    raw = spark.createDataFrame([("d", 2, {"quantity": "2", "unit_price": '{"value": "5"}', "line_total": "$10", "part_no": "P"}), ("d", 1, {"product_description": "TOTAL", "line_total": "10"}), ("d", 3, {"quantity": "1", "item_ser_no": "9"}), ("d", 4, None)], "doc_id string, pos int, fields map<string,string>").repartition(2)
+    cleaned = clean.items(raw)
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    below = next(plan[i + 1] for i, x in enumerate(plan) if "Window [row_number" in x)
+    assert "fields" not in below  # what is sorted for the numbers
+    assert [(r["pos"], r["item_ser_no"], r["part_number"], r["unit_price"]) for r in cleaned.orderBy("pos").collect()] == [(2, "1", "P", 5), (3, "9", "", None)]
+
+
 def test_pages_chunks_headings_and_waybills(spark):
     text = TABLE + "=== PAGE 2 OF 2 (a) ===\nAir Waybill\nShipper's name and address\nNotify party\n"
     d = spark.createDataFrame([("d", text), ("e", "no page at all")], "doc_id string, text string")
