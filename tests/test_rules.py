@@ -186,3 +186,36 @@ def test_numbers_print_without_zeros_at_the_end(spark):
 
     d = spark.createDataFrame([(Decimal(x),) for x in ("100.000000", "0.000000", "-0.500000", "12.340000", "7.000001")], "x decimal(18,6)")
     assert [r.t for r in d.select(rules.text(F.col("x")).alias("t")).collect()] == ["100", "0", "-0.5", "12.34", "7.000001"]
+
+
+def test_results_equal_those_of_rows_of_findings(spark):
+    """Also for documents without header or items, with two headers, with one order number in two spellings or twice in a place, and without a key."""
+    order = lambda doc, pos, number: ITEM | {"doc_id": doc, "pos": pos, "order_number": number}
+    rows = [order("a", 2, "po 1"), order("a", 1, "PO1"), order("a", 3, "PO2"), order("a", 4, ""), order("a", 1, "P O1"), order("alone", 1, "PO9"), order("twice", 1, "PO1"), order("twice", 2, "PO1"), order(None, 1, "PO1"), order("a", None, "PO1"), order("bad", 1, "PO7") | {"quantity": "x", "line_amount": "1"}]
+    heads = [HEADER | {"doc_id": d, "invoice_text": text, "invoice_total": total} for d, text, total in (("a", "P/O: PO1", "500"), ("twice", "P/O: PO1", "200"), ("twice", "P/O: PO5", "1"), ("empty", "", ""), (None, "P/O: PO1", "100"), ("bad", "P/O: PO1", "90"))]
+    own = spark.createDataFrame([tuple(x[k] for k in ITEM) for x in rows], ", ".join(f"{k} {'int' if k == 'pos' else 'string'}" for k in ITEM))
+    headers = spark.createDataFrame([tuple(h.values()) for h in heads], ", ".join(f"{k} string" for k in HEADER))
+    want = rules.result_documents(rules.validate(own, headers))
+    made = rules.validation_results(own, headers)
+    assert made.columns == want.columns
+    made, want = ({r["doc_id"]: r for r in d.collect()} for d in (made, want))
+    assert set(made) == {"a", "alone", "twice", "empty", "bad", None} and made == want
+    assert sum(c["rule"] == "ORDER_NUMBER_SOURCE_MATCH" for c in made["a"]["checks"]) == 3
+
+
+def test_findings_of_results_are_not_shuffled(spark):
+    """What is dealt out is what findings are made from; of a table's rows only those without a key go by findings."""
+    from ledgerline.plans import catalogue
+
+    def dealt(node):
+        own = [node.output().apply(i).dataType().simpleString() for i in range(node.output().size())] if node.nodeName() == "Exchange" else []
+        return own + [x for i in range(node.children().size()) for x in dealt(node.children().apply(i))]
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.QUERIES["result_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().executedPlan()
+        types = dealt(plan.children().apply(0) if plan.nodeName() == "Union" else plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert types and not [x for x in types if x == "binary" or "struct" in x]
